@@ -389,10 +389,12 @@ def _(spark, sf):
 
 
 @query("next_unannotated", sql(
-    "SELECT note_id, pos, min(CASE WHEN note_id NOT IN (SELECT note_id FROM annotations WHERE source = 'manual') THEN pos END) "
-    "OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_pos FROM notes", *NA))
+    "SELECT note_id, pos, coalesce(min(CASE WHEN note_id NOT IN (SELECT note_id FROM annotations WHERE source = 'manual') THEN pos END) "
+    "OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), -1) AS next_pos FROM notes", *NA))
 def _(spark, sf):
-    return ordering.next_unannotated(notes(spark, sf), annotations(spark, sf).where("source = 'manual'"))
+    return ordering.next_unannotated(
+        notes(spark, sf), annotations(spark, sf).where("source = 'manual'")
+    ).withColumn("next_pos", F.coalesce("next_pos", F.lit(-1).cast("long")))
 
 
 @query("neighbour_annotations", sql(
