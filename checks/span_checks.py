@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import N, NA, annotations, notes, sql
+from checks.views import BADGES_SQL, LINES_SQL, N, NA, TOKENS_SQL, annotations, notes, sql
 from chartspan.operators import lines, ordering, spans, tokens
 
 JOINED = F.array_join("questions", ";").alias("questions")
@@ -13,7 +13,7 @@ JOINED = F.array_join("questions", ";").alias("questions")
 # The a1_ spans are the existing annotations, a span of 6 characters around every a1_ start of
 # odd sequence number the new ones.
 _NEW_SQL = """
-fresh AS (SELECT 's' || ann_id AS span_id, note_id, CAST("start" + 3 AS INT) AS "start", CAST("start" + 9 AS INT) AS "end", 'Q9' AS question_id
+fresh AS (SELECT 's' || ann_id AS span_id, note_id, CAST("start" + 3 + seq % 3 AS INT) AS "start", CAST("start" + 9 AS INT) AS "end", 'Q9' AS question_id
           FROM annotations WHERE ann_id LIKE 'a1%' AND seq % 2 = 1),
 old AS (SELECT * FROM annotations WHERE ann_id LIKE 'a1%' OR seq % 3 = 0)"""
 
@@ -21,7 +21,8 @@ old AS (SELECT * FROM annotations WHERE ann_id LIKE 'a1%' OR seq % 3 = 0)"""
 def fresh(spark, sf):
     return annotations(spark, sf).where("ann_id LIKE 'a1%' AND seq % 2 = 1").select(
         F.concat(F.lit("s"), "ann_id").alias("span_id"), "note_id",
-        (F.col("start") + 3).alias("start"), (F.col("start") + 9).alias("end"), F.lit("Q9").alias("question_id"))
+        (F.col("start") + 3 + F.col("seq") % 3).cast("int").alias("start"),
+        (F.col("start") + 9).alias("end"), F.lit("Q9").alias("question_id"))
 
 
 def old(spark, sf):
@@ -141,52 +142,33 @@ def _(spark, sf):
     return spans.segment_annotations(annotations(spark, sf), notes(spark, sf)).select("note_id", "seg_no", "ann_id")
 
 
-# Each note's badges: its three header lines.
-BADGES_SQL = """
-badges AS (
-  SELECT note_id, CAST(instr(text, 'HPI:') - 1 AS INT) AS pos, 'HPI' AS section FROM notes
-  UNION ALL SELECT note_id, CAST(instr(text, 'MEDICATIONS:') - 1 AS INT), 'MEDS' FROM notes
-  UNION ALL SELECT note_id, CAST(instr(text, chr(10) || 'PLAN:') AS INT), 'PLAN' FROM notes)"""
-
-
 def badges(spark, sf):
     return lines.section_badges(lines.carry_sections(lines.detect_sections(lines.explode_lines(notes(spark, sf)))))
 
 
 @query("badges_in_segments", sql(
     'SELECT b.note_id, b.pos, b.section, s.seg_no, s."start", s."end" FROM badges b JOIN segs s ON b.note_id = s.note_id '
-    'AND b.pos >= s."start" AND b.pos < s."end"', *NA, _SEGS, BADGES_SQL))
+    'AND b.pos >= s."start" AND b.pos < s."end"', *NA, _SEGS, LINES_SQL, BADGES_SQL))
 def _(spark, sf):
     return spans.badges_in_segments(badges(spark, sf), spans.build_segments(annotations(spark, sf), notes(spark, sf)))
 
 
 @query("annotations_in_sections", sql(
     """SELECT ann_id, coalesce((SELECT section FROM badges b WHERE b.note_id = a.note_id AND b.pos <= a."start" ORDER BY pos DESC LIMIT 1), 'NONE') AS section
-       FROM annotations a""", *NA, BADGES_SQL))
+       FROM annotations a""", *NA, LINES_SQL, BADGES_SQL))
 def _(spark, sf):
     return spans.annotations_in_sections(annotations(spark, sf), badges(spark, sf)).select("ann_id", "section")
 
 
 @query("distinct_sections_in_order", sql(
     "SELECT note_id, section, pos, row_number() OVER (PARTITION BY note_id ORDER BY pos) AS section_no FROM "
-    "(SELECT note_id, section, min(pos) AS pos FROM badges GROUP BY 1, 2)", N, BADGES_SQL))
+    "(SELECT note_id, section, min(pos) AS pos FROM badges GROUP BY 1, 2)", N, LINES_SQL, BADGES_SQL))
 def _(spark, sf):
     return ordering.distinct_sections_in_order(badges(spark, sf)).withColumn("section_no", F.col("section_no").cast("long"))
 
 
 # --- token spans ---------------------------------------------------------------------------
 
-TOKENS_SQL = """
-tok_cut AS (SELECT note_id, pos, text, regexp_extract_all(text, '\\S+') AS found, regexp_split_to_array(text, '\\S+') AS gaps FROM notes),
-tok_parts AS (SELECT note_id, pos, i, found[i] AS token, length(gaps[i]) AS gap FROM tok_cut, unnest(range(1, len(found) + 1)) AS u(i)),
-toks AS (
-  SELECT note_id, pos, CAST(i - 1 AS INT) AS idx, token,
-         CAST(sum(gap + length(token)) OVER (PARTITION BY note_id ORDER BY i) - length(token) AS INT) AS "start",
-         CAST(sum(gap + length(token)) OVER (PARTITION BY note_id ORDER BY i) AS INT) AS "end"
-  FROM tok_parts),
-labelled AS (SELECT *, CASE WHEN (idx * 7 + pos) % 11 < 2 AND (idx // 20) % 3 = 0 THEN 1 + idx % 2 ELSE 0 END AS label_no FROM toks)"""
-
-
 def labelled(spark, sf):
     """Tokens with made labels: positive in every third stretch of twenty tokens."""
     t = tokens.tokenize_offsets(notes(spark, sf), ("note_id", "pos"))

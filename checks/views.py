@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chartspan.functions import vocab
 from chartspan.operators.rules import Rule, default_rules
 from chartspan.plans.session import spread
 
@@ -158,6 +159,49 @@ regex_matches AS (
   SELECT note_id, question_id, term, "start", CAST("start" + length(term) AS INT) AS "end" FROM rx_hits)"""
 
 
+def _ws(x: str) -> str:
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+
+
+def section_case(line: str) -> str:
+    bare = _ws(f"regexp_replace(lower({line}), ':$', '')")
+    whens = " ".join(
+        f"WHEN regexp_matches(bare, '^(?:{p})\\s*:?$') THEN '{n}'" for n, p in vocab.SECTION_PATTERNS)
+    return bare, f"CASE {whens} ELSE 'NONE' END"
+
+
+_BARE, _SECTION = section_case("line")
+
+# Lines with offsets, the section each names and the one it inherits.
+LINES_SQL = f"""
+line_parts AS (SELECT note_id, pos, string_split(text, chr(10)) AS parts FROM notes),
+raw_lines AS (
+  SELECT note_id, pos, CAST(i - 1 AS INT) AS line_no, parts[i] AS line, length(parts[i]) AS size FROM line_parts, unnest(range(1, len(parts) + 1)) AS u(i)),
+placed AS (
+  SELECT *, CAST(sum(size + 1) OVER (PARTITION BY note_id ORDER BY line_no) - size - 1 AS INT) AS "start", {_BARE} AS bare FROM raw_lines),
+lines AS (SELECT *, {_SECTION} AS section FROM placed),
+carried AS (
+  SELECT *, coalesce(last_value(CASE WHEN section <> 'NONE' THEN section END IGNORE NULLS) OVER (PARTITION BY note_id ORDER BY line_no), 'NONE') AS carried
+  FROM lines)"""
+
+BADGES_SQL = f"""
+badges AS (SELECT note_id, CAST("start" + length(line) - length(ltrim(line)) AS INT) AS pos, carried AS section FROM (
+  SELECT *, lag(carried) OVER (PARTITION BY note_id ORDER BY line_no) AS prior FROM carried WHERE {_ws('line')} <> '')
+  WHERE carried <> 'NONE' AND prior IS DISTINCT FROM carried)"""
+
+TOKENS_SQL = """
+tok_cut AS (SELECT note_id, pos, text, regexp_extract_all(text, '\\S+') AS found, regexp_split_to_array(text, '\\S+') AS gaps FROM notes),
+tok_parts AS (SELECT note_id, pos, i, found[i] AS token, length(gaps[i]) AS gap FROM tok_cut, unnest(range(1, len(found) + 1)) AS u(i)),
+toks AS (
+  SELECT note_id, pos, CAST(i - 1 AS INT) AS idx, token,
+         CAST(sum(gap + length(token)) OVER (PARTITION BY note_id ORDER BY i) - length(token) AS INT) AS "start",
+         CAST(sum(gap + length(token)) OVER (PARTITION BY note_id ORDER BY i) AS INT) AS "end"
+  FROM tok_parts),
+labelled AS (SELECT *, CASE WHEN (idx * 7 + pos) % 11 < 2 AND (idx // 20) % 3 = 0 THEN 1 + idx % 2 ELSE 0 END AS label_no FROM toks)"""
+
+
+
+
 def sql(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
