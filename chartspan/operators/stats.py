@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from chartspan.functions.text import blank
 from chartspan.operators.ordering import rank_annotations, rank_in_bins
 
-_SUGGESTED = F.col("source").eqNullSafe("suggested")
+def _suggested():
+    return F.col("source").eqNullSafe("suggested")
 
 
 def question_counts(annotations: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def count_by_note(annotations: DataFrame) -> DataFrame:
 
 
 def notes_with_suggested(annotations: DataFrame) -> DataFrame:
-    return annotations.groupBy("note_id").agg(F.bool_or(_SUGGESTED).alias("has_suggested"))
+    return annotations.groupBy("note_id").agg(F.bool_or(_suggested()).alias("has_suggested"))
 
 
 def count_by_type(notes: DataFrame) -> DataFrame:
@@ -38,14 +39,14 @@ def count_by_type(notes: DataFrame) -> DataFrame:
 
 def source_and_comment_counts(annotations: DataFrame) -> DataFrame:
     return annotations.agg(
-        F.count_if(~_SUGGESTED).alias("manual"),
-        F.count_if(_SUGGESTED).alias("suggested"),
+        F.count_if(~_suggested()).alias("manual"),
+        F.count_if(_suggested()).alias("suggested"),
         F.count_if(~blank("comment")).alias("with_comment"),
     )
 
 
 def suggested_count(annotations: DataFrame) -> DataFrame:
-    return annotations.agg(F.count_if(_SUGGESTED).alias("suggested"))
+    return annotations.agg(F.count_if(_suggested()).alias("suggested"))
 
 
 def annotated_note_count(notes: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def annotation_index_by_note(annotations: DataFrame, chunk: int = 1000) -> DataF
 def note_overview(notes: DataFrame, annotations: DataFrame, order: str = "pos") -> DataFrame:
     """The list row of a note: position, id, type, count, suggested flag, preview."""
     per_note = annotations.groupBy("note_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(_SUGGESTED).alias("has_suggested"))
+        F.count(F.lit(1)).alias("n"), F.bool_or(_suggested()).alias("has_suggested"))
     short = notes.select("note_id", order, "type", F.substring("text", 1, 50).alias("preview"))
     return rank_in_bins(short, [], order, "position").join(per_note, "note_id", "left").select(
         "position", "note_id", "type",
@@ -90,8 +91,8 @@ def export_stats(notes: DataFrame, annotations: DataFrame, questions: DataFrame)
     totals = annotations.agg(
         F.count_distinct("note_id").alias("annotated_notes"),
         F.count(F.lit(1)).alias("total_annotations"),
-        F.count_if(~_SUGGESTED).alias("manual"),
-        F.count_if(_SUGGESTED).alias("suggested"),
+        F.count_if(~_suggested()).alias("manual"),
+        F.count_if(_suggested()).alias("suggested"),
     )
     by_question = count_by_question(annotations, questions).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("question_id", "n")))).alias(

@@ -57,15 +57,20 @@ def score_tokens(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = model()
         for batch in batches:
+            scored = [score(list(t)) if len(t) else [] for t in batch["tokens"]]
             yield pd.DataFrame({
                 "note_id": batch["note_id"],
-                "logits": [score(list(tokens)) if len(tokens) else [] for tokens in batch["tokens"]],
+                "width": [len(rows[0]) if len(rows) else 1 for rows in scored],
+                "flat": [[float(x) for row in rows for x in row] for rows in scored],
             })
 
     bundled = notes.select("note_id", F.filter(
         F.split("text", r"(?U)\s+"), lambda t: F.length(t) > 0).alias("tokens"))
-    scored = bundled.mapInPandas(run, "note_id string, logits array<array<double>>")
-    return scored.select("note_id", F.posexplode("logits").alias("idx", "logits"))
+    scored = bundled.mapInPandas(run, "note_id string, width int, flat array<double>")
+    starts = F.sequence(F.lit(1), F.size("flat"), F.col("width"))
+    return scored.where(F.size("flat") > 0).select(
+        "note_id",
+        F.posexplode(F.transform(starts, lambda s: F.slice("flat", s, F.col("width")))).alias("idx", "logits"))
 
 
 def softmax(logits: Column) -> Column:

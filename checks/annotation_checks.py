@@ -11,13 +11,14 @@ from chartspan.operators import changes, ordering, stats
 from chartspan.operators.rules import questions_table
 from chartspan.sources import sinks
 
-JOINED = F.array_join("questions", ";").alias("questions")
+def joined():
+    return F.array_join("questions", ";").alias("questions")
 BASE = 'ann_id, note_id, "start", "end", text, questions, comment, source'
 
 
 def flat(df):
     """The comparable columns of annotations."""
-    return df.select("ann_id", "note_id", "start", "end", "text", JOINED, "comment", "source")
+    return df.select("ann_id", "note_id", "start", "end", "text", joined(), "comment", "source")
 
 
 def ids(df, condition):
@@ -145,7 +146,7 @@ def new_spans(spark, sf):
 
 
 def added(df):
-    return df.select("note_id", "start", "end", "text", JOINED, "source")
+    return df.select("note_id", "start", "end", "text", joined(), "source")
 
 
 @query("add_annotations", sql(
@@ -182,14 +183,14 @@ def _(spark, sf):
     "THEN questions || ';Q6' ELSE questions END AS questions FROM annotations", *NA))
 def _(spark, sf):
     a = annotations(spark, sf)
-    return ann.add_question_to_ann(a, "Q6", ids(a, "seq % 3 = 0")).select("ann_id", JOINED)
+    return ann.add_question_to_ann(a, "Q6", ids(a, "seq % 3 = 0")).select("ann_id", joined())
 
 
 @query("remove_question_from_ann", sql(
     "SELECT ann_id, CASE WHEN questions LIKE '%;Q10' THEN replace(questions, ';Q10', '') ELSE questions END AS questions "
     "FROM annotations", *NA))
 def _(spark, sf):
-    return ann.remove_question_from_ann(annotations(spark, sf), "Q10").select("ann_id", JOINED)
+    return ann.remove_question_from_ann(annotations(spark, sf), "Q10").select("ann_id", joined())
 
 
 @query("set_comment", sql(

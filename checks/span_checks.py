@@ -8,7 +8,8 @@ from checks.registry import query
 from checks.views import BADGES_SQL, LINES_SQL, N, NA, TOKENS_SQL, annotations, notes, sql
 from chartspan.operators import lines, ordering, spans, tokens
 
-JOINED = F.array_join("questions", ";").alias("questions")
+def joined():
+    return F.array_join("questions", ";").alias("questions")
 
 # The a1_ spans are the existing annotations, a span of 6 characters around every a1_ start of
 # odd sequence number the new ones.
@@ -61,14 +62,14 @@ _GROWN = 'span_id, ann_id, s AS "start", e AS "end", substr(ntext, s + 1, e - s)
 @query("overlap_extend", sql(f"SELECT {_GROWN}, questions FROM paired WHERE ann_id IS NOT NULL", *NA, _NEW_SQL, _PRIMARY_SQL))
 def _(spark, sf):
     return spans.overlap_extend(fresh(spark, sf), old(spark, sf), notes(spark, sf)).select(
-        "span_id", "ann_id", "start", "end", "text", JOINED)
+        "span_id", "ann_id", "start", "end", "text", joined())
 
 
 @query("overlap_merge", sql(
     f"SELECT {_GROWN}, questions || ';Q9' AS questions FROM paired WHERE ann_id IS NOT NULL", *NA, _NEW_SQL, _PRIMARY_SQL))
 def _(spark, sf):
     return spans.overlap_merge(fresh(spark, sf), old(spark, sf), notes(spark, sf)).select(
-        "span_id", "ann_id", "start", "end", "text", JOINED)
+        "span_id", "ann_id", "start", "end", "text", joined())
 
 
 @query("overlap_resolve", sql(
@@ -83,7 +84,7 @@ def _(spark, sf):
     for policy in ("merge", "keep_both", "cancel"):
         one = spans.overlap_resolve(fresh(spark, sf), old(spark, sf), notes(spark, sf), policy).select(
             F.lit(policy).alias("policy"), "span_id", F.coalesce("ann_id", F.lit("-")).alias("ann_id"),
-            "start", "end", JOINED, "action", "is_adjacent")
+            "start", "end", joined(), "action", "is_adjacent")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -150,12 +150,18 @@ def _(spark, sf):
 
 
 def stub_model():
-    """A stand-in classifier: logits from the token's length and place, so SQL can restate them."""
+    """A stand-in classifier: logits from the token's length and place, so SQL can restate them.
 
-    def score(toks):
-        return [[((len(t) * (j + 3) + i * (j + 1)) % 11) / 4 for j in range(3)] for i, t in enumerate(toks)]
+    Built inside a function so that it travels to the workers with the query.
+    """
 
-    return score
+    def load():
+        def score(toks):
+            return [[((len(t) * (j + 3) + i * (j + 1)) % 11) / 4 for j in range(3)] for i, t in enumerate(toks)]
+
+        return score
+
+    return load
 
 
 _LOGITS = """
@@ -167,7 +173,7 @@ decoded AS (SELECT *, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN
 
 
 def scored(spark, sf):
-    return tokens.score_tokens(notes(spark, sf), stub_model)
+    return tokens.score_tokens(notes(spark, sf), stub_model())
 
 
 def decoded(spark, sf):
