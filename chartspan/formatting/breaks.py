@@ -153,7 +153,7 @@ def dense_lines(t: Column) -> Column:
     def cut(line: Column) -> Column:
         return subs(
             line,
-            (rf"(?:(?<=[.!?;)\]>])\s+|\s{{2,}})({marker})(?=\s|:|\z)", "\n\n$1"),
+            (rf"(?=\s)(?:(?<=[.!?;)\]>])\s+|\s{{2,}})({marker})(?=\s|:|\z)", "\n\n$1"),
             (r"\s{2,}([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,60})\s*:", "\n\n$1:"),
             (r"\s{2,}([A-Z][A-Z\s/&]{3,})\s*:", "\n\n$1:"),
             (r"\s+(\*\s+[A-Z][a-z])", "\n$1"),
@@ -161,16 +161,16 @@ def dense_lines(t: Column) -> Column:
             (r"(?i)\s{2,}(RBC|FFP|Cryo|Whole Blood|Platelets|Cell Saver)\s*\(", "\n$1 ("),
         )
 
-    return only_if(t, lambda x: x.rlike(r"(?d).{150}"), lambda x: per_line(
+    return only_if(t, lambda x: x.rlike(r"(?md)^.{150}"), lambda x: per_line(
         x, lambda line: F.when(F.length(line) >= 150, cut(line)).otherwise(line)))
 
 
 @step(SECTION, 10)
 def clinical_sections(t: Column) -> Column:
-    t = sub(t, rf"(?:(?<=[.!?)\]])\s+|\s{{2,}})({any_of(CLINICAL_SECTIONS)})\s*[-:]", "\n\n$1:")
+    t = sub(t, rf"(?=\s)(?:(?<=[.!?)\]])\s+|\s{{2,}})({any_of(CLINICAL_SECTIONS)})\s*[-:]", "\n\n$1:")
     t = gap(t, TABLE_HEADERS, "\n\n")
     t = if_contains(t, ["~"], lambda x: subs(x, (r"\s+~\s+", "\n- "), (r"(?m)^~\s+", "- ")))
-    t = sub(t, r"(?i)(?<=\S)\s{2,}(Past (?:Surgical|Medical) History:)", "\n\n$1")
+    t = gap(t, ["Past Surgical History:", "Past Medical History:"], "\n\n")
     t = sub(t, r"(?i)\s{2,}(No past medical history pertinent negatives\.)", "\n\n$1")
     t = gap(t, ["No results found for:", "Procedure:"], "\n")
     t = sub(t, r"(?i)\s{2,}Surgeon:", " Surgeon:")
@@ -372,7 +372,7 @@ def care_instructions(t: Column) -> Column:
 @step(SENTENCES, 60)
 def sentences(t: Column) -> Column:
     t = sub(t, r"([.!?])\s+([A-Z][a-z])", "$1\n$2")
-    return sub(t, rf"({any_of(lex.ABBREVIATIONS)})\n(?=[A-Za-z])", "$1 ")
+    return sub(t, rf"(?=\n[A-Za-z])(?<={any_of(lex.ABBREVIATIONS)})\n", " ")
 
 
 @step(SENTENCES, 61)
@@ -413,7 +413,7 @@ def headers_on_new_lines(t: Column) -> Column:
 @step(SECTION, 68)
 def label_breaks(t: Column) -> Column:
     labels = any_of(lex.ROS_LABELS + lex.INLINE_EXAM_LABELS)
-    return sub(t, rf"(?<=[A-Za-z.!?])\s+({labels})\s*:", "\n$1:")
+    return sub(t, rf"(?=\s)(?<=[A-Za-z.!?])\s+({labels})\s*:", "\n$1:")
 
 
 @step(SECTION, 69)

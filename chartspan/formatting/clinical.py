@@ -499,7 +499,7 @@ Normal|rate and*
 
 @step(SYSTEMS, 98)
 def exam_findings(t: Column) -> Column:
-    return rejoin(t, *_FINDINGS)
+    return rejoin(t, _FINDINGS)
 
 
 # --- social history, allergies -------------------------------------------------------------

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chartspan.functions.text import CLOSE, OPEN, let, strip
+from chartspan.functions.text import CLOSE, OPEN, any_of, let, strip
 
 Rule = Callable[[Column], Column]
 
@@ -141,14 +141,25 @@ def lookup(table: dict[str, str], key: Rule) -> Rule:
     return repair
 
 
-def rejoin_rules(table: str, word_start: bool = True) -> tuple[str, dict[str, str]]:
+@dataclass(frozen=True)
+class Rejoin:
+    """Compiled table of broken phrases: what to find, how to repair it, and a cheap test."""
+
+    pattern: str
+    repairs: dict[str, str]
+    test: str
+
+
+def rejoin_rules(table: str, word_start: bool = True) -> Rejoin:
     """Compile a table of broken phrases.
 
     A line reads ``broken form = repaired form``, or just the broken form when the repair is the
     same words with blanks. In the broken form ``|`` is a line break, ``~`` white space of any
     kind; a closing ``*`` says that the phrase may go on within a word.
+
+    The test starts from line breaks: what stands right after one, then what stands before it.
     """
-    patterns, repairs = [], {}
+    patterns, repairs, lefts, rights = [], {}, {}, {}
     for row in filter(None, (line.strip() for line in table.splitlines())):
         form, _, repaired = (part.strip() for part in row.partition(" = "))
         open_end = form.endswith("*")
@@ -160,18 +171,25 @@ def rejoin_rules(table: str, word_start: bool = True) -> tuple[str, dict[str, st
         )
         patterns.append(pattern + ("" if open_end else r"\b"))
         repairs[_squeeze(form)] = repaired
+        first, _, rest = form.partition("|")
+        lefts[re.split(r"[~ ]", first)[-1]] = None
+        rights[re.split(r"[|~ ]", rest)[0]] = None
     patterns.sort(key=len, reverse=True)
-    return "(?i)" + (r"\b" if word_start else "") + "(?:" + "|".join(patterns) + ")", repairs
+    return Rejoin(
+        "(?i)" + (r"\b" if word_start else "") + "(?:" + "|".join(patterns) + ")",
+        repairs,
+        rf"(?=\s*\n\s*{any_of(rights)})(?<={any_of(lefts)})",
+    )
 
 
 def _squeeze(form: str) -> str:
     return re.sub(r"[\s|~&/:-]", "", form.lower())
 
 
-def rejoin(text: Column, pattern: str, repairs: dict[str, str]) -> Column:
-    # a broken phrase holds a line feed; texts on one line are passed over
-    return if_contains(text, ["\n"], lambda t: swap(
-        t, pattern, lookup(repairs, lambda m: F.lower(F.regexp_replace(m, r"[\s&/:-]", "")))))
+def rejoin(text: Column, rules: Rejoin) -> Column:
+    key = lambda m: F.lower(F.regexp_replace(m, r"[\s&/:-]", ""))
+    return only_if(text, lambda t: t.rlike(rules.test), lambda t: swap(
+        t, rules.pattern, lookup(rules.repairs, key)))
 
 
 def trimmed_parts(parts: Column) -> Column:

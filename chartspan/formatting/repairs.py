@@ -313,14 +313,14 @@ def list_spacing(t: Column) -> Column:
 
 @step(REJOIN, 8, 146, 155)
 def compound_terms(t: Column) -> Column:
-    return rejoin(t, *_COMPOUND)
+    return rejoin(t, _COMPOUND)
 
 
 @step(REJOIN, 52, 145, 154)
 def split_headers(t: Column) -> Column:
-    kept = "|".join(rf"(?:{a})(?=\s*\n\s*{b})" for a, b in KEPT_HEADERS)
-    t = if_contains(t, ["\n"], lambda x: sub(x, rf"(?i)({kept})\s*\n\s*", "$1 "))
-    return rejoin(t, *_SET)
+    kept = "|".join(rf"(?<=(?:{a}))(?=\s*\n\s*{b})" for a, b in KEPT_HEADERS)
+    t = sub(t, rf"(?i)(?=\s*\n)(?:{kept})\s*\n\s*", " ")
+    return rejoin(t, _SET)
 
 
 @step(REJOIN, 53, 143)
@@ -337,7 +337,7 @@ def fragmented_labels(t: Column) -> Column:
 
 @step(REJOIN, 54)
 def slash_labels(t: Column) -> Column:
-    return rejoin(t, *_SLASHED)
+    return rejoin(t, _SLASHED)
 
 
 @step(REJOIN, 55)
@@ -387,8 +387,8 @@ def allergies_before_vitals(t: Column) -> Column:
 def lone_connectors(t: Column) -> Column:
     return if_contains(t, ["\n"], lambda x: subs(
         x,
-        (r"(?m)^[ \t]*(.*[^\s.!?])[ \t]*\n[ \t]*(&|(?i:and))[ \t]*\n[ \t]*(?=\S)", "$1 $2 "),
-        (rf"(?m)^[ \t]*(.*[^\s.:!?])[ \t]*\n[ \t]*(?={LONE_WORDS}[ \t]*$)", "$1 "),
+        (r"(?=[ \t]*\n)(?<=[^\s.!?])[ \t]*\n[ \t]*(&|(?i:and))[ \t]*\n[ \t]*(?=\S)", " $1 "),
+        (rf"(?m)(?=[ \t]*\n)(?<=[^\s.:!?])[ \t]*\n[ \t]*(?={LONE_WORDS}[ \t]*$)", " "),
         (rf"(?m)^[ \t]*({LONE_WORDS})[ \t]*\n[ \t]*([a-z].*)$", "$1 $2")))
 
 
@@ -463,8 +463,12 @@ def drug_names(t: Column) -> Column:
 @step(WORDS, 132)
 def split_words(t: Column) -> Column:
     words = {w: w.replace(" ", "") for w in lex.SPLIT_WORDS} | lex.SPLIT_PHRASES
-    t = rejoin(t, *_WRAPPED)
-    return swap(t, alternation(words), lookup(words, lambda m: m))
+    t = rejoin(t, _WRAPPED)
+    # most texts hold none: look at blanks first, at what follows them next
+    lefts = alternation(dict.fromkeys(w.split(" ")[0] for w in words))
+    rights = alternation(dict.fromkeys(w.split(" ", 1)[1] for w in words))
+    return only_if(t, lambda x: x.rlike(rf"(?= {rights})(?<={lefts})"), lambda x: swap(
+        x, alternation(words), lookup(words, lambda m: m)))
 
 
 @step(WORDS, 133)
@@ -505,7 +509,7 @@ def plan_blank_lines(t: Column) -> Column:
 
 @step(MERGE, 127)
 def sentence_ends(t: Column) -> Column:
-    return sub(t, r"(?m)^(.*[^\s.:])[ \t]*\n[ \t]*(?=[a-z].{0,27}\.[ \t]*$)", "$1 ")
+    return sub(t, r"(?m)(?=[ \t]*\n)(?<=[^\s.:])[ \t]*\n[ \t]*(?=[a-z].{0,27}\.[ \t]*$)", " ")
 
 
 @step(MERGE, 128)
@@ -515,7 +519,7 @@ def orphan_headers(t: Column) -> Column:
 
 @step(MERGE, 129)
 def orphan_dates(t: Column) -> Column:
-    return sub(t, r"(?m)^(.*\S)[ \t]*\n[ \t]*(?=(?:\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})[ \t]*$)", "$1 ")
+    return sub(t, r"(?m)(?=[ \t]*\n)(?<=\S)[ \t]*\n[ \t]*(?=(?:\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})[ \t]*$)", " ")
 
 
 @step(MERGE, 130)
@@ -543,7 +547,7 @@ def _cut(line: Column, pattern: str) -> Column:
 
 def _long_lines(t: Column, width: int, pattern: str) -> Column:
     whole = rf"\A{lex.TABLE_LINE}"
-    return only_if(t, lambda x: x.rlike(rf"(?d).{{{width + 1}}}"), lambda x: per_line(
+    return only_if(t, lambda x: x.rlike(rf"(?md)^.{{{width + 1}}}"), lambda x: per_line(
         x, lambda line: F.when(
             (F.length(line) > width) & ~line.rlike(whole), _cut(line, pattern)).otherwise(line)))
 
@@ -552,14 +556,14 @@ def _long_lines(t: Column, width: int, pattern: str) -> Column:
 def long_lines(t: Column) -> Column:
     """Lines beyond 1,200 characters end at the last sentence, semicolon or gap before that."""
     return _long_lines(
-        t, 1200, r"(?s)\s*(.{1,1200}\z|.{0,1200}\.(?= )|.{0,1200};(?= )|.{0,1200} (?= )|.{1201})")
+        t, 1200, r"(?s)\s*((?>.{1,1200})\z|.{0,1200}\.(?= )|.{0,1200};(?= )|.{0,1200} (?= )|.{1201})")
 
 
 def wrap(t: Column, width: int = 98) -> Column:
     """Wrap at the last blank in reach; a line without one in its second half is cut."""
     least = max(math.ceil(width / 2) - 1, 0)
     return _long_lines(
-        t, width, rf"(?s) ?(.{{1,{width}}}\z|.{{{least},{width - 1}}}[^ ](?= )|.{{{width}}})")
+        t, width, rf"(?s) ?((?>.{{1,{width}}})\z|.{{{least},{width - 1}}}[^ ](?= )|.{{{width}}})")
 
 
 step(WRAP, 137)(wrap)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspan.functions import vocab
-from chartspan.functions.text import any_of, quote
+from chartspan.functions.text import any_of, let, quote
 from chartspan.operators.matching import question_predicates
 from chartspan.operators.rules import Rule
 
@@ -119,7 +119,10 @@ def filter_radiology_notes(notes: DataFrame) -> DataFrame:
 def reads_like_radiology(text: Column | str) -> Column:
     """One strong sign, or two when at least two signs of another kind of note are present."""
     upper = F.upper(F.col(text) if isinstance(text, str) else text)
+    return let(upper, _signs_of_radiology)
 
+
+def _signs_of_radiology(upper: Column) -> Column:
     def signs(words: list[str], up: Column) -> Column:
         total = F.lit(0)
         for w in words:
