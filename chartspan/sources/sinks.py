@@ -120,3 +120,34 @@ def append_or_replace_notes(
     if mode == "replace":
         return new, annotations.limit(0)
     raise ValueError(f"unknown mode {mode}")
+
+
+def write_formatted_corpus(spark, in_dir: str, out_dir: str, limit: int | None = None) -> DataFrame:
+    """Format a folder tree of text files into Parquet keyed by relative path; returns a summary
+    row (processed, failed, total).
+
+    Rows are partitioned by folder on disk, so the tree can be written back or read in part.
+    """
+    from chartspan.formatting.jobs import format_notes
+    from chartspan.sources.readers import whole_files
+
+    files = whole_files(spark, in_dir, ".txt").withColumn("path", F.regexp_replace(
+        F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B"))), r"\Afile:/+", "/"))
+    relative = F.ltrim(F.replace("path", F.lit(in_dir.rstrip("/")), F.lit("")), F.lit("/"))
+    files = files.withColumn("path", relative)
+    if limit:
+        chosen = files.select("path").orderBy("path").limit(limit)
+        files = files.join(chosen, "path", "left_semi")
+    notes = files.select(
+        "path",
+        F.regexp_replace("path", r"\A(?:.*/)?([^/]*)\.txt\z", "$1").alias("note_id"),
+        F.coalesce("__text", F.lit("")).alias("text"),
+        F.col("__text").alias("raw_text"))
+    folder = F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)
+    done = format_notes(notes).withColumn("folder", F.when(folder == "", ".").otherwise(folder))
+    done.write.mode("overwrite").partitionBy("folder").parquet(out_dir)
+    written = spark.read.parquet(out_dir)
+    return written.agg(
+        F.count_if(F.col("text").isNotNull()).alias("processed"),
+        F.count_if(F.col("text").isNull()).alias("failed"),
+        F.count(F.lit(1)).alias("total"))
