@@ -44,7 +44,8 @@ def export_csv_rows(notes: DataFrame, annotations: DataFrame) -> DataFrame:
 def write_csv(notes: DataFrame, annotations: DataFrame, path: str) -> None:
     """Every field quoted, quotes doubled; one part per task."""
     export_csv_rows(notes, annotations).write.mode("overwrite").csv(
-        path, header=True, quoteAll=True, quote='"', escape='"', emptyValue="")
+        path, header=True, quoteAll=True, quote='"', escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def _session_notes(notes: DataFrame) -> DataFrame:
