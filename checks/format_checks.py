@@ -77,24 +77,25 @@ _CLEAN = replaced(
     ("(?im)^[ \\t]*reviewed\\..{0,70}(?:\\n|$)", ""), ("\\n{4,}", "\n\n\n"), ("(?m)^[ \\t]+|[ \\t]+$", ""), ("\\n{3,}", "\n\n"))
 
 # One cut at a time: at 1,200 characters, then at 98.
-_WRAP = """
-l0 AS (SELECT note_id, CAST(i AS INT) AS i, parts[i] AS line FROM (SELECT note_id, string_split(text, chr(10)) AS parts FROM dense), unnest(range(1, len(parts) + 1)) AS u(i)),
-long(note_id, i, k, piece, rest) AS (
-  SELECT note_id, i, 0, CAST(NULL AS VARCHAR), line FROM l0
+_TABLE = "regexp_matches({0}, '^\\s*\\|.*\\|') OR regexp_matches({0}, '^\\s*\\+.*(---|===)')"
+_WRAP = f"""
+l0 AS (SELECT note_id, CAST(i AS INT) AS i, parts[i] AS line, {_TABLE.format('parts[i]')} AS tab FROM (SELECT note_id, string_split(text, chr(10)) AS parts FROM dense), unnest(range(1, len(parts) + 1)) AS u(i)),
+long(note_id, i, k, tab, piece, rest) AS (
+  SELECT note_id, i, 0, tab, CAST(NULL AS VARCHAR), line FROM l0
   UNION ALL
-  SELECT note_id, i, k + 1, CASE WHEN length(rest) <= 1200 THEN rest ELSE trim(substr(rest, 1, cut)) END,
-         CASE WHEN length(rest) <= 1200 THEN NULL ELSE ltrim(substr(rest, cut + 1)) END FROM (
+  SELECT note_id, i, k + 1, tab, CASE WHEN length(rest) <= 1200 OR tab THEN rest ELSE trim(substr(rest, 1, cut)) END,
+         CASE WHEN length(rest) <= 1200 OR tab THEN NULL ELSE ltrim(substr(rest, cut + 1)) END FROM (
     SELECT *, CASE WHEN contains(head, '. ') THEN length(head) - instr(reverse(head), ' .') WHEN contains(head, '; ') THEN length(head) - instr(reverse(head), ' ;')
                    WHEN contains(head, '  ') THEN length(head) - instr(reverse(head), '  ') ELSE 1201 END AS cut FROM (
-      SELECT note_id, i, k, rest, substr(rest, 1, 1202) AS head FROM long WHERE rest IS NOT NULL))),
-l1 AS (SELECT note_id, i, k, piece AS line FROM long WHERE k > 0 AND (piece <> '' OR (k = 1 AND rest IS NULL))),
-short(note_id, i, k, j, piece, rest) AS (
-  SELECT note_id, i, k, 0, CAST(NULL AS VARCHAR), line FROM l1
+      SELECT note_id, i, k, tab, rest, substr(rest, 1, 1202) AS head FROM long WHERE rest IS NOT NULL))),
+l1 AS (SELECT note_id, i, k, piece AS line, {_TABLE.format('piece')} AS tab FROM long WHERE k > 0 AND (piece <> '' OR (k = 1 AND rest IS NULL))),
+short(note_id, i, k, j, tab, piece, rest) AS (
+  SELECT note_id, i, k, 0, tab, CAST(NULL AS VARCHAR), line FROM l1
   UNION ALL
-  SELECT note_id, i, k, j + 1, CASE WHEN length(rest) <= 98 THEN rest ELSE rtrim(substr(rest, 1, cut)) END,
-         CASE WHEN length(rest) <= 98 THEN NULL ELSE ltrim(substr(rest, cut + 1)) END FROM (
+  SELECT note_id, i, k, j + 1, tab, CASE WHEN length(rest) <= 98 OR tab THEN rest ELSE rtrim(substr(rest, 1, cut)) END,
+         CASE WHEN length(rest) <= 98 OR tab THEN NULL ELSE ltrim(substr(rest, cut + 1)) END FROM (
     SELECT *, CASE WHEN spot >= 49 THEN spot ELSE 98 END AS cut FROM (
-      SELECT note_id, i, k, j, rest, CASE WHEN contains(substr(rest, 1, 99), ' ') THEN 99 - instr(reverse(substr(rest, 1, 99)), ' ') ELSE -1 END AS spot
+      SELECT note_id, i, k, j, tab, rest, CASE WHEN contains(substr(rest, 1, 99), ' ') THEN 99 - instr(reverse(substr(rest, 1, 99)), ' ') ELSE -1 END AS spot
       FROM short WHERE rest IS NOT NULL)))"""
 
 ORACLES = {
