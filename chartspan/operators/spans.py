@@ -406,14 +406,17 @@ def _recut(df: DataFrame) -> DataFrame:
 def extract_radiology_entities(
     notes: DataFrame, labelled_tokens: DataFrame, collapse_all: bool = True
 ) -> DataFrame:
-    """Radiology notes' labelled tokens as entities: chain, grow, merge, grow, merge."""
+    """Radiology notes' labelled tokens as entities: chain, merge, grow to sentences, merge.
+
+    Chained spans begin and end with tokens, and sentence growth ends on words, so words never
+    have to be completed in between: the note text is met twice, to grow and to cut.
+    """
     from chartspan.operators.filters import filter_radiology_notes
 
-    radiology = filter_radiology_notes(notes)
+    radiology = filter_radiology_notes(notes).select("note_id", "text")
     tokens = labelled_tokens.join(radiology.select("note_id"), "note_id", "left_semi")
-    chained = expand_to_word(chain_merge_spans(tokens, collapse_all=collapse_all), radiology)
-    merged = merge_adjacent_spans(chained, 120 if collapse_all else 30)
-    if not collapse_all:
-        return expand_to_word(merged, radiology)
-    return expand_to_word(
-        merge_adjacent_spans(expand_to_sentence(merged, radiology), 0), radiology)
+    merged = merge_adjacent_spans(
+        chain_merge_spans(tokens, collapse_all=collapse_all), 120 if collapse_all else 30)
+    if collapse_all:
+        merged = merge_adjacent_spans(expand_to_sentence(merged, radiology), 0)
+    return expand_to_word(merged, radiology)

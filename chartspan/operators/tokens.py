@@ -15,20 +15,27 @@ from chartspan.operators.lines import is_bullet_token, line_type_of, section_of
 LOOKAHEAD = 10
 
 
-def tokenize_offsets(notes: DataFrame, keep: tuple[str, ...] = ("note_id",)) -> DataFrame:
-    """White-space tokens with offsets, cut inside the note's row."""
+def _token_arrays(notes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Tokens of a note and where they start, as two arrays of its row."""
     cut = notes.withColumn("__pieces", F.split(
         F.regexp_replace(guard("text"), r"(?U)\S+", f"{OPEN}$0{CLOSE}"), OPEN, -1))
+    # the piece before a token ends where the token starts
     located = cut.withColumn("__ends", running_total(F.transform(
         "__pieces", lambda p: F.length(p) - F.contains(p, F.lit(CLOSE)).cast("int"))))
-    # the piece before a token ends where the token starts
-    tokens = located.select(
-        *keep, "__ends", F.posexplode(F.slice("__pieces", 2, F.size("__pieces"))).alias("idx", "__piece"))
-    token = F.substring_index("__piece", CLOSE, 1)
-    start = F.element_at("__ends", F.col("idx") + 1)
-    return tokens.select(
-        *keep, "idx", token.alias("token"), start.alias("start"),
-        (start + F.length(token)).alias("end"))
+    count = F.size("__pieces") - 1
+    return located.select(
+        *keep,
+        F.transform(F.slice("__pieces", F.lit(2), count), lambda p: F.substring_index(p, CLOSE, 1)).alias("tokens"),
+        F.slice("__ends", F.lit(1), count).alias("starts"),
+    )
+
+
+def tokenize_offsets(notes: DataFrame, keep: tuple[str, ...] = ("note_id",)) -> DataFrame:
+    """White-space tokens with offsets, cut inside the note's row."""
+    rows = _token_arrays(notes, keep).select(*keep, F.posexplode(F.arrays_zip("tokens", "starts")).alias("idx", "__t"))
+    return rows.select(
+        *keep, "idx", F.col("__t.tokens").alias("token"), F.col("__t.starts").alias("start"),
+        (F.col("__t.starts") + F.length("__t.tokens")).alias("end"))
 
 
 def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, unknown: int, lower: bool = False) -> DataFrame:
@@ -48,29 +55,31 @@ def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, unknown: int, lower:
 def score_tokens(
     notes: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]]
 ) -> DataFrame:
-    """Run a token classifier over whole notes.
+    """Run a token classifier over whole notes: (note_id, idx, token, start, end, logits).
 
     ``model`` is called once per worker task and returns a function from a note's tokens to one
-    row of logits per token. Notes flow through in Arrow batches.
+    row of logits per token. Notes flow through in Arrow batches, and tokens travel along with
+    their scores, so nothing has to be joined or shuffled afterwards.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = model()
         for batch in batches:
-            scored = [score(list(t)) if len(t) else [] for t in batch["tokens"]]
-            yield pd.DataFrame({
-                "note_id": batch["note_id"],
-                "width": [len(rows[0]) if len(rows) else 1 for rows in scored],
-                "flat": [[float(x) for row in rows for x in row] for rows in scored],
-            })
-
-    bundled = notes.select("note_id", F.filter(
-        F.split("text", r"(?U)\s+"), lambda t: F.length(t) > 0).alias("tokens"))
-    scored = bundled.mapInPandas(run, "note_id string, width int, flat array<double>")
-    starts = F.sequence(F.lit(1), F.size("flat"), F.col("width"))
-    return scored.where(F.size("flat") > 0).select(
-        "note_id",
-        F.posexplode(F.transform(starts, lambda s: F.slice("flat", s, F.col("width")))).alias("idx", "logits"))
+            scored = [score(list(t)) for t in batch["tokens"]]
+            batch["width"] = [len(rows[0]) for rows in scored]
+            batch["flat"] = [[float(x) for row in rows for x in row] for rows in scored]
+            yield batch
+
+    bundled = _token_arrays(notes, ("note_id",)).where(F.size("tokens") > 0)
+    scored = bundled.mapInPandas(
+        run, "note_id string, tokens array<string>, starts array<int>, width int, flat array<double>")
+    cuts = F.sequence(F.lit(1), F.size("flat"), F.col("width"))
+    logits = F.transform(cuts, lambda s: F.slice("flat", s, F.col("width")))
+    rows = scored.select(
+        "note_id", F.posexplode(F.arrays_zip("tokens", "starts", logits.alias("logits"))).alias("idx", "__t"))
+    return rows.select(
+        "note_id", "idx", F.col("__t.tokens").alias("token"), F.col("__t.starts").alias("start"),
+        (F.col("__t.starts") + F.length("__t.tokens")).alias("end"), F.col("__t.logits").alias("logits"))
 
 
 def softmax(logits: Column) -> Column:

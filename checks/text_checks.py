@@ -177,8 +177,7 @@ def scored(spark, sf):
 
 
 def decoded(spark, sf):
-    t = T(spark, sf)
-    return tokens.decode_logits(scored(spark, sf)).join(t, ["note_id", "idx"])
+    return tokens.decode_logits(scored(spark, sf))
 
 
 @query("score_tokens", sql("SELECT note_id, idx, CAST(l0 AS DOUBLE) AS l0, CAST(l1 AS DOUBLE) AS l1, CAST(l2 AS DOUBLE) AS l2 FROM logits",
