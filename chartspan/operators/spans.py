@@ -192,81 +192,107 @@ def distinct_edges(annotations: DataFrame, notes: DataFrame) -> DataFrame:
     return inner.unionByName(ends).distinct()
 
 
-def _pieces(annotations: DataFrame, notes: DataFrame) -> DataFrame:
-    order = Window.partitionBy("note_id").orderBy("pos")
-    cut = distinct_edges(annotations, notes).select(
-        "note_id",
-        F.col("pos").alias("start"),
-        F.lead("pos").over(order).alias("end"),
-        (F.row_number().over(order) - 1).alias("seg_no"),
-    ).where(F.col("end").isNotNull())
-    # a note of length 0 still shows one empty piece
-    empty = notes.where(F.length("text") == 0).select(
-        "note_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("seg_no"))
-    return cut.unionByName(empty)
+def _inside(annotations: DataFrame) -> DataFrame:
+    return annotations.withColumn("start", F.greatest("start", F.lit(0)))
 
 
-def segment_annotations(annotations: DataFrame, notes: DataFrame) -> DataFrame:
-    """(note, seg_no, annotation): which annotations cover which piece, in long form, so a piece
-    under very many annotations stays many rows rather than one long list."""
-    return _covering(_pieces(annotations, notes), annotations)
+def _edge_pieces(spans: DataFrame) -> DataFrame:
+    """(note, seg_no, p, p_end): the stretches between neighbouring span edges of a note.
+
+    Numbered as in the cut note, which has one more piece in front unless an edge is at 0.
+    """
+    order = Window.partitionBy("note_id").orderBy("p")
+    edges = spans.select("note_id", F.explode(F.array("start", "end")).alias("p")).distinct()
+    first = F.min("p").over(Window.partitionBy("note_id"))
+    return edges.select(
+        "note_id", "p",
+        F.lead("p").over(order).alias("p_end"),
+        (F.row_number().over(order) - F.when(first == 0, 1).otherwise(0)).alias("seg_no"),
+    )
 
 
-def _covering(pieces: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Each piece lies between neighbouring edges, so an annotation covers it exactly when it
-    covers the piece's start: a point-in-interval join on (note, bin)."""
-    left = pieces.select(
-        "note_id", "seg_no", F.col("start").alias("p"), F.col("end").alias("p_end"),
-        bin_of(F.col("start")).alias("__bin"))
-    right = _binned(annotations)
-    return left.join(right, ["note_id", "__bin"]).where(
-        (F.col("start") <= F.col("p")) & (F.col("end") >= F.col("p_end")) & (F.col("p_end") > F.col("p"))
-    ).drop("__bin", "p", "p_end")
+def _covering(pieces: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each piece lies between neighbouring edges, so a span covers it exactly when it covers the
+    piece's start: a point-in-interval join on (note, bin)."""
+    left = pieces.where(F.col("p_end").isNotNull()).withColumn("__bin", bin_of(F.col("p")))
+    return left.join(_binned(spans), ["note_id", "__bin"]).where(
+        (F.col("start") <= F.col("p")) & (F.col("end") >= F.col("p_end"))
+    ).drop("__bin")
+
+
+def segment_annotations(annotations: DataFrame) -> DataFrame:
+    """(note, seg_no, annotation): which annotations cover which piece, in long form, so a piece
+    under very many annotations stays many rows rather than one long list."""
+    inside = _inside(annotations)
+    spans = inside.select("note_id", "start", "end").distinct()
+    cover = _covering(_edge_pieces(spans), spans).select("note_id", "seg_no", "start", "end")
+    return inside.join(cover, ["note_id", "start", "end"]).select("note_id", "seg_no", "ann_id")
 
 
 def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int = 10_000) -> DataFrame:
     """Cut each note at every span edge; each piece tells what covers it.
 
-    Coverage is first folded to one row per distinct span (question set and suggested flag are
-    combined map-side). ``annotation_ids`` lists the covering annotations of pieces with at most
-    ``id_list_limit`` of them; ``n_annotations`` is always exact and ``segment_annotations``
-    gives the ids of every piece as rows.
+    Coverage is worked out on distinct spans (counts, question sets and flags are combined
+    map-side) and edges alone. It reaches the notes as one sorted list per note, bounded by the
+    text, so the text is joined once and cut inside its row. ``annotation_ids`` lists the covering
+    annotations of pieces with at most ``id_list_limit`` of them; ``n_annotations`` is always exact
+    and ``segment_annotations`` gives the ids of every piece as rows.
     """
-    pieces = _pieces(annotations, notes)
-    spans = annotations.select(
+    inside = _inside(annotations)
+    spans = inside.select(
         "note_id", "start", "end", "ann_id", "source", F.explode_outer("questions").alias("q")
     ).groupBy("note_id", "start", "end").agg(
         F.count_distinct("ann_id").alias("n"),
         F.collect_set("q").alias("questions"),
         F.bool_or(F.col("source") == "suggested").alias("is_suggested"),
     )
-    cover = _covering(pieces, spans).groupBy("note_id", "seg_no").agg(
-        F.sum("n").alias("n_annotations"),
+    pieces = _edge_pieces(spans)
+    cover = _covering(pieces, spans)
+    facts = cover.groupBy("note_id", "p").agg(
+        F.sum("n").alias("n"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("questions")))).alias("questions"),
         F.bool_or("is_suggested").alias("is_suggested"),
     )
-    listed = cover.where(F.col("n_annotations") <= id_list_limit).select("note_id", "seg_no")
-    ids = _covering(pieces, annotations.select("note_id", "start", "end", "ann_id")).join(
-        listed, ["note_id", "seg_no"], "left_semi"
-    ).groupBy("note_id", "seg_no").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("start", "end", "ann_id"))), lambda s: s["ann_id"]
-        ).alias("annotation_ids"))
-    text = notes.select("note_id", F.col("text").alias("note_text"))
-    return (
-        pieces.join(cover, ["note_id", "seg_no"], "left")
-        .join(ids, ["note_id", "seg_no"], "left")
-        .join(text, "note_id")
-        .select(
-            "note_id", "seg_no", "start", "end",
-            slice_text("note_text", F.col("start"), F.col("end")).alias("text"),
-            F.when(F.col("n_annotations").isNull(), "plain").otherwise("highlight").alias("kind"),
-            F.coalesce("questions", F.array().cast("array<string>")).alias("questions"),
-            F.coalesce("n_annotations", F.lit(0).cast("long")).alias("n_annotations"),
-            F.when(F.col("n_annotations").isNull(), F.array().cast("array<string>"))
-            .otherwise(F.col("annotation_ids")).alias("annotation_ids"),
-            F.coalesce("is_suggested", F.lit(False)).alias("is_suggested"),
-        )
+    small = facts.where(F.col("n") <= id_list_limit).select("note_id", "p")
+    named = cover.select("note_id", "p", "start", "end").join(small, ["note_id", "p"], "left_semi").join(
+        inside.select("note_id", "start", "end", "ann_id"), ["note_id", "start", "end"])
+    ids = named.groupBy("note_id", "p").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("start", "end", "ann_id"))), lambda x: x["ann_id"]).alias("ids"))
+    edge = F.struct("p", "n", "questions", "is_suggested", "ids")
+    per_note = (
+        pieces.select("note_id", "p")
+        .join(facts, ["note_id", "p"], "left")
+        .join(ids, ["note_id", "p"], "left")
+        .groupBy("note_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    )
+    origin = F.array(F.struct(
+        F.lit(0).alias("p"), F.lit(None).cast("long").alias("n"),
+        F.lit(None).cast("array<string>").alias("questions"), F.lit(None).cast("boolean").alias("is_suggested"),
+        F.lit(None).cast("array<string>").alias("ids")))
+    size = F.length("text")
+    starts = (
+        F.when(F.col("edges").isNull(), origin)
+        .when(F.element_at("edges", 1)["p"] == 0, F.col("edges"))
+        .otherwise(F.concat(origin, F.col("edges")))
+    )
+    cut = (
+        notes.select("note_id", "text").join(per_note, "note_id", "left")
+        .withColumn("__starts", F.filter(starts, lambda e: (e["p"] < size) | (e["p"] == 0)))
+        .select("note_id", "text", "__starts", F.posexplode("__starts").alias("seg_no", "__e"))
+    )
+    end = F.coalesce(F.try_element_at("__starts", F.col("seg_no") + 2)["p"], size)
+    none = F.array().cast("array<string>")
+    plain = F.col("__e.n").isNull()
+    return cut.select(
+        "note_id", "seg_no",
+        F.col("__e.p").alias("start"),
+        end.alias("end"),
+        slice_text("text", F.col("__e.p"), end).alias("text"),
+        F.when(plain, "plain").otherwise("highlight").alias("kind"),
+        F.coalesce("__e.questions", none).alias("questions"),
+        F.coalesce("__e.n", F.lit(0).cast("long")).alias("n_annotations"),
+        F.when(plain, none).otherwise(F.col("__e.ids")).alias("annotation_ids"),
+        F.coalesce("__e.is_suggested", F.lit(False)).alias("is_suggested"),
     )
 
 

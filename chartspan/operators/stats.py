@@ -84,23 +84,18 @@ def note_overview(notes: DataFrame, annotations: DataFrame, order: str = "pos")
 
 
 def export_stats(notes: DataFrame, annotations: DataFrame, questions: DataFrame) -> DataFrame:
-    """One row of totals; ``by_question`` maps every known or used question id to its count.
-
-    The three inputs reduce to one row each before they are put side by side.
-    """
+    """One row of totals; ``by_question`` maps every known or used question id to its count."""
+    by_question = count_by_question(annotations, questions).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("question_id", "n")))))
+    total = notes.agg(F.count(F.lit(1)))
     totals = annotations.agg(
         F.count_distinct("note_id").alias("annotated_notes"),
         F.count(F.lit(1)).alias("total_annotations"),
         F.count_if(~_suggested()).alias("manual"),
         F.count_if(_suggested()).alias("suggested"),
     )
-    by_question = count_by_question(annotations, questions).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("question_id", "n")))).alias(
-            "by_question"))
-    total = notes.agg(F.count(F.lit(1)).alias("total_notes"))
-    key = F.lit(1).alias("__one")
-    return total.select("*", key).join(totals.select("*", key), "__one").join(
-        by_question.select("*", key), "__one").drop("__one")
+    return totals.select(
+        total.scalar().alias("total_notes"), "*", by_question.scalar().alias("by_question"))
 
 
 def token_stats(tokens: DataFrame) -> DataFrame:
@@ -121,7 +116,6 @@ def token_stats(tokens: DataFrame) -> DataFrame:
 
 def import_summary(notes: DataFrame, errors: DataFrame) -> DataFrame:
     """Notes read, inputs that failed, both together."""
-    done = notes.agg(F.count(F.lit(1)).alias("processed")).withColumn("__one", F.lit(1))
-    bad = errors.agg(F.count(F.lit(1)).alias("failed")).withColumn("__one", F.lit(1))
-    return done.join(bad, "__one").select(
-        "processed", "failed", (F.col("processed") + F.col("failed")).alias("total"))
+    failed = errors.agg(F.count(F.lit(1)))
+    return notes.agg(F.count(F.lit(1)).alias("processed")).withColumn(
+        "failed", failed.scalar()).withColumn("total", F.col("processed") + F.col("failed"))

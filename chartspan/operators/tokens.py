@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,8 +67,9 @@ def score_tokens(
         score = model()
         for batch in batches:
             scored = [score(list(t)) for t in batch["tokens"]]
-            batch["width"] = [len(rows[0]) for rows in scored]
-            batch["flat"] = [[float(x) for row in rows for x in row] for rows in scored]
+            logits = [np.asarray(rows, dtype="float64") for rows in scored]
+            batch["width"] = [x.shape[1] for x in logits]
+            batch["flat"] = [x.ravel() for x in logits]
             yield batch
 
     bundled = _token_arrays(notes, ("note_id",)).where(F.size("tokens") > 0)

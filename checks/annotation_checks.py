@@ -425,6 +425,6 @@ def _(spark, sf):
     out = []
     for mode in ("append", "replace"):
         n, left = sinks.append_or_replace_notes(old, new, a, mode)
-        has = left.limit(1).agg(F.count(F.lit(1)).cast("int").alias("kept_annotations"), F.lit(1).alias("k"))
-        out.append(n.select(F.lit(mode).alias("mode"), "note_id", F.lit(1).alias("k")).join(has, "k").drop("k"))
+        has = left.limit(1).agg(F.count(F.lit(1)).cast("int")).scalar()
+        out.append(n.select(F.lit(mode).alias("mode"), "note_id", has.alias("kept_annotations")))
     return out[0].unionByName(out[1])

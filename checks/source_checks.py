@@ -146,13 +146,13 @@ def _(spark, sf):
 def _(spark, sf):
     path = new_folder(spark, "json")
     sinks.export_json(notes(spark, sf), annotations(spark, sf), questions_table(spark), path)
-    one = F.lit(1).alias("k")
-    n = spark.read.schema("id string, text string").json(f"{path}/notes").agg(
-        F.count(F.lit(1)).alias("total_notes"), F.sum(F.length("text")).alias("note_chars")).select("*", one)
-    a = spark.read.schema(schemas.SESSION_ANNOTATION).json(f"{path}/annotations").agg(
+    n = spark.read.schema("id string, text string").json(f"{path}/notes")
+    a = spark.read.schema(schemas.SESSION_ANNOTATION).json(f"{path}/annotations")
+    return a.agg(
         F.count(F.lit(1)).alias("total_annotations"), F.sum("start").alias("starts"),
-        F.min("createdAt").alias("first_ms")).select("*", one)
-    return n.join(a, "k").drop("k")
+        F.min("createdAt").alias("first_ms")
+    ).withColumn("total_notes", n.agg(F.count(F.lit(1))).scalar()).withColumn(
+        "note_chars", n.agg(F.sum(F.length("text"))).scalar())
 
 
 @query("write_csv", sql(

@@ -140,7 +140,7 @@ def _(spark, sf):
 
 @query("segment_annotations", sql("SELECT note_id, seg_no, ann_id FROM covers", *NA, _SEGS))
 def _(spark, sf):
-    return spans.segment_annotations(annotations(spark, sf), notes(spark, sf)).select("note_id", "seg_no", "ann_id")
+    return spans.segment_annotations(annotations(spark, sf))
 
 
 def badges(spark, sf):
