@@ -94,3 +94,148 @@ def test_very_long_note_keeps_its_sections(outputs):
     low = outputs[False]["long"].lower()
     assert all(x in low for x in ("chief complaint", "physical exam", "labs"))
     assert "ed course" in outputs[False]["course"].lower() and "mdm" in outputs[False]["course"].lower()
+
+
+# job -> [(input, output)], worked out by hand
+GOLDENS = {
+    "format_clean": [
+        ("a\u00a0b\r\nc<br/>d\\ne", "a b\nc\nd\ne"),
+        ("x\n\n\n\ny\n---\nPage 3 of 9\nz", "x\n\ny\nz"),
+        ("feverChills (mild)today 3Weeks", "fever Chills (mild) today 3 Weeks"),
+        ("keep\n  reviewed. by me\nReviewed. " + "x" * 80, "keep\nReviewed. " + "x" * 80),
+    ],
+    "format_bullets": [
+        ("list ~ one ~ two", "list\n- one\n- two"),
+        ("plan: 1. rest 2. fluids. 3. walk", "plan:\n1. rest 2. fluids.\n3. walk"),
+        ("- first half\nsecond half\n- other\nPLAN:\nrest", "- first half second half\n- other\nPLAN:\nrest"),
+    ],
+    "format_sentences": [
+        ("Seen by Dr. Smith today. He left. ok", "Seen by Dr. Smith today.\nHe left. ok"),
+        ("one; Two", "one;\nTwo"),
+    ],
+    "format_rejoin_headers": [
+        ("ED Course\n&\nMDM\ntext", "ED Course & MDM\ntext"),
+        ("Past Medical\nHISTORY: x", "Past Medical History: x"),
+        ("Chief\nComplaint", "Chief Complaint"),
+        ("DISCHARGE\nDIAGNOSIS: x", "DISCHARGE DIAGNOSIS: x"),
+        ("Respir\natory: clear", "Respiratory: clear"),
+        ("HE\nENT: normal", "HEENT: normal"),
+        ("General:\nAppearance: well", "General/Appearance: well"),
+        ("GI/\nGU: benign", "GI/GU: benign"),
+        ("no known\nplan\nnext", "no known plan\nnext"),
+    ],
+    "format_word_splits": [
+        ("re gular cardio vascular", "regular cardiovascular"),
+        ("pre-\ndiabetic", "pre-diabetic"),
+        ("contin\nued care", "continued care"),
+        ("H\nENT: x", "HENT: x"),
+        ("am LODIPine 5 m L", "amLODIPine 5 mL"),
+        ("the patient\n\nwas seen", "the patient was seen"),
+        ("History\nof falls", "History\nof falls"),
+    ],
+    "format_dedupe_headers": [
+        ("PLAN:\nrest\n\nPLAN:\nfluids", "PLAN:\nrest\nfluids"),
+        ("PLAN:\n" + "x\n" * 8 + "PLAN:\ny", "PLAN:\n" + "x\n" * 8 + "y"),
+        ("PLAN:\n" + "x\n" * 9 + "PLAN:\ny", "PLAN:\n" + "x\n" * 9 + "PLAN:\ny"),
+        # distance counts from the last kept copy, not from a dropped one
+        ("PLAN:\n" + "x\n" * 5 + "PLAN:\n" + "x\n" * 5 + "PLAN:\ny", "PLAN:\n" + "x\n" * 10 + "PLAN:\ny"),
+    ],
+    "format_medications": [
+        ("Medications\naspirin 81 mg daily\nlisinopril 10 mg\nAllergies: none",
+         "Medications\n- aspirin 81 mg daily\n- lisinopril 10 mg\nAllergies: none"),
+        ("take 1 tablet, Disp: , Rfl: lisinopril 10 mg", "take 1 tablet\n- lisinopril 10 mg"),
+        ("take 1 tablet, Disp: , Rfl: Allergies", "take 1 tablet\n\nAllergies"),
+        ("aspirin 81 mg\nby mouth\nNext line", "aspirin 81 mg by mouth\nNext line"),
+    ],
+    "format_labs": [
+        ("seen  BUN 12 and Glucose Level 90 x", "seen\nBUN 12 and\nGlucose Level 90 x"),
+        ("Labs:\na\n\n\n\nb\nPLAN\nc\n\n\n\nd", "Labs:\na\n\nb\nPLAN\nc\n\n\n\nd"),
+    ],
+    "format_vitals": [
+        ("BP 120/80", "BP: 120/80"),
+        ("seen BP 120/80 HR 70 RR 16", "seen\nBP: 120/80  HR: 70  RR: 16"),
+        ("Temp Pulse Resp BP\nok", "\nok"),
+    ],
+    "format_ros_pe": [
+        ("well. HENT: normal; Eyes: clear", "well.\nHENT: normal;\nEyes: clear"),
+        ("Skin:\nwarm\ndry\n\nnext", "Skin: warm dry\n\nnext"),
+        ("Physical Exam\nsoft; tender\nPLAN\na; b", "Physical Exam\nsoft\ntender\nPLAN\na; b"),
+        ("Physical Exam:\nAbdomen: Tenderness: none\nend", "Physical Exam:\nAbdomen:\n  - Tenderness: none\nend"),
+        # a system label takes in the lines that follow it
+        ("Skin: warm\nand dry", "Skin: warm and dry"),
+    ],
+    "format_social": [
+        ("- Smoking status\nnever\nTypes: none\nYears: 3\nend", "- Smoking status never Types: none Years: 3\nend"),
+        # a social header of its own stays on its line
+        ("Smoking status:\nnever", "Smoking status:\nnever"),
+        ("Alcohol use\n\nno\nPLAN", "Alcohol use\n\nno\nPLAN"),
+    ],
+    "format_allergies": [
+        ("Allergies:\nlatex\n- nuts\nNo known drug\nPLAN\nrest", "Allergies:\n- latex\n- nuts\nNo known drug\nPLAN\nrest"),
+    ],
+    "format_radiology": [
+        ("Technique: CT. FINDINGS: a stone in the kidney", "Technique: CT.\n\nFINDINGS:\na stone in the kidney".replace("Technique: CT.", "Technique: CT. ")),
+        ("COMPARISON: 01/02/2020, 02/03/2020, 03/04/2021, 04/05/2022 x", "COMPARISON:\n- 01/02/2020\n- 02/03/2020\n- 03/04/2021\n- 04/05/2022\nx"),
+        ("no radiology words", "no radiology words"),
+    ],
+    "format_discharge": [
+        ("Follow up:\n" + "see the clinic " * 9 + "on 01/02/2024 at nine and 02/03/2024 at ten",
+         "Follow up:\n" + "see the clinic " * 9 + "on 01/02/2024 at nine and\n02/03/2024 at ten"),
+        ("Call if: Fever rises " + "and stays " * 14 + "Chills come", "Call if:\n- Fever rises " + "and stays " * 13 + "and stays\n- Chills come"),
+    ],
+    "format_merge_lines": [
+        ("the patient\nwas seen", "the patient was seen"),
+        ("Ends here.\nwas seen", "Ends here.\nwas seen"),
+        ("Status:\nstable", "Status: stable"),
+        ("Seen on\n01/02/2024\nOk then", "Seen on 01/02/2024\nOk then"),
+        ("PLAN\n\nrest", "PLAN\nrest"),
+        ("1.\nRest", "1. Rest"),
+    ],
+    "format_wrap": [
+        ("word " * 40, "\n".join(["word " * 18 + "word", "word " * 18 + "word", "word word "])),
+        ("x" * 200, "x" * 98 + "\n" + "x" * 98 + "\nxxxx"),
+        ("| " + "cell | " * 30, "| " + "cell | " * 30),
+    ],
+    "format_section_breaks": [
+        ("Stable.  Chief Complaint: pain", "Stable.\n\nChief Complaint:\npain"),
+        ("Axis I: one Axis II: two", "\n\nAxis I:\none\n\n\nAxis II:\ntwo"),
+    ],
+    "format_dates": [
+        ("x  DOB: 01/02/1960  MRN: 5", "x\nDOB: 01/02/1960\nMRN: 5"),
+        ("x  Electronically signed by me", "x\n\nElectronically signed by me"),
+    ],
+}
+
+
+def test_every_job_has_goldens():
+    assert set(GOLDENS) == set(JOBS) and len(JOBS) == 18
+
+
+@pytest.mark.parametrize("job", list(GOLDENS))
+def test_job(spark, job):
+    cases = GOLDENS[job]
+    notes = frame(spark, {str(i): raw for i, (raw, _) in enumerate(cases)})
+    got = {r.note_id: r.text for r in format_job(notes, job).collect()}
+    for i, (raw, want) in enumerate(cases):
+        assert got[str(i)] == want, raw
+
+
+def test_formatting_is_one_pass(spark):
+    plan = format_notes(frame(spark, {"a": "b"}))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_width_and_diff(spark):
+    notes = frame(spark, {"a": "word " * 30, "b": "short"})
+    narrow = {r.note_id: r.text for r in format_notes(notes, width=40).collect()}
+    assert max(len(x) for x in narrow["a"].split("\n")) <= 40
+    diff = {r.note_id: r for r in format_diff(notes, format_notes(notes)).collect()}
+    assert (diff["a"].raw_lines, diff["a"].formatted_lines, diff["a"].breaks_added, diff["a"].changed) == (1, 2, 1, True)
+    assert not diff["b"].changed
+
+
+def test_no_text_is_lost(spark):
+    """Wrapping a very long line drops nothing but blanks."""
+    text = " ".join(f"w{i}" for i in range(5000)) + "😀" * 300
+    [row] = format_job(frame(spark, {"a": text}), "format_wrap").collect()
+    assert "".join(row.text.split()) == "".join(text.split())
