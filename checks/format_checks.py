@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import N, NOTES_SQL, notes, sql
+from checks.views import N, NOTES_SQL, _ws, notes, sql
 from chartspan.formatting import jobs
 from chartspan.formatting import lexicon as lex
 
@@ -98,7 +98,63 @@ short(note_id, i, k, j, tab, piece, rest) AS (
       SELECT note_id, i, k, j, tab, rest, CASE WHEN contains(substr(rest, 1, 99), ' ') THEN 99 - instr(reverse(substr(rest, 1, 99)), ' ') ELSE -1 END AS spot
       FROM short WHERE rest IS NOT NULL)))"""
 
+
+
+def _gap(phrases, lead="\n"):
+    words = sorted(phrases, key=len, reverse=True)
+    body = "|".join("".join("\\" + c if c in "()?.*+[]{}|^$" else c for c in w) for w in words)
+    return f"(?i)\\s{{2,}}({body})", lead + "\\1"
+
+
+_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+_DATES = replaced(
+    "text",
+    _gap(["Date of services:", "Date of Admission:", "Date of Discharge:", "Operation/Procedure Date", "Sex:", "Birthdate:", "DOB:",
+          "Age:", "Race:", "PCP:", "Attending:", "MRN:", "Account #:", "Last data filed at", "Patient Name", "MRN (Required):",
+          "Patient Location"]),
+    ("(?i)\\s{2,}(Date:)\\s*(\\d{2}/\\d{2}/\\d{4})", "\n\\1 \\2"), ("(?i)\\s{2,}(Time:)\\s*(\\d{1,2}:\\d{2})", "\n\\1 \\2"),
+    _gap(["Electronically signed by"], "\n\n"),
+    ("\\s{2,}(\\d{2}/\\d{2}/\\d{2,4}\\s+\\d{4})\\s+([A-Z])", "\n\\1 \\2"),
+    ("(\\d{2}/\\d{2}/\\d{2,4})\\s{2,}([A-Z][a-z]+\\s+[A-Z][a-z]+)", "\\1\n\\2"),
+    ("\\s{3,}([A-Z][a-z]+\\s+[A-Z][a-z]+,?\\s*(?:MD|DO|PA-C|NP|APRN|RN|MA))", "\n\n\\1"),
+    ("(?m)\\s{2,}(\\d{2}/\\d{2}/\\d{2,4}\\s+\\d{4})$", "\n\\1"), ("(?i)\\s{2,}(Writt(?:en|) by:?)", "\n\n\\1"),
+    (f"(?i)\\s{{2,}}({_MONTH}\\s+\\d{{1,2}},?\\s+\\d{{4}})", "\n\\1"),
+    ("(?i)\\s{2,}(\\d{1,2}:\\d{2}\\s*(?:AM|PM)\\s+(?:CDT|CST|EST|PST|EDT|PDT))", "\n\\1"),
+    _gap(["(Arrive by", "Post-Op with"]))
+
+# Lines of the dense notes with the header test, and section state carried by a window.
+_HEADS = ", ".join("'" + h.replace("'", "''") + "'" for h in lex.HEADERS_LOWER)
+_LINES = f"""
+dl AS (SELECT note_id, CAST(i AS INT) AS i, parts[i] AS line, {_ws('parts[i]')} AS t FROM
+  (SELECT note_id, string_split(text, chr(10)) AS parts FROM dense), unnest(range(1, len(parts) + 1)) AS u(i)),
+hl AS (SELECT *, lower(regexp_replace(t, ':$', '')) IN ({_HEADS}) OR (regexp_matches(regexp_replace(t, ':$', ''), '^[A-Z][A-Z\\s/&]+$')
+       AND length(regexp_replace(t, ':$', '')) <= 50) AS is_header FROM dl)"""
+
+_ALLERGY = """
+st AS (SELECT *, CASE WHEN contains(lower(t), 'allergies') AND ends_with(t, ':') THEN 2 WHEN is_header AND NOT contains(lower(t), 'allerg') THEN 0 END AS turn FROM hl),
+carried AS (SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY note_id ORDER BY i), 0) AS state FROM st)"""
+
+# The fold over a note's header lines, one header at a time.
+_REPEATS = f"""
+heads AS (SELECT note_id, i, lower(t) AS h, row_number() OVER (PARTITION BY note_id ORDER BY i) AS ord FROM dl WHERE t <> '' AND (
+  lower(t) IN ({_HEADS}) OR lower(regexp_replace(t, ':$', '')) IN ({_HEADS}) OR (regexp_matches(t, '^[A-Z][A-Z\\s]+$') AND length(t) <= 40))),
+fold(note_id, ord, i, again, recent) AS (
+  SELECT note_id, ord, i, false, [{{'i': i, 'h': h}}] FROM heads WHERE ord = 1
+  UNION ALL
+  SELECT note_id, ord, i, again, CASE WHEN again THEN recent ELSE list_append(recent[greatest(len(recent) - 3, 1):], {{'i': i, 'h': h}}) END FROM (
+    SELECT n.note_id, n.ord, n.i, n.h, f.recent, len(list_filter(f.recent, lambda k: k.h = n.h AND n.i - k.i < 10)) > 0 AS again
+    FROM fold f JOIN heads n ON n.note_id = f.note_id AND n.ord = f.ord + 1)),
+gone AS (SELECT note_id, i FROM fold WHERE again)"""
+
 ORACLES = {
+    "format_dates": sql(f"SELECT note_id, {_DATES} AS text FROM dense", _DENSE),
+    "format_allergies": sql(
+        """SELECT note_id, string_agg(CASE WHEN state = 2 AND turn IS DISTINCT FROM 2 AND t <> '' AND NOT starts_with(t, '-') AND NOT starts_with(t, '•')
+             AND NOT is_header AND NOT contains(lower(t), 'no known') THEN '- ' || t ELSE line END, chr(10) ORDER BY i) AS text FROM carried GROUP BY 1""",
+        _DENSE, _LINES, _ALLERGY),
+    "format_dedupe_headers": "WITH RECURSIVE " + sql(
+        """SELECT note_id, string_agg(line, chr(10) ORDER BY i) AS text FROM dl WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.note_id = dl.note_id
+             AND (g.i = dl.i OR (g.i = dl.i + 1 AND dl.t = ''))) GROUP BY 1""", _DENSE, _LINES, _REPEATS)[5:],
     "format_sentences": sql(f"SELECT note_id, {_SENTENCES} AS text FROM dense", _DENSE),
     "format_clean": sql(f"SELECT note_id, {_CLEAN} AS text FROM dense", _DENSE),
 }
