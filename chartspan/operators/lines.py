@@ -14,11 +14,10 @@ def explode_lines(notes: DataFrame, keep: tuple[str, ...] = ("note_id",)) -> Dat
     """(note, line_no, start, line): cut at line feeds, nothing dropped."""
     cut = notes.withColumn("__lines", F.split("text", "\n", -1))
     ends = cut.withColumn("__ends", running_total(F.transform("__lines", lambda x: F.length(x) + 1)))
-    return ends.select(*keep, "__ends", F.posexplode("__lines").alias("line_no", "line")).select(
-        *keep, "line_no",
-        (F.element_at("__ends", F.col("line_no") + 1) - F.length("line") - 1).alias("start"),
-        "line",
-    )
+    placed = F.transform("__lines", lambda x, i: F.struct(
+        (F.element_at("__ends", i + 1) - F.length(x) - 1).alias("start"), x.alias("line")))
+    return ends.select(*keep, F.posexplode(placed).alias("line_no", "__l")).select(
+        *keep, "line_no", "__l.start", "__l.line")
 
 
 def implode_lines(lines: DataFrame, text: str = "text") -> DataFrame:

@@ -21,12 +21,11 @@ _NOT_CUE = "(?<!" + "|".join(vocab.NEGATION_CUES) + ")"
 
 
 def _rule_literals(rules: list[Rule]) -> Column:
-    def literal(number: int, r: Rule) -> Column:
+    def literal(r: Rule) -> Column:
         is_term = r.kind == "term"
         here = f"(?={quote(r.pattern)})" if is_term else f"(?:{ascii_words(r.pattern)})"
         cues = "(?iu)" + _CUE + here if is_term and r.negation else None
         return F.struct(
-            F.lit(number).alias("rule_no"),
             F.lit(r.question_id).alias("question_id"),
             F.lit(is_term).alias("is_term"),
             F.lit(r.pattern.lower()).alias("needle"),
@@ -36,7 +35,7 @@ def _rule_literals(rules: list[Rule]) -> Column:
             F.lit(is_term and overlaps_itself(r.pattern)).alias("self_overlap"),
         )
 
-    return F.array(*[literal(i, r) for i, r in enumerate(rules)])
+    return F.array(*[literal(r) for r in rules])
 
 
 def _marked(notes: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -64,38 +63,32 @@ def _marked(notes: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def _matches(notes: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
-    """Every match: keep columns, rule number, question, term, start, end, negated."""
+    """Every match: keep columns, question, term, start, end, negated."""
     marks = _marked(notes, rules)
     flagged = lambda p: F.endswith(p, F.lit(FLAG)).cast("int")
     closed = lambda p: F.contains(p, F.lit(CLOSE)).cast("int")
     located = marks.withColumn("__upto", running_total(F.transform(
         "__pieces", lambda p: F.length(p) - flagged(p) - closed(p)
     )))
-    found = F.transform(
-        F.sequence(F.lit(2), F.size("__pieces")),
-        lambda i: F.struct(
-            F.element_at("__upto", (i - 1).cast("int")).alias("start"),
-            F.element_at("__pieces", i.cast("int")).alias("piece"),
-            F.endswith(F.element_at("__pieces", (i - 1).cast("int")), F.lit(FLAG)).alias("negated"),
-        ),
-    )
-    rows = located.withColumn("__hit", F.explode(found))
     size = F.length("__rule.needle")
-    start = F.col("__hit.start")
-    term = (
-        F.when(~F.col("__rule.is_term"), F.substring_index("__hit.piece", CLOSE, 1))
-        .when(F.col("__rule.self_overlap"), F.substring("text", start + 1, size))
-        .otherwise(F.left("__hit.piece", size))
-    )
-    spans = rows.select(
+
+    def hit(i: Column) -> Column:
+        at = i.cast("int")
+        piece, before = F.element_at("__pieces", at), F.element_at("__pieces", at - 1)
+        start = F.element_at("__upto", at - 1)
+        term = (
+            F.when(~F.col("__rule.is_term"), F.substring_index(piece, CLOSE, 1))
+            .when(F.col("__rule.self_overlap"), F.substring("text", start + 1, size))
+            .otherwise(F.left(piece, size))
+        )
+        return F.struct(start.alias("start"), term.alias("term"), F.endswith(before, F.lit(FLAG)).alias("negated"))
+
+    found = F.transform(F.sequence(F.lit(2), F.size("__pieces")), hit)
+    spans = located.select(
         *keep,
-        F.col("__rule.rule_no").alias("rule_no"),
         F.col("__rule.question_id").alias("question_id"),
-        F.col("__rule.is_term").alias("is_term"),
-        term.alias("term"),
-        start.alias("start"),
-        F.col("__hit.negated").alias("negated"),
-    )
+        F.explode(found).alias("__hit"),
+    ).select(*keep, "question_id", "__hit.*")
     return spans.where(F.length("term") > 0).withColumn("end", F.col("start") + F.length("term"))
 
 

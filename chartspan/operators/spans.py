@@ -275,24 +275,23 @@ def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int
         .when(F.element_at("edges", 1)["p"] == 0, F.col("edges"))
         .otherwise(F.concat(origin, F.col("edges")))
     )
-    cut = (
+    end = lambda i: F.coalesce(F.try_element_at("__starts", i + 2)["p"], size)
+    none = F.array().cast("array<string>")
+    # everything a piece needs is put into its element, so no long column rides along the explode
+    piece = lambda e, i: F.struct(
+        e["p"].alias("start"), end(i).alias("end"),
+        slice_text("text", e["p"], end(i)).alias("text"),
+        F.when(e["n"].isNull(), "plain").otherwise("highlight").alias("kind"),
+        F.coalesce(e["questions"], none).alias("questions"),
+        F.coalesce(e["n"], F.lit(0).cast("long")).alias("n_annotations"),
+        F.when(e["n"].isNull(), none).otherwise(e["ids"]).alias("annotation_ids"),
+        F.coalesce(e["is_suggested"], F.lit(False)).alias("is_suggested"),
+    )
+    return (
         notes.select("note_id", "text").join(per_note, "note_id", "left")
         .withColumn("__starts", F.filter(starts, lambda e: (e["p"] < size) | (e["p"] == 0)))
-        .select("note_id", "text", "__starts", F.posexplode("__starts").alias("seg_no", "__e"))
-    )
-    end = F.coalesce(F.try_element_at("__starts", F.col("seg_no") + 2)["p"], size)
-    none = F.array().cast("array<string>")
-    plain = F.col("__e.n").isNull()
-    return cut.select(
-        "note_id", "seg_no",
-        F.col("__e.p").alias("start"),
-        end.alias("end"),
-        slice_text("text", F.col("__e.p"), end).alias("text"),
-        F.when(plain, "plain").otherwise("highlight").alias("kind"),
-        F.coalesce("__e.questions", none).alias("questions"),
-        F.coalesce("__e.n", F.lit(0).cast("long")).alias("n_annotations"),
-        F.when(plain, none).otherwise(F.col("__e.ids")).alias("annotation_ids"),
-        F.coalesce("__e.is_suggested", F.lit(False)).alias("is_suggested"),
+        .select("note_id", F.posexplode(F.transform("__starts", piece)).alias("seg_no", "__s"))
+        .select("note_id", "seg_no", "__s.*")
     )
 
 
