@@ -34,6 +34,25 @@ def slice_text(text: Column | str, start: Column, end: Column) -> Column:
     return F.substring(col(text), start + 1, F.greatest(end - start, F.lit(0)))
 
 
+STRIDE = 1024
+
+
+def strides(text: Column | str) -> Column:
+    """The text in stretches of 1,024 characters, for many cuts out of one long text."""
+    t = col(text)
+    at = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(STRIDE))
+    return F.transform(at, lambda i: F.substring(t, i + 1, F.lit(STRIDE)))
+
+
+def slice_strides(stretches: Column | str, start: Column, end: Column) -> Column:
+    """``text[start:end]`` from its stretches. A cut reads the stretches it touches, where a
+    substring of the whole text would count its way in from the front."""
+    first = F.floor(start / STRIDE).cast("int")
+    last = F.floor(F.greatest(end - 1, start) / STRIDE).cast("int")
+    near = F.array_join(F.slice(col(stretches), first + 1, last - first + 1), "")
+    return F.substring(near, start - first * STRIDE + 1, F.greatest(end - start, F.lit(0)))
+
+
 def before(text: Column | str, start: Column, k: int) -> Column:
     lo = F.greatest(start - k, F.lit(0))
     return slice_text(text, lo, start)

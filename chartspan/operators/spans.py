@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartspan.functions.text import slice_text
+from chartspan.functions.text import let, slice_strides, slice_text, strides
 from chartspan.plans.scale import bin_of, islands, span_bins
 
 _WORD_TAIL = r"(?U)\A\S*"
@@ -280,7 +280,7 @@ def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int
     # everything a piece needs is put into its element, so no long column rides along the explode
     piece = lambda e, i: F.struct(
         e["p"].alias("start"), end(i).alias("end"),
-        slice_text("text", e["p"], end(i)).alias("text"),
+        slice_strides("__text", e["p"], end(i)).alias("text"),
         F.when(e["n"].isNull(), "plain").otherwise("highlight").alias("kind"),
         F.coalesce(e["questions"], none).alias("questions"),
         F.coalesce(e["n"], F.lit(0).cast("long")).alias("n_annotations"),
@@ -289,7 +289,9 @@ def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int
     )
     return (
         notes.select("note_id", "text").join(per_note, "note_id", "left")
-        .withColumn("__starts", F.filter(starts, lambda e: (e["p"] < size) | (e["p"] == 0)))
+        .withColumn("__starts", let(size, lambda n: F.filter(
+            starts, lambda e: (e["p"] < n) | (e["p"] == 0))))
+        .withColumn("__text", strides("text"))
         .select("note_id", F.posexplode(F.transform("__starts", piece)).alias("seg_no", "__s"))
         .select("note_id", "seg_no", "__s.*")
     )
