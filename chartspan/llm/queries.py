@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import simhash
+from chartspan.llm import simhash, toxicity
+from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold_is(part: int, parts: int) -> Column:
+    """Whether a document is held out; rows without an id never are."""
+    return F.coalesce(fold(F.col("doc_id"), parts) == part, F.lit(False))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Model of the documents outside the held-out quarter."""
+    return toxicity.fit(docs, labels.where(~_fold_is(2, 4)))
+
+
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity_model(docs, _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", _fold_is(2, 4).alias("held_out"),
+                         toxicity.toxicity(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @_query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"), width=3)
