@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import simhash, toxicity
+from chartspan.llm import decontaminate, mixing, simhash, toxicity
 from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,75 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+ORACLES["op3_source_mixing"] = r"""
+WITH sizes AS (
+  SELECT doc_id, source,
+         COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+weighed AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3] AS weight
+  FROM sizes GROUP BY source),
+tried AS (
+  SELECT a.weight AS w,
+         1.5::DOUBLE * (SELECT sum(source_size) FROM weighed)
+           - 2 * COALESCE((SELECT sum(b.source_size) FROM weighed b WHERE b.source_size / b.weight < a.source_size / a.weight), 0) AS words,
+         (SELECT sum(weight) FROM weighed)
+           - COALESCE((SELECT sum(b.weight) FROM weighed b WHERE b.source_size / b.weight < a.source_size / a.weight), 0) AS weights,
+         a.source_size AS source_size
+  FROM weighed a),
+filling AS (
+  SELECT words, weights FROM tried WHERE w * words <= 2 * source_size * weights ORDER BY weights DESC LIMIT 1),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN weight * f.words <= 2 * source_size * f.weights THEN weight * f.words / f.weights
+              ELSE 2.0::DOUBLE * source_size END AS target
+  FROM weighed LEFT JOIN filling f ON true),
+expected AS (
+  SELECT s.*, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN least(2.0::DOUBLE, 1.0::DOUBLE * t.target / t.source_size) ELSE 0 END AS e,
+         (('0x' || substr(md5(s.doc_id || '/mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / (1::BIGINT << 48) AS u
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+ranked AS (
+  SELECT *, floor(e) AS certain, CASE WHEN e > floor(e) AND size > 0
+         THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q,
+         target - sum(floor(e) * size) OVER (PARTITION BY source) AS missing FROM expected),
+summed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM ranked),
+taken AS (
+  SELECT *, (certain + CASE WHEN q IS NOT NULL AND missing > 0 AND upto - size / 2.0::DOUBLE < missing THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM summed)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM taken
+"""
+
+
+@_query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "n", "containment")
+
+
+ORACLES["op4_benchmark_decontamination"] = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+tokens AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM texts),
+shingles AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(t) - 4, 1) + 1), lambda i: array_to_string(t[i:i + 4], ' '))) AS shingle
+  FROM tokens WHERE len(t) > 0),
+sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'i'),
+shared AS (
+  SELECT d.id AS doc_id, s.id AS item_id, count(*) AS shared, any_value(s.n) AS n
+  FROM shingles d JOIN sized s USING (shingle) WHERE d.kind = 'd' GROUP BY d.id, s.id)
+SELECT doc_id, item_id, shared, n, shared / n AS containment FROM shared WHERE shared >= ceil(n * 0.8::DOUBLE - 1e-9)
+"""
+
+
 @_query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"), width=3)
