@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import decontaminate, mixing, simhash, toxicity
+from chartspan.llm import decontaminate, mixing, pii, simhash, toxicity
 from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"), width=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                          "component_id")
+
+
+@_query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.find(F.col("text"), pii.telling_terms(docs)).alias("f"))
+    return found.select("doc_id", *[f"f.n_{k}" for k in pii.KINDS],
+                        F.sha2(F.col("f.base"), 256).alias("base_sha256"), "f.spans")
