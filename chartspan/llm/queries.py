@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import decontaminate, mixing, pii, simhash, toxicity
+from chartspan.llm import decontaminate, mixing, pii, simhash, toxicity, urlfilter
 from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,30 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+@_query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op9_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, COALESCE(rest, '') AS rest, regexp_extract(COALESCE(rest, ''), '^[^/?#]*') AS raw FROM cut),
+parts AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+rules(verdict, rule_host, rule_path) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (
+  SELECT p.*, r.rule_host || r.rule_path AS rule, r.verdict,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host || r.rule_path) DESC) AS rank
+  FROM parts p LEFT JOIN rules r
+    ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
+SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM fits WHERE rank = 1
+"""
+
+
 @_query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
