@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import decontaminate, mixing, mtree, pii, simhash, toxicity, urlfilter
+from chartspan.llm import decontaminate, html, mixing, mtree, pii, simhash, toxicity, urlfilter
 from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+@_query
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", "url", html.extract(F.col("html")).alias("text"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @_query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
