@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import decontaminate, html, mixing, mtree, pii, simhash, toxicity, urlfilter
+from chartspan.llm import decontaminate, html, language, mixing, mtree, pii, simhash, toxicity, urlfilter
 from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~_fold_is(1, 3)))
+    judged = docs.select("doc_id", _fold_is(1, 3).alias("held_out"), language.predict(F.col("text"), model).alias("p"))
+    return judged.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
+
+
 @_query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
