@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import decontaminate, html, language, mixing, mtree, pii, simhash, toxicity, urlfilter
+from chartspan.llm import decontaminate, html, language, licenses, mixing, mtree, pii, simhash, toxicity, urlfilter
 from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,16 @@ SELECT doc_id, item_id, shared, n, shared / n AS containment FROM shared WHERE s
 """
 
 
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    found = licenses.scan(docs.select(F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text"))
+    doc_id = F.substring_index("path", "/", -1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "path", "license", F.round("cosine", 6).alias("cosine"), "basis", "directory")
+
+
 @_query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"), width=3)
