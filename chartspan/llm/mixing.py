@@ -74,7 +74,7 @@ def allocate(sizes: DataFrame, targets: DataFrame, seed: str = "mix", measure: s
 
     ``measure`` names a column of ``sizes`` that expected copies follow within a source (null
     or negative: none); without it all documents of a source expect the same. Expected copies
-    stop at ``most``. Wordless rows get the certain copies only. Rows with equal ids and sizes
+    stop at ``most``; with a measure, a source may fall short of its target by what that cuts. Wordless rows get the certain copies only. Rows with equal ids and sizes
     rank alike and are told apart by nothing but their order in the cut bin.
     """
     weight = F.col("size") if measure is None else F.col("size") * F.greatest(F.coalesce(F.col(measure), F.lit(0.0)), F.lit(0.0))

@@ -66,7 +66,7 @@ class Level:
         return [F.pmod(F.xxhash64(key, F.lit(self.salt * 97 + i)), F.lit(self.bits)) for i in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
-        bits = F.array(*[F.lit(w) for w in self.words]) if len(self.words) < 64 else F.from_json(
+        bits = F.array(*[F.lit(w).cast("long") for w in self.words]) if len(self.words) < 64 else F.from_json(
             F.lit("[" + ",".join(map(str, self.words)) + "]"), "array<bigint>")
         out = F.lit(True)
         for at in self.positions(key):
