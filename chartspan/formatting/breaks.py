@@ -154,7 +154,7 @@ def dense_lines(t: Column) -> Column:
         return subs(
             line,
             (rf"(?=\s)(?:(?<=[.!?;)\]>])\s+|\s{{2,}})({marker})(?=\s|:|\z)", "\n\n$1"),
-            (r"\s{2,}([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,60})\s*:", "\n\n$1:"),
+            (r"\s{2,}([A-Z][a-z]+(?:\s++[A-Z][a-z]++)*+)\s*:", "\n\n$1:"),
             (r"\s{2,}([A-Z][A-Z\s/&]{3,})\s*:", "\n\n$1:"),
             (r"\s+(\*\s+[A-Z][a-z])", "\n$1"),
             (r"(\d{2}/\d{2}/\d{4})\s{2,}([A-Z][a-z]+)", "$1\n\n$2"),

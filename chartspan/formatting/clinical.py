@@ -367,7 +367,7 @@ def vitals_headers(t: Column) -> Column:
 @step(VITALS, 112)
 def vitals_column_names(t: Column) -> Column:
     name = r"(?:Temp|Pulse|Resp|BP|SpO2|O2\s*Sat)"
-    return sub(t, rf"(?im)^\s*{name}(?:\s+{name}){{1,40}}\s*$", "")
+    return sub(t, rf"(?im)^\s*{name}(?:\s+{name})+\s*$", "")
 
 
 @step(VITALS, 113)
@@ -490,11 +490,13 @@ def exam_sub_labels(t: Column) -> Column:
         (rf"(?im)(?<=\n)[ \t]*({main}):{under}", "$1:\n  - $2: $3")))
 
 
-_FINDINGS = rejoin_rules("""
-Normal|heart sounds*
-Normal|breath sounds*
-Normal|rate and*
-""")
+# Findings broken over lines, as their parts and as they are meant.
+FINDINGS = {
+    "Normal breath sounds": "Normal breath sounds",
+    "Normal heart sounds": "Normal heart sounds",
+    "Normal rate and": "Normal rate and",
+}
+_FINDINGS = rejoin_rules({}, FINDINGS)
 
 
 @step(SYSTEMS, 98)
@@ -564,7 +566,7 @@ def comparison_dates(t: Column) -> Column:
             F.concat(head, F.lit("\n"), F.array_join(F.transform(d, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n")),
         ).otherwise(F.concat(head, F.lit(" "), F.array_join(d, ", "))))
 
-    return swap(t, r"(?i)COMPARISON:[ ]*(?:\d{2}/\d{2}/\d{4}[, ]*){1,500}", lay_out)
+    return swap(t, r"(?i)COMPARISON:[ ]*(?:\d{2}/\d{2}/\d{4}[, ]*+)++", lay_out)
 
 
 @step("format_radiology", 59)

@@ -150,46 +150,39 @@ class Rejoin:
     test: str
 
 
-def rejoin_rules(table: str, word_start: bool = True) -> Rejoin:
-    """Compile a table of broken phrases.
+def rejoin_rules(words: dict[str, str], stems: dict[str, str]) -> Rejoin:
+    """Compile phrases, given as their parts with blanks between, and what they are meant to be.
 
-    A line reads ``broken form = repaired form``, or just the broken form when the repair is the
-    same words with blanks. In the broken form ``|`` is a line break, ``~`` white space of any
-    kind; a closing ``*`` says that the phrase may go on within a word.
-
-    The test starts from line breaks: what stands right after one, then what stands before it.
+    A phrase counts as broken where at least one of its gaps holds a line feed. A gap that is
+    a blank in the meant form needs white space, any other gap may be closed. ``words`` end
+    with a word, ``stems`` may go on. The test starts from line breaks: what stands right
+    after one, then what stands before it.
     """
     patterns, repairs, lefts, rights = [], {}, {}, {}
-    for row in filter(None, (line.strip() for line in table.splitlines())):
-        form, _, repaired = (part.strip() for part in row.partition(" = "))
-        open_end = form.endswith("*")
-        form = form.rstrip("*")
-        repaired = repaired or re.sub(r"[|~]", " ", form)
-        pattern = "".join(
-            {"|": r"\s*\n\s*", "~": r"\s+", " ": " "}.get(part, re.escape(part))
-            for part in re.split(r"([|~ ])", form) if part
-        )
-        patterns.append(pattern + ("" if open_end else r"\b"))
-        repairs[_squeeze(form)] = repaired
-        first, _, rest = form.partition("|")
-        lefts[re.split(r"[~ ]", first)[-1]] = None
-        rights[re.split(r"[|~ ]", rest)[0]] = None
+    for ends, table in ((r"\b", words), ("", stems)):
+        for phrase, meant in table.items():
+            parts = phrase.split(" ")
+            gaps = [r"\s+" if f"{a} {b}" in meant else r"\s*" for a, b in zip(parts, parts[1:])]
+            body = re.escape(parts[0]) + "".join(g + re.escape(p) for g, p in zip(gaps, parts[1:]))
+            patterns.append(body + ends)
+            repairs[_squeeze(phrase)] = meant
+            lefts |= dict.fromkeys(parts[:-1])
+            rights |= dict.fromkeys(parts[1:])
     patterns.sort(key=len, reverse=True)
     return Rejoin(
-        "(?i)" + (r"\b" if word_start else "") + "(?:" + "|".join(patterns) + ")",
-        repairs,
-        rf"(?=\s*\n\s*{any_of(rights)})(?<={any_of(lefts)})",
-    )
+        r"(?i)\b(?:" + "|".join(patterns) + ")", repairs,
+        rf"(?=\s*\n\s*{any_of(rights)})(?<={any_of(lefts)})")
 
 
 def _squeeze(form: str) -> str:
-    return re.sub(r"[\s|~&/:-]", "", form.lower())
+    return re.sub(r"[\s&/:-]", "", form.lower())
 
 
 def rejoin(text: Column, rules: Rejoin) -> Column:
     key = lambda m: F.lower(F.regexp_replace(m, r"[\s&/:-]", ""))
+    known = lookup(rules.repairs, key)
     return only_if(text, lambda t: t.rlike(rules.test), lambda t: swap(
-        t, rules.pattern, lookup(rules.repairs, key)))
+        t, rules.pattern, lambda m: F.when(m.contains("\n"), known(m)).otherwise(m)))
 
 
 def trimmed_parts(parts: Column) -> Column:

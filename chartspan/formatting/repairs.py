@@ -22,112 +22,140 @@ MERGE = "format_merge_lines"
 WRAP = "format_wrap"
 DEDUPE = "format_dedupe_headers"
 
-# --- fixed values: phrases broken over lines ("|" a line break, "~" any white space) ---------
-
-COMPOUND_TERMS = """
-Troponin|I = Troponin-I
-Troponin-|I = Troponin-I
-Troponin~-|I = Troponin-I
-eGFR|cr = eGFRcr
-Lactic|Acid
-Lactic~Acid|Level
-Neuro|exam* = Neuroexam
-Thought|Content*
-Thought~Cont|ent* = Thought Content
-Thought~Cont ent* = Thought Content
-ED|Course
-ED~Course|&|MDM
-ED~Course &|MDM
-ED~Course|& MDM
-Medical|Decision~Making
-COURSE~AND|MEDICAL*
-RDW|SD
-RDW|CV
-Assessment|&|Plan
-Assessment~&|Plan
-Assessment|& Plan
-FINDINGS/|IMPRESSION = FINDINGS/IMPRESSION
-FINDINGS|IMPRESSION = FINDINGS/IMPRESSION
-IMPRESSION|FINDINGS = IMPRESSION FINDINGS/
-No|results|found
-Diagnostic|Studies
-Labs|and~Imaging
-ED~Labs|and~Imaging
-treatment|plan
-Follow-up|Care
-Follow-up~Care|and~Appointments = Follow-up Care and Appointments
-the above|medication*
-the|medications
-above|medication*
-over-the-counter|medications*
-primary care|provider*
-Vital|Signs
-Review of|Systems
-Past Medical|History
-Past Surgical|History
-Social|History
-Family|History
-Physical|Exam
-Physical|Examination
-Mental|Status
-Further|history
-extensive|history
-Some|medications
-other|medications
-history|of
-Limited|exam
-Limited|study
-Limited|evaluation
-due to|motion
-due to|artifact
-Delayed|nephrogram
-reason for|study
-reason for|exam
-reason for|visit
-without|evidence
-no evidence|of
-positive|for
-negative|for
-"""
-
-# Broken headers that take a set form.
-SET_HEADERS = """
-Assessment|&~Plan*
-Assessment|& Plan*
-Labs|and~Imaging*
-ED Labs|and~Imaging* = ED Labs and Imaging
-ED~Course|&|MDM* = ED Course & MDM
-ED~Course|&~MDM* = ED Course & MDM
-ED~Course|&MDM* = ED Course & MDM
-ED|Course~&~MDM* = ED Course & MDM
-ED Course|and~MDM* = ED Course & MDM
-ED COURSE|AND~MEDICAL*
-COURSE|AND~MEDICAL*
-ED COURSE AND|MEDICAL DECISION MAKING*
-PREADMISSION|DIAGNOSIS*
-DISCHARGE|DIAGNOSIS*
-ADMITTING|DIAGNOSIS*
-POSTOPERATIVE|DIAGNOSIS*
-PREOPERATIVE|DIAGNOSIS*
-FINAL|DIAGNOSIS*
-DISCHARGE|INSTRUCTIONS*
-CODE|STATUS*
-Troponin|I* = Troponin-I
-Troponin|-I* = Troponin-I
-eGFR|cr* = eGFRcr
-Lactic|Acid~Level* = Lactic Acid Level
-Lactic|Acid* = Lactic Acid Level
-RDW|SD*
-RDW|CV*
-Thought|Content*
-Neuro|exam* = Neuroexam
-FINDINGS|/~IMPRESSION* = FINDINGS/IMPRESSION
-FINDINGS|/IMPRESSION* = FINDINGS/IMPRESSION
-IMPRESSION|FINDINGS~/* = IMPRESSION FINDINGS/
-IMPRESSION|FINDINGS/* = IMPRESSION FINDINGS/
-History|of~Present*
-Review|of~Systems*
-"""
+# --- fixed values: phrases that arrive broken over lines, as their parts and as they are meant ---
+
+# Whole words.
+PHRASES = {
+    "Assessment & Plan": "Assessment & Plan",
+    "Delayed nephrogram": "Delayed nephrogram",
+    "Diagnostic Studies": "Diagnostic Studies",
+    "ED Course": "ED Course",
+    "ED Course & MDM": "ED Course & MDM",
+    "ED Labs and Imaging": "ED Labs and Imaging",
+    "eGFR cr": "eGFRcr",
+    "extensive history": "extensive history",
+    "Family History": "Family History",
+    "FINDINGS / IMPRESSION": "FINDINGS/IMPRESSION",
+    "FINDINGS IMPRESSION": "FINDINGS/IMPRESSION",
+    "Follow-up Care": "Follow-up Care",
+    "Follow-up Care and Appointments": "Follow-up Care and Appointments",
+    "Further history": "Further history",
+    "history of": "history of",
+    "IMPRESSION FINDINGS": "IMPRESSION FINDINGS/",
+    "Labs and Imaging": "Labs and Imaging",
+    "Lactic Acid": "Lactic Acid",
+    "Lactic Acid Level": "Lactic Acid Level",
+    "Limited evaluation": "Limited evaluation",
+    "Limited exam": "Limited exam",
+    "Limited study": "Limited study",
+    "Medical Decision Making": "Medical Decision Making",
+    "Mental Status": "Mental Status",
+    "negative for": "negative for",
+    "Neuro exam": "Neuroexam",
+    "no evidence of": "no evidence of",
+    "No results found": "No results found",
+    "other medications": "other medications",
+    "Past Medical History": "Past Medical History",
+    "Past Surgical History": "Past Surgical History",
+    "Physical Exam": "Physical Exam",
+    "Physical Examination": "Physical Examination",
+    "positive for": "positive for",
+    "RDW CV": "RDW CV",
+    "RDW SD": "RDW SD",
+    "reason for exam": "reason for exam",
+    "reason for study": "reason for study",
+    "reason for visit": "reason for visit",
+    "Review of Systems": "Review of Systems",
+    "due to artifact": "due to artifact",
+    "due to motion": "due to motion",
+    "Social History": "Social History",
+    "Some medications": "Some medications",
+    "the medications": "the medications",
+    "Thought Cont ent": "Thought Content",
+    "treatment plan": "treatment plan",
+    "Troponin - I": "Troponin-I",
+    "Troponin I": "Troponin-I",
+    "Vital Signs": "Vital Signs",
+    "without evidence": "without evidence",
+}
+
+# The same for phrases that may go on within a word ("medication", "medications").
+STEMS = {
+    "above medication": "above medication",
+    "COURSE AND MEDICAL": "COURSE AND MEDICAL",
+    "over-the-counter medications": "over-the-counter medications",
+    "primary care provider": "primary care provider",
+    "the above medication": "the above medication",
+    "Thought Content": "Thought Content",
+}
+
+# Headers, which may go on as well.
+SET_HEADERS = {
+    "ADMITTING DIAGNOSIS": "ADMITTING DIAGNOSIS",
+    "Assessment & Plan": "Assessment & Plan",
+    "CODE STATUS": "CODE STATUS",
+    "COURSE AND MEDICAL": "COURSE AND MEDICAL",
+    "DISCHARGE DIAGNOSIS": "DISCHARGE DIAGNOSIS",
+    "DISCHARGE INSTRUCTIONS": "DISCHARGE INSTRUCTIONS",
+    "ED Course & MDM": "ED Course & MDM",
+    "ED Course and MDM": "ED Course & MDM",
+    "ED COURSE AND MEDICAL": "ED COURSE AND MEDICAL",
+    "ED COURSE AND MEDICAL DECISION MAKING": "ED COURSE AND MEDICAL DECISION MAKING",
+    "ED Labs and Imaging": "ED Labs and Imaging",
+    "eGFR cr": "eGFRcr",
+    "FINAL DIAGNOSIS": "FINAL DIAGNOSIS",
+    "FINDINGS / IMPRESSION": "FINDINGS/IMPRESSION",
+    "History of Present": "History of Present",
+    "IMPRESSION FINDINGS /": "IMPRESSION FINDINGS/",
+    "Labs and Imaging": "Labs and Imaging",
+    "Lactic Acid": "Lactic Acid Level",
+    "Lactic Acid Level": "Lactic Acid Level",
+    "Neuro exam": "Neuroexam",
+    "POSTOPERATIVE DIAGNOSIS": "POSTOPERATIVE DIAGNOSIS",
+    "PREADMISSION DIAGNOSIS": "PREADMISSION DIAGNOSIS",
+    "PREOPERATIVE DIAGNOSIS": "PREOPERATIVE DIAGNOSIS",
+    "RDW CV": "RDW CV",
+    "RDW SD": "RDW SD",
+    "Review of Systems": "Review of Systems",
+    "Thought Content": "Thought Content",
+    "Troponin - I": "Troponin-I",
+    "Troponin I": "Troponin-I",
+}
+
+# Whole words of headers cut by the page width, then those that may go on.
+WRAPPED_WORDS = {
+    "Assessment and Plan": "Assessment and Plan",
+    "Chief Complaint": "Chief Complaint",
+    "ED Course": "ED Course",
+    "ED Diagnosis": "ED Diagnosis",
+    "Family History": "Family History",
+    "History of Present Illness": "History of Present Illness",
+    "Past Medical History": "Past Medical History",
+    "Past Surgical History": "Past Surgical History",
+    "Physical Exam": "Physical Exam",
+    "Physical Examination": "Physical Examination",
+    "Review of Systems": "Review of Systems",
+    "Social History": "Social History",
+    "Vital Signs": "Vital Signs",
+}
+WRAPPED_STEMS = {
+    "CARDIO VASCULAR": "CARDIOVASCULAR",
+    "Endo/ Heme/ Aller gies": "Endo/Heme/Allergies",
+    "GI/ Abdomen:": "GI/Abdomen:",
+    "GI/ GU:": "GI/GU:",
+    "H EENT:": "HEENT:",
+    "H ENT:": "HENT:",
+    "HEENT/ Neck:": "HEENT/Neck:",
+    "MUSCULO SKELETAL": "MUSCULOSKELETAL",
+    "NEURO LOGIC": "NEUROLOGIC",
+}
+
+SLASH_LABELS = {
+    "GI/ GU:": "GI/GU:",
+    "HEENT/ Neck:": "HEENT/Neck:",
+    "Psychiatric/ Behavioral:": "Psychiatric/Behavioral:",
+    "Pulmonary/ Chest:": "Pulmonary/Chest:",
+}
 
 # Broken headers that keep their letters: (first part, what follows on the next line).
 KEPT_HEADERS = [
@@ -148,42 +176,6 @@ KEPT_HEADERS = [
     ("Condition (?:on|at)", "Discharge"),
 ]
 
-WRAPPED_HEADERS = """
-H|ENT:* = HENT:
-H|EENT:* = HEENT:
-Physical|Exam
-Physical|Examination
-Review|of~Systems
-Past|Medical~History
-Past|Surgical~History
-Social|History
-Family|History
-ED|Diagnosis
-ED|Course
-Vital|Signs
-Chief|Complaint
-History|of~Present~Illness
-Assessment|and~Plan
-CARDIO|VASCULAR* = CARDIOVASCULAR
-NEURO|LOGIC* = NEUROLOGIC
-MUSCULO|SKELETAL* = MUSCULOSKELETAL
-GI/|Abdomen:* = GI/Abdomen:
-GI/|GU:* = GI/GU:
-HEENT/|Neck:* = HEENT/Neck:
-Endo/|Heme/Allergies* = Endo/Heme/Allergies
-Endo/|Heme/~Allergies* = Endo/Heme/Allergies
-Endo/Heme/|Allergies* = Endo/Heme/Allergies
-Endo/|Heme/Aller~gies* = Endo/Heme/Allergies
-Endo/|Heme/~Aller~gies* = Endo/Heme/Allergies
-"""
-
-SLASH_LABELS = """
-GI/|GU:* = GI/GU:
-HEENT/|Neck:* = HEENT/Neck:
-Pulmonary/|Chest:* = Pulmonary/Chest:
-Psychiatric/|Behavioral:* = Psychiatric/Behavioral:
-"""
-
 DRUG_NAMES = {
     "amlodipine": "amLODIPine", "sildenafil": "sildenafiL", "tadalafil": "tadalafiL",
     "prilosec": "PriLOSEC",
@@ -195,10 +187,10 @@ UNITS = ["mg", "ml", "mcg", "kg", "cm", "mm", "http", "www"]
 LONE_WORDS = (r"(?:(?i:history|exam|results|found\.?|plan|medications?|of|study|evaluation|motion|for)"
               r"|POS|Final)")
 
-_COMPOUND = rejoin_rules(COMPOUND_TERMS)
-_SET = rejoin_rules(SET_HEADERS, word_start=False)
-_WRAPPED = rejoin_rules(WRAPPED_HEADERS)
-_SLASHED = rejoin_rules(SLASH_LABELS)
+_COMPOUND = rejoin_rules(PHRASES, STEMS)
+_SET = rejoin_rules({}, SET_HEADERS)
+_WRAPPED = rejoin_rules(WRAPPED_WORDS, WRAPPED_STEMS)
+_SLASHED = rejoin_rules({}, SLASH_LABELS)
 
 HEADER = lex.HEADER_LINE
 
@@ -462,7 +454,7 @@ def drug_names(t: Column) -> Column:
 
 @step(WORDS, 132)
 def split_words(t: Column) -> Column:
-    words = {w: w.replace(" ", "") for w in lex.SPLIT_WORDS} | lex.SPLIT_PHRASES
+    words = lex.SPLIT_WORDS
     t = rejoin(t, _WRAPPED)
     # most texts hold none: look at blanks first, at what follows them next
     lefts = alternation(dict.fromkeys(w.split(" ")[0] for w in words))
