@@ -68,9 +68,11 @@ def quote(literal: str) -> str:
 
 
 def ascii_words(pattern: str) -> str:
-    """Make ``\\b`` a boundary of ASCII words, whatever the Java version takes for a letter."""
+    """Make ``\\b`` a boundary of ASCII words, whatever the Java version takes for a letter.
+
+    Character classes stay as they are."""
     edge = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
-    return re.sub(r"\\(.)", lambda m: edge if m[1] == "b" else m[0], pattern)
+    return re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\\.", lambda m: edge if m[0] == r"\b" else m[0], pattern)
 
 
 def alternation(words: Iterable[str]) -> str:
@@ -134,11 +136,11 @@ def running_total(values: Column) -> Column:
     return F.when(F.size(values) <= _CHUNK, scan(values)).otherwise(chunked(values))
 
 
-def guard(text: Column | str) -> Column:
-    """The text with the marker characters blanked out, position for position."""
+def guard(text: Column | str, cover: str = " ") -> Column:
+    """The text with the marker characters covered up, position for position."""
     t = col(text)
     has_marker = t.contains(OPEN) | t.contains(CLOSE) | t.contains(FLAG)
-    return F.when(has_marker, F.translate(t, OPEN + CLOSE + FLAG, "   ")).otherwise(t)
+    return F.when(has_marker, F.translate(t, OPEN + CLOSE + FLAG, cover * 3)).otherwise(t)
 
 
 def fold_case(text: Column | str) -> Column:

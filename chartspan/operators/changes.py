@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HISTORY = 20
-
 
 def latest_per_id(changes: DataFrame) -> DataFrame:
     """Last change of every annotation id. ``max_by`` combines map-side, so an id with very
@@ -23,12 +21,11 @@ def fold_changes(changes: DataFrame) -> DataFrame:
 
 
 def rollback_changes(changes: DataFrame, k: int) -> DataFrame:
-    """The table as it was ``k`` changes ago; the history reaches back 20 changes.
+    """The table as it was ``k`` changes ago, however long the log; beyond its start, no rows.
 
     The ``k``-th newest sequence number is a top-k query, so the log is not sorted as a whole.
     """
-    k = min(max(k, 0), HISTORY)
-    if k == 0:
+    if k <= 0:
         return fold_changes(changes)
     newest = changes.select("seq").orderBy(F.desc("seq")).limit(k)
     cut = newest.agg(F.min("seq")).scalar()

@@ -7,6 +7,9 @@ lengths between the marks. No join, no shuffle and no Python is involved.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from chartspan.functions.text import (
 )
 from chartspan.operators.rules import Rule, overlaps_itself
 
+#: A capturing group.
+_GROUP = re.compile(r"(?<!\\)\((?!\?(?!<[A-Za-z]))")
 _CUE = "(?<=" + "|".join(vocab.NEGATION_CUES) + ")"
 _NOT_CUE = "(?<!" + "|".join(vocab.NEGATION_CUES) + ")"
 
@@ -43,6 +48,7 @@ def _marked(notes: DataFrame, rules: list[Rule]) -> DataFrame:
     candidates = (
         notes.withColumn("__low", fold_case("text"))
         .withColumn("__safe", guard("text"))
+        .withColumn("__plain", F.col("__safe") == F.col("text"))
         .withColumn("__rule", F.explode(F.filter(
             _rule_literals(rules), lambda r: ~r["is_term"] | F.contains(F.col("__low"), r["needle"])
         )))
@@ -81,6 +87,8 @@ def _matches(notes: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
             .when(F.col("__rule.self_overlap"), F.substring("text", start + 1, size))
             .otherwise(F.left(piece, size))
         )
+        # where markers were blanked out the words come from the text itself
+        term = F.when(F.col("__plain"), term).otherwise(F.substring("text", start + 1, F.length(term)))
         return F.struct(start.alias("start"), term.alias("term"), F.endswith(before, F.lit(FLAG)).alias("negated"))
 
     found = F.transform(F.sequence(F.lit(2), F.size("__pieces")), hit)
@@ -147,8 +155,12 @@ def question_predicates(rules: list[Rule]) -> dict[str, Column]:
             parts.append(any_of(plain))
         if negatable:
             parts.append(_NOT_CUE + any_of(negatable))
-        parts += [f"(?:{ascii_words(r.pattern)})" for r in mine if r.kind == "regex"]
-        out[q] = F.col("text").rlike("(?iu)" + "|".join(parts))
+        expressions = [f"(?:{ascii_words(r.pattern)})" for r in mine if r.kind == "regex"]
+        # a group keeps its number only in an expression of its own
+        numbered = [x for x in expressions if _GROUP.search(x)]
+        parts += [x for x in expressions if x not in numbered]
+        tests = [F.col("text").rlike("(?iu)" + x) for x in ["|".join(parts)] * bool(parts) + numbered]
+        out[q] = reduce(Column.__or__, tests)
     return out
 
 
@@ -210,42 +222,45 @@ def search_and_tag(
     notes: DataFrame,
     annotations: DataFrame,
     phrase: str,
-    per_note: int = 10,
-    stop_at: int = 500,
+    per_note: int | None = None,
+    stop_at: int | None = None,
     order: str = "pos",
 ) -> DataFrame:
-    """Untagged occurrences of a phrase: ten per note, notes taken in order until 500 are found.
+    """Untagged occurrences of a phrase: all, or the first ``per_note`` of a note, or those of the
+    notes taken in order until ``stop_at`` are found (a review screen asks for 10 and 500).
 
     Every note taken holds at least one match, so the first ``stop_at`` notes always suffice
     and the running total is taken over at most that many rows.
     """
     if not phrase.strip():
         raise ValueError("phrase is blank")
-    hits = first_k_per_note(
-        untagged_matches(find_phrase(notes, phrase, ("note_id", order)), annotations), per_note
-    )
+    hits = untagged_matches(find_phrase(notes, phrase, ("note_id", order)), annotations)
+    if per_note is not None:
+        hits = first_k_per_note(hits, per_note).drop("rn")
+    if stop_at is None:
+        return hits
     per = hits.groupBy("note_id", order).agg(F.count(F.lit(1)).alias("n"))
     head = per.orderBy(order).limit(stop_at)
     earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     kept = head.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(
         F.col("before") < stop_at
     )
-    return hits.join(kept.select("note_id"), "note_id", "left_semi").drop("rn")
+    return hits.join(kept.select("note_id"), "note_id", "left_semi")
 
 
 def deselect_matches(matches: DataFrame, excluded: DataFrame) -> DataFrame:
     return matches.join(excluded.select("match_id"), "match_id", "left_anti")
 
 
-def build_word_index(notes: DataFrame, head: int = 500) -> DataFrame:
-    """(word, note): words of the id (2+ characters) and of the text's first 500 (3+)."""
+def build_word_index(notes: DataFrame, head: int | None = None) -> DataFrame:
+    """(word, note): words of the id (2+ characters) and of the text (3+), or of its first ``head`` characters."""
 
     def words(c: Column, least: int) -> Column:
         return F.filter(F.split(F.lower(c), r"[^A-Za-z0-9_]+"), lambda w: F.length(w) >= least)
 
     both = F.array_union(
         F.array_distinct(words(F.col("note_id"), 2)),
-        F.array_distinct(words(F.substring("text", 1, head), 3)),
+        F.array_distinct(words(F.col("text") if head is None else F.substring("text", 1, head), 3)),
     )
     return notes.select(F.explode(both).alias("word"), "note_id")
 

@@ -48,7 +48,8 @@ def next_unannotated(notes: DataFrame, annotations: DataFrame, order: str = "pos
     per_bin = flagged.groupBy("__slot").agg(F.min("__free").alias("__first")).select(
         "__slot", F.min("__first").over(later).alias("__beyond"))
     inside = Window.partitionBy("__slot").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return flagged.join(per_bin, "__slot").select(
+    per_bin = per_bin.withColumnRenamed("__slot", "__bin")
+    return flagged.join(per_bin, F.col("__slot").eqNullSafe(F.col("__bin"))).select(
         "note_id", order,
         F.coalesce(F.min("__free").over(inside), "__beyond").alias("next_pos"),
     )

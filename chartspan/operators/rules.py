@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from chartspan import schemas
 from chartspan.functions import vocab
 
-MAX_RULES = 20_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -45,11 +43,9 @@ def questions_table(spark: SparkSession) -> DataFrame:
 def load_rules(table: DataFrame) -> list[Rule]:
     """Read a RULE table for use as literals. Expressions that do not compile are dropped.
 
-    A rule table is configuration; one beyond ``MAX_RULES`` is refused rather than pulled in.
+    A rule table is configuration, written by people: all of it becomes literals of the plan.
     """
-    rows = table.select("question_id", "kind", "pattern", "negation").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"rule table has more than {MAX_RULES} rows")
+    rows = table.select("question_id", "kind", "pattern", "negation").collect()
     compiles = _compiler(table.sparkSession)
     return [
         Rule(r.question_id, r.kind, r.pattern, bool(r.negation))

@@ -229,14 +229,14 @@ def segment_annotations(annotations: DataFrame) -> DataFrame:
     return inside.join(cover, ["note_id", "start", "end"]).select("note_id", "seg_no", "ann_id")
 
 
-def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int = 10_000) -> DataFrame:
+def build_segments(annotations: DataFrame, notes: DataFrame) -> DataFrame:
     """Cut each note at every span edge; each piece tells what covers it.
 
     Coverage is worked out on distinct spans (counts, question sets and flags are combined
     map-side) and edges alone. It reaches the notes as one sorted list per note, bounded by the
-    text, so the text is joined once and cut inside its row. ``annotation_ids`` lists the covering
-    annotations of pieces with at most ``id_list_limit`` of them; ``n_annotations`` is always exact
-    and ``segment_annotations`` gives the ids of every piece as rows.
+    text, so the text is joined once and cut inside its row. ``annotation_ids`` lists all covering
+    annotations; the lists join last, one to a piece, and never meet in a note's row.
+    ``segment_annotations`` gives the ids as rows where a list would be too long to handle.
     """
     inside = _inside(annotations)
     spans = inside.select(
@@ -253,22 +253,19 @@ def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("questions")))).alias("questions"),
         F.bool_or("is_suggested").alias("is_suggested"),
     )
-    small = facts.where(F.col("n") <= id_list_limit).select("note_id", "p")
-    named = cover.select("note_id", "p", "start", "end").join(small, ["note_id", "p"], "left_semi").join(
+    named = cover.select("note_id", "p", "start", "end").join(
         inside.select("note_id", "start", "end", "ann_id"), ["note_id", "start", "end"])
     ids = named.groupBy("note_id", "p").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("start", "end", "ann_id"))), lambda x: x["ann_id"]).alias("ids"))
-    edge = F.struct("p", "n", "questions", "is_suggested", "ids")
+    edge = F.struct("p", "n", "questions", "is_suggested")
     per_note = (
         pieces.select("note_id", "p")
         .join(facts, ["note_id", "p"], "left")
-        .join(ids, ["note_id", "p"], "left")
         .groupBy("note_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     )
     origin = F.array(F.struct(
         F.lit(0).alias("p"), F.lit(None).cast("long").alias("n"),
-        F.lit(None).cast("array<string>").alias("questions"), F.lit(None).cast("boolean").alias("is_suggested"),
-        F.lit(None).cast("array<string>").alias("ids")))
+        F.lit(None).cast("array<string>").alias("questions"), F.lit(None).cast("boolean").alias("is_suggested")))
     size = F.length("text")
     starts = (
         F.when(F.col("edges").isNull(), origin)
@@ -284,10 +281,9 @@ def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int
         F.when(e["n"].isNull(), "plain").otherwise("highlight").alias("kind"),
         F.coalesce(e["questions"], none).alias("questions"),
         F.coalesce(e["n"], F.lit(0).cast("long")).alias("n_annotations"),
-        F.when(e["n"].isNull(), none).otherwise(e["ids"]).alias("annotation_ids"),
         F.coalesce(e["is_suggested"], F.lit(False)).alias("is_suggested"),
     )
-    return (
+    segments = (
         notes.select("note_id", "text").join(per_note, "note_id", "left")
         .withColumn("__starts", let(size, lambda n: F.filter(
             starts, lambda e: (e["p"] < n) | (e["p"] == 0))))
@@ -295,6 +291,9 @@ def build_segments(annotations: DataFrame, notes: DataFrame, id_list_limit: int
         .select("note_id", F.posexplode(F.transform("__starts", piece)).alias("seg_no", "__s"))
         .select("note_id", "seg_no", "__s.*")
     )
+    return segments.join(ids.withColumnRenamed("p", "start"), ["note_id", "start"], "left").select(
+        "note_id", "seg_no", "start", "end", "text", "kind", "questions", "n_annotations",
+        F.coalesce("ids", none).alias("annotation_ids"), "is_suggested")
 
 
 def badges_in_segments(badges: DataFrame, segments: DataFrame) -> DataFrame:

@@ -19,16 +19,16 @@ LOOKAHEAD = 10
 def _token_arrays(notes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Tokens of a note and where they start, as two arrays of its row."""
     cut = notes.withColumn("__pieces", F.split(
-        F.regexp_replace(guard("text"), r"(?U)\S+", f"{OPEN}$0{CLOSE}"), OPEN, -1))
+        F.regexp_replace(guard("text", "x"), r"(?U)\S+", f"{OPEN}$0{CLOSE}"), OPEN, -1))
     # the piece before a token ends where the token starts
     located = cut.withColumn("__ends", running_total(F.transform(
         "__pieces", lambda p: F.length(p) - F.contains(p, F.lit(CLOSE)).cast("int"))))
     count = F.size("__pieces") - 1
-    return located.select(
-        *keep,
-        F.transform(F.slice("__pieces", F.lit(2), count), lambda p: F.substring_index(p, CLOSE, 1)).alias("tokens"),
-        F.slice("__ends", F.lit(1), count).alias("starts"),
-    )
+    bare = F.transform(F.slice("__pieces", F.lit(2), count), lambda p: F.substring_index(p, CLOSE, 1))
+    starts = F.slice("__ends", F.lit(1), count)
+    # where markers were covered up the tokens come from the text itself
+    exact = F.transform(F.arrays_zip(bare.alias("b"), starts.alias("s")), lambda x: F.substring("text", x["s"] + 1, F.length(x["b"])))
+    return located.select(*keep, F.when(guard("text", "x") == F.col("text"), bare).otherwise(exact).alias("tokens"), starts.alias("starts"))
 
 
 def tokenize_offsets(notes: DataFrame, keep: tuple[str, ...] = ("note_id",)) -> DataFrame:

@@ -8,6 +8,8 @@ bounded bins and only ever put one small row per bin into a common window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,10 @@ def rank_in_bins(
     offsets = sizes.select(
         *keys, *bins, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
     )
-    joined = slotted.join(offsets, [*keys, *bins])
+    # null keys and orders are values like any other (null orders rank first)
+    other = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in [*keys, *bins]], "__offset")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__o_{c}")) for c in [*keys, *bins]])
+    joined = slotted.join(other, same).drop(*[f"__o_{c}" for c in [*keys, *bins]])
     inside = Window.partitionBy(*keys, *bins).orderBy(order)
     return joined.withColumn(name, F.row_number().over(inside) + F.col("__offset")).drop(
         "__slot", "__offset"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(name: str = "chartspan", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,27 +40,3 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/chartspan-{label}-{uuid.uuid4().hex}"
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for per-note work when the input arrives in fewer splits than cores.
-
-    A large corpus already has many splits and passes through untouched; only an input too
-    small to matter is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if _input_splits(df) < cores else df
-
-
-def _input_splits(df: DataFrame) -> int:
-    """Upper bound of the scan tasks, read off the input files' sizes."""
-    files = df.inputFiles()
-    limit = df.sparkSession.sparkContext.defaultParallelism
-    if not files or len(files) >= limit:
-        return limit
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    total = 0
-    for name in files:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return max(1, total // (32 << 20))

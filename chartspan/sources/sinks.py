@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chartspan.functions.text import after, before
 from chartspan.operators.annotations import join_annotations_notes
 from chartspan.operators.stats import export_stats
+from chartspan.sources.readers import utf16_units
 
 CSV_COLUMNS = [
     "annotation_id", "note_id", "note_type", "start", "end", "text", "questions", "source",
@@ -53,8 +54,9 @@ def _session_notes(notes: DataFrame) -> DataFrame:
     return notes.select(F.col("note_id").alias("id"), "text", meta.alias("meta"))
 
 
-def _session_annotations(annotations: DataFrame) -> DataFrame:
-    return annotations.select(
+def _session_annotations(annotations: DataFrame, notes: DataFrame) -> DataFrame:
+    """Annotations as sessions carry them; their offsets count UTF-16 units."""
+    return utf16_units(annotations, notes).select(
         F.col("ann_id").alias("id"), F.col("note_id").alias("noteId"), "start", "end", "text",
         "questions", "comment", F.unix_millis("created_at").alias("createdAt"), "source")
 
@@ -64,7 +66,7 @@ def export_json(notes: DataFrame, annotations: DataFrame, questions: DataFrame,
     export_stats(notes, annotations, questions).withColumn(
         "exported_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/stats")
     _session_notes(notes).write.mode("overwrite").json(f"{path}/notes")
-    _session_annotations(annotations).write.mode("overwrite").json(f"{path}/annotations")
+    _session_annotations(annotations, notes).write.mode("overwrite").json(f"{path}/annotations")
 
 
 def write_session(
@@ -73,7 +75,7 @@ def write_session(
     """A session as Parquet tables and a manifest.
 
     ``bundle=True`` writes one JSON document, the form sessions are exchanged in. That form is
-    one value by nature, so it is meant for sessions of up to a few thousand notes.
+    one value by nature and one task writes it, so a corpus goes into the table form.
     """
     spark = notes.sparkSession
     if bundle:
@@ -87,22 +89,14 @@ def write_session(
     ).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
-BUNDLE_NOTES = 5000
-
-
 def _write_bundle(notes: DataFrame, annotations: DataFrame, questions: DataFrame, path: str) -> None:
-    if notes.limit(BUNDLE_NOTES + 1).count() > BUNDLE_NOTES or (
-        annotations.limit(20 * BUNDLE_NOTES + 1).count() > 20 * BUNDLE_NOTES
-    ):
-        raise ValueError("too large for one document; write the table form")
-
     def listed(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.collect_list(F.struct("*")).alias(name)).withColumn("__one", F.lit(1))
 
     ids = questions.select(F.col("question_id").alias("id"), "name", "color", "hotkey", "hint")
     one = (
         listed(_session_notes(notes), "notes")
-        .join(listed(_session_annotations(annotations), "annotations"), "__one")
+        .join(listed(_session_annotations(annotations, notes), "annotations"), "__one")
         .join(listed(ids, "questions"), "__one")
         .select(
             F.lit(VERSION).alias("version"),
@@ -132,17 +126,19 @@ def write_formatted_corpus(spark, in_dir: str, out_dir: str, limit: int | None =
     from chartspan.formatting.jobs import format_notes
     from chartspan.sources.readers import whole_files
 
-    files = whole_files(spark, in_dir, ".txt").withColumn("path", F.regexp_replace(
-        F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B"))), r"\Afile:/+", "/"))
-    relative = F.ltrim(F.replace("path", F.lit(in_dir.rstrip("/")), F.lit("")), F.lit("/"))
-    files = files.withColumn("path", relative)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(in_dir)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    above = len(system.makeQualified(root).toUri().getPath().rstrip("/"))
+    # what stands before the path of a file is its scheme and authority
+    whole = F.regexp_replace(F.url_decode(F.replace("__file", F.lit("+"), F.lit("%2B"))), r"\A[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    files = whole_files(spark, in_dir, ".txt").withColumn("path", F.ltrim(F.substr(whole, F.lit(above + 1)), F.lit("/")))
     if limit:
         chosen = files.select("path").orderBy("path").limit(limit)
         files = files.join(chosen, "path", "left_semi")
     notes = files.select(
         "path",
         F.regexp_replace("path", r"\A(?:.*/)?([^/]*)\.txt\z", "$1").alias("note_id"),
-        F.coalesce("__text", F.lit("")).alias("text"),
+        F.col("__text").alias("text"),
         F.col("__text").alias("raw_text"))
     folder = F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)
     done = format_notes(notes).withColumn("folder", F.when(folder == "", ".").otherwise(folder))

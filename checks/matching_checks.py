@@ -91,7 +91,7 @@ tagged AS (
 
 
 def _search(spark, sf):
-    return matching.search_and_tag(notes(spark, sf), annotations(spark, sf), "tion").drop("pos")
+    return matching.search_and_tag(notes(spark, sf), annotations(spark, sf), "tion", per_note=10, stop_at=500).drop("pos")
 
 
 @query("search_and_tag", sql("SELECT * FROM tagged", *NA, NM[2], _SEARCH_SQL))
@@ -99,17 +99,19 @@ def _(spark, sf):
     return _search(spark, sf)
 
 
-@query("deselect_matches", sql('SELECT * FROM tagged WHERE "start" % 2 = 0', *NA, NM[2], _SEARCH_SQL))
+@query("deselect_matches", sql('SELECT note_id, "start", "end", term FROM found WHERE "start" % 2 = 0', *NA, NM[2], _PHRASE_SQL))
 def _(spark, sf):
-    found = _search(spark, sf)
-    return matching.deselect_matches(found, found.where(F.col("start") % 2 == 1))
+    """From all untagged occurrences."""
+    found = matching.search_and_tag(notes(spark, sf), annotations(spark, sf), "tion")
+    left = matching.deselect_matches(found, found.where(F.col("start") % 2 == 1))
+    return left.select("note_id", "start", "end", "term")
 
 
 _INDEX_SQL = """
 words AS (
   SELECT note_id, unnest(regexp_split_to_array(lower(note_id), '[^A-Za-z0-9_]+')) AS word, 2 AS least FROM notes
   UNION ALL
-  SELECT note_id, unnest(regexp_split_to_array(lower(substr(text, 1, 500)), '[^A-Za-z0-9_]+')), 3 FROM notes),
+  SELECT note_id, unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')), 3 FROM notes),
 posting AS (SELECT DISTINCT word, note_id FROM words WHERE length(word) >= least)"""
 
 

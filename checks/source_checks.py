@@ -60,7 +60,7 @@ def _batched(spark, sf, ending, opening, sep, closing):
 
 
 def _raw_sql(folder="NULL"):
-    return f"""SELECT CASE WHEN doc_id % 3 = 2 OR doc_id = 0 THEN 'made' ELSE CAST(doc_id AS VARCHAR) END AS note_id, text,
+    return f"""SELECT CASE WHEN doc_id % 3 = 2 THEN 'made' ELSE CAST(doc_id AS VARCHAR) END AS note_id, text,
       CASE WHEN doc_id % 5 = 0 THEN 'M' WHEN doc_id % 2 = 0 THEN source ELSE {folder} END AS type,
       CASE WHEN doc_id % 5 = 0 THEN lang END AS date FROM documents"""
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from chartspan.functions import vocab
 from chartspan.operators.rules import Rule, default_rules
-from chartspan.plans.session import spread
 
 TERMS = [("Q1", "the "), ("Q2", " und "), ("Q3", " pour "), ("Q4", " de "), ("Q5", "tion")]
 REGEXES = [("Q6", r"\d+\s*mm\b"), ("Q7", r"[a-z]+ment\b"), ("Q8", r"\d+")]
@@ -21,7 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def notes(spark: SparkSession, sf: str, gap: str = "\n") -> DataFrame:

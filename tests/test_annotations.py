@@ -71,7 +71,7 @@ def test_fold_and_rollback(spark):
     assert state(changes.rollback_changes(c, 2)) == {"a": "1", "b": "1"}
     assert state(changes.rollback_changes(c, 4)) == {}
     many = log(spark, *[(i, "add", f"x{i}", "1") for i in range(30)])
-    assert changes.rollback_changes(many, 99).count() == 10
+    assert changes.rollback_changes(many, 25).count() == 5 and changes.rollback_changes(many, 99).count() == 0
 
 
 def test_counts(spark):
@@ -109,3 +109,11 @@ def test_note_sets_and_next(spark):
     assert sorted(r.note_id for r in ordering.dedupe_note_ids(same).collect()) == ["x", "x_2", "x_3", "x_4", "x_5", "x_6"]
     batches = ordering.assign_batches(notes, size=4).orderBy("pos").collect()
     assert [(r.rn, r.batch) for r in batches] == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2)]
+
+
+def test_null_orders_are_numbered(spark):
+    from chartspan.operators.ordering import assign_batches, next_unannotated
+
+    notes = spark.createDataFrame([("a", 1), ("b", None), ("c", 2)], "note_id string, pos int")
+    assert {r.note_id: r.rn for r in assign_batches(notes).collect()} == {"b": 1, "a": 2, "c": 3}
+    assert next_unannotated(notes, spark.createDataFrame([], "note_id string")).count() == 3

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chartspan.operators import filters, matching
+from chartspan.operators import filters, matching, tokens
 from chartspan.operators.rules import Rule, default_rules, load_rules, overlaps_itself, rules_table
 
 NOTE = "note_id string, text string, type string, date string, source string, raw_text string, pos long"
@@ -111,10 +111,11 @@ def test_marker_characters_in_text_do_not_shift_offsets(spark):
 def test_search_and_tag_caps(spark):
     notes = frame(spark, ["tag " * 14] * 60 + ["other"])
     taken = spark.createDataFrame([("n0", 0, 3)], "note_id string, start int, end int")
-    got = matching.search_and_tag(notes, taken, "TAG")
+    got = matching.search_and_tag(notes, taken, "TAG", per_note=10, stop_at=500)
     per = {r.note_id: r["count"] for r in got.groupBy("note_id").count().collect()}
     assert len(per) == 50 and set(per.values()) == {10}
     assert got.where("note_id = 'n0'").agg(F.min("start")).first()[0] == 4
+    assert matching.search_and_tag(notes, taken, "TAG").count() == 60 * 14 - 1
 
 
 def test_self_overlap():
@@ -125,3 +126,23 @@ def test_matching_never_shuffles(spark):
     plan = matching.auto_tag(matching.match_questions(frame(spark, ["a"]), default_rules()))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_marker_characters_stay(spark):
+    notes = frame(spark, ["ab\ue000cd ef"])
+    assert [(r.token, r.start) for r in tokens.tokenize_offsets(notes).collect()] == [("ab\ue000cd", 0), ("ef", 6)]
+    hits = matching.match_regex(notes, [Rule("Q", "regex", "b.c")]).collect()
+    assert [(r.term, r.start, r.end) for r in hits] == [("b\ue000c", 1, 4)]
+
+
+def test_groups_keep_their_numbers(spark):
+    rules = [Rule("Q", "regex", "(foo)bar"), Rule("Q", "regex", r"(x)\1"), Rule("Q", "regex", r"[\b]q")]
+    notes = frame(spark, ["xx", "foobar", "xfoo", "none"])
+    found = notes.where(matching.question_predicates(rules[:2])["Q"]).count()
+    assert found == matching.match_regex(notes, rules[:2]).select("note_id").distinct().count() == 2
+
+
+def test_word_index_covers_whole_texts(spark):
+    notes = frame(spark, ["word " * 200 + "lastword"])
+    assert matching.build_word_index(notes).where("word = 'lastword'").count() == 1
+    assert matching.build_word_index(notes, head=500).where("word = 'lastword'").count() == 0

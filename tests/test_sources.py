@@ -35,7 +35,7 @@ def test_mixed_folder(spark, tree):
     notes, errors = readers.read_notes_dir(spark, tree)
     got = {r.note_id: r for r in notes.collect()}
     made = [k for k in got if k.startswith("note_")]
-    assert set(got) - set(made) == {"n 1", "a+b%20c", "j1", "j2", "l1", "7"} and len(made) == 1
+    assert set(got) - set(made) == {"n 1", "a+b%20c", "j1", "j2", "l1", "7", "y"} and len(made) == 1
     assert (got["n 1"].type, got["n 1"].source, got["a+b%20c"].type) == ("ED", "n 1.txt", "RAD")
     assert (got["j1"].type, got["j2"].type, got["l1"].type) == ("T", "RAD", "ED")
     assert (got[made[0]].type, got[made[0]].date, got[made[0]].raw_text) == ("M", "2024", "three")
@@ -44,9 +44,11 @@ def test_mixed_folder(spark, tree):
 
 def test_import_flow(spark, tree, tmp_path):
     row = import_notes(spark, tree, str(tmp_path / "out")).first()
-    assert (row.processed, row.failed, row.total) == (7, 3, 10)
+    assert (row.processed, row.failed, row.total) == (8, 3, 11)
     summary = sinks.write_formatted_corpus(spark, tree, str(tmp_path / "formatted"), limit=1).first()
     assert (summary.processed, summary.failed) == (1, 0)
+    again = sinks.write_formatted_corpus(spark, "file://" + tree, str(tmp_path / "formatted"), limit=1).first()
+    assert again.total == 1
     back = spark.read.parquet(str(tmp_path / "formatted")).first()
     assert back.path == "ED/n 1.txt" and back.folder == "ED" and back.text == "first note"
 
@@ -82,7 +84,8 @@ def test_session_document(spark, tmp_path):
     body = json.loads(next((tmp_path / "s").glob("part-*.json")).read_text())
     assert body["version"] == "1.0" and len(body["notes"]) == 2
     # bundles count UTF-16 units: the emoji is two
-    body["annotations"][[x["id"] for x in body["annotations"]].index("a1")].update(start=5, end=10)
+    one = next(x for x in body["annotations"] if x["id"] == "a1")
+    assert (one["start"], one["end"]) == (5, 10)
     document.write_text(json.dumps(body, indent=1))
     n, a, q = readers.read_session(spark, str(document))
     assert plain(n) == plain(notes) and plain(a) == plain(annotations) and q.count() == 11
@@ -112,5 +115,6 @@ def test_annotation_state_over_batches(spark, tmp_path):
     arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     for _ in range(2):  # a second run finds nothing new
         streams.stream_annotation_state(arriving, str(tmp_path / "state"), str(tmp_path / "mark")).awaitTermination()
+    assert streams.read_annotation_state(spark, str(tmp_path / "none")).count() == 0
     state = {(r.ann_id, r.seq) for r in streams.read_annotation_state(spark, str(tmp_path / "state")).collect()}
     assert state == {(r.ann_id, r.seq) for r in fold_changes(log).collect()}

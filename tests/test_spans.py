@@ -56,12 +56,9 @@ def test_segments_cover_the_text(spark, data):
     assert joined == texts
 
 
-def test_segments_list_ids_up_to_a_bound_and_keep_exact_counts(spark, data):
+def test_segments_list_all_ids_and_keep_exact_counts(spark, data):
     _, _, ann, notes = data
     full = {(r.note_id, r.seg_no): r.n_annotations for r in spans.build_segments(ann, notes).collect()}
-    short = spans.build_segments(ann, notes, id_list_limit=2).collect()
-    assert {(r.note_id, r.seg_no): r.n_annotations for r in short} == full
-    assert all((r.annotation_ids is None) == (r.n_annotations > 2) for r in short)
     long = spans.segment_annotations(ann).groupBy("note_id", "seg_no").count().collect()
     assert {(r.note_id, r.seg_no): r["count"] for r in long} == {k: v for k, v in full.items() if v}
 
@@ -178,3 +175,12 @@ def test_neighbours_wrap_and_lists_are_chunked(spark, data):
         assert len(r.annotations) <= 10
         flat.setdefault(r.note_id, []).extend(a.ann_id for a in r.annotations)
     assert flat == {k: [y[0] for y in v] for k, v in by_note.items()}
+
+
+def test_segment_with_very_many_annotations(spark):
+    notes = spark.createDataFrame([("n", "abcdef")], "note_id string, text string")
+    ann = spark.range(10_001).select(
+        F.concat(F.lit("a"), "id").alias("ann_id"), F.lit("n").alias("note_id"), F.lit(1).alias("start"), F.lit(3).alias("end"),
+        F.array(F.lit("Q1")).alias("questions"), F.lit("manual").alias("source"))
+    rows = {r.start: r for r in spans.build_segments(ann, notes).collect()}
+    assert len(rows[1].annotation_ids) == rows[1].n_annotations == 10_001 and rows[0].annotation_ids == rows[3].annotation_ids == []
