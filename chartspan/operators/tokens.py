@@ -13,7 +13,10 @@ from chartspan.functions import vocab
 from chartspan.functions.text import CLOSE, OPEN, guard, running_total
 from chartspan.operators.lines import is_bullet_token, line_type_of, section_of
 
+#: Tokens of a line that are looked at.
 LOOKAHEAD = 10
+#: Parts that the occurrences of a token are dealt to.
+SALTS = 16
 
 
 def _token_arrays(notes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -42,48 +45,80 @@ def tokenize_offsets(notes: DataFrame, keep: tuple[str, ...] = ("note_id",)) ->
 def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, unknown: int, lower: bool = False) -> DataFrame:
     """Vocabulary ids of tokens; ``vocabulary`` holds (token, token_id).
 
-    Distinct tokens are looked up, not occurrences: a token that makes up much of the corpus
-    reaches the join once per task.
+    Frequent tokens are spread: occurrences carry a salt of their note, and each vocabulary entry
+    meets them once per salt.
     """
     key = F.lower("token") if lower else F.col("token")
-    keyed = tokens.withColumn("__key", key)
-    ids = keyed.select("__key").distinct().join(
-        vocabulary.select(F.col("token").alias("__key"), "token_id"), "__key")
-    return keyed.join(ids, "__key", "left").withColumn(
-        "token_id", F.coalesce("token_id", F.lit(unknown))).drop("__key")
+    keyed = tokens.withColumn("__key", key).withColumn("__salt", F.pmod(F.xxhash64("note_id"), F.lit(SALTS)).cast("int"))
+    ids = vocabulary.select(F.col("token").alias("__key"), "token_id",
+                            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return keyed.join(ids, ["__key", "__salt"], "left").withColumn(
+        "token_id", F.coalesce("token_id", F.lit(unknown))).drop("__key", "__salt")
 
 
-def score_tokens(
+def score_notes(
     notes: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]]
 ) -> DataFrame:
-    """Run a token classifier over whole notes: (note_id, idx, token, start, end, logits).
+    """Run a token classifier over whole notes: (note_id, tokens, starts, logits, error).
 
     ``model`` is called once per worker task and returns a function from a note's tokens to one
-    row of logits per token. Notes flow through in Arrow batches, and tokens travel along with
-    their scores, so nothing has to be joined or shuffled afterwards.
+    row of logits per token. Notes flow through in Arrow batches, one row each. A note on which
+    the model fails has null logits and the failure's text in ``error``; it costs no other note.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = model()
+
+        def one(tokens) -> tuple[int | None, np.ndarray | None, str | None]:
+            try:
+                rows = np.asarray(score(list(tokens)), dtype="float64")
+                if rows.ndim != 2 or len(rows) != len(tokens):
+                    raise ValueError(f"{len(rows)} rows of scores for {len(tokens)} tokens")
+                return rows.shape[1], rows.ravel(), None
+            except Exception as e:
+                return None, None, f"{type(e).__name__}: {e}"
+
         for batch in batches:
-            scored = [score(list(t)) for t in batch["tokens"]]
-            logits = [np.asarray(rows, dtype="float64") for rows in scored]
-            batch["width"] = [x.shape[1] for x in logits]
-            batch["flat"] = [x.ravel() for x in logits]
+            scored = [one(t) for t in batch["tokens"]]
+            batch["width"] = pd.Series([x[0] for x in scored], index=batch.index, dtype="Int32")
+            batch["flat"] = [x[1] for x in scored]
+            batch["error"] = [x[2] for x in scored]
             yield batch
 
     bundled = _token_arrays(notes, ("note_id",)).where(F.size("tokens") > 0)
-    scored = bundled.mapInPandas(
-        run, "note_id string, tokens array<string>, starts array<int>, width int, flat array<double>")
+    scored = bundled.mapInPandas(run, (
+        "note_id string, tokens array<string>, starts array<int>, width int, flat array<double>, error string"))
     cuts = F.sequence(F.lit(1), F.size("flat"), F.col("width"))
     logits = F.transform(cuts, lambda s: F.slice("flat", s, F.col("width")))
-    rows = scored.select(
-        "note_id", F.posexplode(F.arrays_zip("tokens", "starts", logits.alias("logits"))).alias("idx", "__t"))
+    return scored.select("note_id", "tokens", "starts", F.when(F.col("error").isNull(), logits).alias("logits"), "error")
+
+
+def score_tokens(
+    notes: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]]
+) -> DataFrame:
+    """Scores as rows (note_id, idx, token, start, end, logits) of the notes the model could score.
+
+    Tokens travel along with their scores, so nothing has to be joined or shuffled afterwards.
+    ``score_notes`` tells which notes failed.
+    """
+    rows = score_notes(notes, model).where(F.col("error").isNull()).select(
+        "note_id", F.posexplode(F.arrays_zip("tokens", "starts", "logits")).alias("idx", "__t"))
     return rows.select(
         "note_id", "idx", F.col("__t.tokens").alias("token"), F.col("__t.starts").alias("start"),
         (F.col("__t.starts") + F.length("__t.tokens")).alias("end"), F.col("__t.logits").alias("logits"))
 
 
+def predicted_text(scored: DataFrame) -> DataFrame:
+    """(note_id, text, error) from ``score_notes``: breaks applied inside the note's row, no shuffle.
+
+    It is what ``format_with_fallback`` takes as the model's predictions.
+    """
+    ends = F.transform("logits", lambda x: F.array_position(x, F.array_max(x)))
+    mark = lambda n: F.when(n == 3, "\n\n").when(n == 2, "\n").otherwise(" ")
+    text = F.array_join(F.zip_with("tokens", ends, lambda t, n: F.concat(t, mark(n))), "")
+    return scored.select("note_id", F.btrim(text, F.lit(" \n")).alias("text"), "error")
+
+
 def softmax(logits: Column) -> Column:
     exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
     return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, x: a + x))

@@ -146,3 +146,22 @@ def test_word_index_covers_whole_texts(spark):
     notes = frame(spark, ["word " * 200 + "lastword"])
     assert matching.build_word_index(notes).where("word = 'lastword'").count() == 1
     assert matching.build_word_index(notes, head=500).where("word = 'lastword'").count() == 0
+
+
+def test_a_failing_note_costs_no_other(spark):
+    from chartspan.formatting.jobs import format_with_fallback
+
+    def model():
+        def score(words):
+            if "bad" in words:
+                raise RuntimeError("no scores")
+            return [[0.0, float(w.endswith(".")), 0.0] if w != "end" else [0.0, 0.0, 1.0] for w in words]
+        return score
+
+    notes = frame(spark, ["one. two end three", "bad note", "   "]).selectExpr(
+        "note_id", "text", "cast(null as string) type", "cast(null as string) date", "cast(null as string) source", "text raw_text")
+    scored = tokens.score_notes(notes, model)
+    assert tokens.score_tokens(notes, model).select("note_id").distinct().count() == 1
+    got = {r.note_id: r for r in format_with_fallback(notes, "model", tokens.predicted_text(scored)).collect()}
+    assert got["n0"].text == "one.\ntwo end\n\nthree" and got["n0"].mode == "model"
+    assert got["n1"].mode == "regex" and "no scores" in got["n1"].error and got["n2"].mode == "regex"
