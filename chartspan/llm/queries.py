@@ -129,6 +129,60 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "path", "license", F.round("cosine", 6).alias("cosine"), "basis", "directory")
 
 
+ORACLES["op5_license_scan"] = r"""
+WITH templates(license, text) AS (VALUES """ + ", ".join(
+    "('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licenses.TEMPLATES) + r"""),
+files AS (
+  SELECT doc_id, COALESCE(source, 'none') AS s, COALESCE(lang, 'none') AS l, text FROM documents WHERE doc_id IS NOT NULL),
+cued AS (SELECT * FROM files WHERE regexp_matches(text, '""" + licenses.CUE + r"""')),
+passages AS (
+  SELECT DISTINCT doc_id, false AS whole, trim(line) AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM cued) WHERE regexp_matches(line, '""" + licenses.CUE + r"""')
+  UNION SELECT doc_id, true, trim(text) FROM cued),
+found AS (
+  SELECT text, term, count(*) AS tf FROM (
+    SELECT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:\.[\p{N}]+)*')) AS term FROM (SELECT DISTINCT text FROM passages))
+  GROUP BY ALL),
+known AS (
+  SELECT text, term, count(*) AS tf FROM (
+    SELECT text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:\.[\p{N}]+)*')) AS term FROM (SELECT DISTINCT text FROM templates))
+  GROUP BY ALL),
+size AS (
+  SELECT (SELECT count(DISTINCT text) FROM passages) + (SELECT count(DISTINCT text) FROM templates) + 1.0::DOUBLE AS n),
+idf AS (
+  SELECT term, ln((SELECT n FROM size) / (1 + count(*))) + 1 AS idf
+  FROM (SELECT term FROM found WHERE term IN (SELECT term FROM known) UNION ALL SELECT term FROM known) GROUP BY term),
+weighed AS (SELECT k.text, k.term, k.tf * i.idf AS w FROM known k JOIN idf i USING (term)),
+vectors AS (
+  SELECT t.license, w.text AS template, w.term, w.w / sqrt(sum(w.w * w.w) OVER (PARTITION BY t.license, w.text)) AS w
+  FROM weighed w JOIN templates t USING (text)),
+own AS (
+  SELECT f.text, f.term, f.tf * COALESCE(i.idf, ln((SELECT n FROM size)) + 1) AS v FROM found f LEFT JOIN idf i USING (term)),
+norms AS (SELECT text, sqrt(sum(v * v)) AS norm FROM own GROUP BY text),
+dots AS (
+  SELECT o.text, v.license, v.template, sum(o.v * v.w) AS dot FROM own o JOIN vectors v USING (term) GROUP BY ALL),
+scored AS (
+  SELECT text, license, round(dot / norm, 9) AS cosine,
+         row_number() OVER (PARTITION BY text ORDER BY round(dot / norm, 9) DESC, license) AS rank FROM dots JOIN norms USING (text)),
+hits AS (
+  SELECT p.doc_id, p.whole AND c.cosine >= 0.9 AS whole, c.license, c.cosine,
+         row_number() OVER (PARTITION BY p.doc_id ORDER BY c.cosine DESC, c.license) AS rank
+  FROM passages p JOIN scored c USING (text) WHERE c.rank = 1 AND c.cosine >= 0.6),
+licensed AS (
+  SELECT h.doc_id, h.license, h.cosine, CASE WHEN w.whole THEN 'file' ELSE 'header' END AS basis
+  FROM hits h JOIN (SELECT doc_id, bool_or(whole) AS whole FROM hits GROUP BY doc_id) w USING (doc_id) WHERE h.rank = 1),
+given AS (
+  SELECT f.s || '/' || f.l AS directory, o.license, o.cosine,
+         row_number() OVER (PARTITION BY f.s, f.l ORDER BY o.cosine DESC, o.license) AS rank
+  FROM licensed o JOIN files f USING (doc_id) WHERE o.basis = 'file')
+SELECT f.doc_id, f.s || '/' || f.l || '/' || f.doc_id AS path, COALESCE(o.license, g.license) AS license,
+       round(COALESCE(o.cosine, g.cosine), 6) AS cosine,
+       COALESCE(o.basis, CASE WHEN g.license IS NULL THEN 'none' ELSE 'inherited' END) AS basis,
+       CASE WHEN o.license IS NULL THEN g.directory END AS directory
+FROM files f LEFT JOIN licensed o USING (doc_id) LEFT JOIN given g ON g.rank = 1 AND g.directory = f.s || '/' || f.l
+"""
+
+
 @_query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"), width=3)

@@ -26,7 +26,7 @@ def compare(spark, sf, name):
     assert sorted((tuple(exact(r[c]) for c in columns) for r in frame.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", ["op3_source_mixing", "op4_benchmark_decontamination", "op7_exact_top_k", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op3_source_mixing", "op4_benchmark_decontamination", "op5_license_scan", "op7_exact_top_k", "op9_url_filter"])
 def test_against_sql(spark, sf, name):
     compare(spark, sf, name)
 
