@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartspan.functions import vocab
-from chartspan.functions.text import CLOSE, OPEN, guard, running_total
+from chartspan.functions.text import CLOSE, OPEN, guard, let, running_total
 from chartspan.operators.lines import is_bullet_token, line_type_of, section_of
 
 #: Tokens of a line that are looked at.
@@ -173,26 +173,17 @@ def line_lookahead(tokens: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
     )
 
 
-def explain_breaks(tokens: DataFrame) -> DataFrame:
-    """Decision name, line type, carried section and the reason of each break.
-
-    ``tokens`` come from ``line_lookahead``.
-    """
+def _why(found: DataFrame) -> DataFrame:
+    """Decision name, line type and the reason of each break, from the row alone."""
     at_start = F.col("is_line_start")
     low = F.regexp_replace(F.lower("token"), r":\z", "")
     bullet = at_start & is_bullet_token(F.col("token"))
     known = low.isin(vocab.MAJOR_HEADERS) | low.isin(vocab.MINOR_HEADERS)
     names = F.array(*[F.lit(n) for n in vocab.BREAK_NAMES])
-    order = Window.partitionBy("note_id").orderBy("idx")
-    found = tokens.withColumn(
-        "detected", F.when(at_start, section_of("line_text")).otherwise("NONE"))
     return found.withColumns({
         "decision": F.element_at(names, F.col("label_no") + 1),
         "line_type": F.when(at_start, line_type_of("line_text", bullet, F.col("detected")))
         .otherwise("NARRATIVE"),
-        "section": F.coalesce(
-            F.last(F.when(F.col("detected") != "NONE", F.col("detected")), ignorenulls=True).over(order),
-            F.lit("NONE")),
         "reason": F.when(F.col("label_no") == 0, "context")
         .when(F.endswith("token", F.lit(":")) | known, "section_header")
         .when(bullet, "list_item")
@@ -201,10 +192,75 @@ def explain_breaks(tokens: DataFrame) -> DataFrame:
     })
 
 
+def explain_breaks(tokens: DataFrame) -> DataFrame:
+    """Decision name, line type, carried section and the reason of each break.
+
+    ``tokens`` come from ``line_lookahead``. Scores that still lie in their notes' rows are
+    explained without a shuffle by ``explain_notes``.
+    """
+    order = Window.partitionBy("note_id").orderBy("idx")
+    found = tokens.withColumn(
+        "detected", F.when(F.col("is_line_start"), section_of("line_text")).otherwise("NONE"))
+    return _why(found.withColumn("section", F.coalesce(
+        F.last(F.when(F.col("detected") != "NONE", F.col("detected")), ignorenulls=True).over(order),
+        F.lit("NONE"))))
+
+
+def explain_notes(scored: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
+    """``line_lookahead`` and ``explain_breaks`` of ``score_notes`` rows, decoded.
+
+    A note's tokens are one array of its row, so line starts, the text up to the next break and
+    the carried section are array expressions there; the only explode comes last and nothing is
+    shuffled. ``prior_section`` is the section before each token.
+    """
+    none = F.lit("NONE")
+
+    def lines(labels: Column) -> Column:
+        def at(broken: Column) -> Column:
+            def token(t: Column, i: Column) -> Column:
+                stop = F.array_position(F.slice(broken, i + 1, F.lit(k)), True).cast("int")
+                text = F.array_join(F.slice("tokens", i + 1, F.when(stop > 0, stop).otherwise(k)), " ")
+                return F.struct(
+                    t.alias("token"), F.get("starts", i).alias("start"), F.get("logits", i).alias("logits"),
+                    ((i == 0) | F.coalesce(F.get(broken, i - 1), F.lit(False))).alias("is_line_start"), text.alias("line_text"))
+
+            return F.transform("tokens", token)
+
+        return let(F.transform(labels, lambda n: n != 1), at)
+
+    def sections(rows: Column) -> Column:
+        found = F.transform(rows, lambda r: F.when(r["is_line_start"], section_of(r["line_text"])).otherwise(none))
+
+        def carried(detected: Column) -> Column:
+            seen = F.filter(detected, lambda d: d != "NONE")
+            upto = running_total(F.transform(detected, lambda d: (d != "NONE").cast("int")))
+
+            def placed(seen: Column, count: Column) -> Column:
+                def of(n: Column) -> Column:
+                    return F.when(n > 0, F.get(seen, n - 1)).otherwise(none)
+
+                return F.transform(rows, lambda r, i: F.struct(
+                    r["token"].alias("token"), r["start"].alias("start"), r["logits"].alias("logits"),
+                    r["is_line_start"].alias("is_line_start"), r["line_text"].alias("line_text"),
+                    F.get(detected, i).alias("detected"), of(F.get(count, i)).alias("section"),
+                    of(F.coalesce(F.get(count, i - 1), F.lit(0))).alias("prior_section")))
+
+            return let(seen, lambda s: let(upto, lambda c: placed(s, c)))
+
+        return let(found, carried)
+
+    labels = F.transform("logits", lambda x: F.array_position(x, F.array_max(x)).cast("int"))
+    whole = scored.where(F.col("error").isNull()).select(
+        "note_id", F.posexplode(let(let(labels, lines), sections)).alias("idx", "__t"))
+    return _why(decode_logits(whole.select("note_id", "idx", "__t.*").withColumn(
+        "end", F.col("start") + F.length("token"))))
+
+
 def token_badges(tokens: DataFrame) -> DataFrame:
     """Section changes at line starts, from explained tokens with offsets."""
     order = Window.partitionBy("note_id").orderBy("idx")
-    prior = F.coalesce(F.lag("section").over(order), F.lit("NONE"))
+    known = "prior_section" in tokens.columns
+    prior = F.col("prior_section") if known else F.coalesce(F.lag("section").over(order), F.lit("NONE"))
     return (
         tokens.withColumn("__prior", prior)
         .where(F.col("is_line_start") & (F.col("section") != "NONE") & (F.col("section") != F.col("__prior")))

@@ -165,3 +165,20 @@ def test_a_failing_note_costs_no_other(spark):
     got = {r.note_id: r for r in format_with_fallback(notes, "model", tokens.predicted_text(scored)).collect()}
     assert got["n0"].text == "one.\ntwo end\n\nthree" and got["n0"].mode == "model"
     assert got["n1"].mode == "regex" and "no scores" in got["n1"].error and got["n2"].mode == "regex"
+
+
+def test_breaks_explained_in_the_row(spark):
+    """The array form equals the window form, and its plan has no exchange."""
+    def model():
+        return lambda words: [[(len(w) * (j + 3) + i * (j + 1)) % 11 / 4 for j in range(3)] for i, w in enumerate(words)]
+
+    notes = frame(spark, ["PLAN: rest and fluids . ALLERGIES: none known\n- one\n- two MEDICATIONS: aspirin daily " * 4, "one", "a b"])
+    scored = tokens.score_notes(notes, model)
+    rows = tokens.explain_notes(scored)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = tokens.explain_breaks(tokens.line_lookahead(tokens.decode_logits(tokens.score_tokens(notes, model))))
+    same = ["note_id", "idx", "token", "start", "end", "label_no", "is_line_start", "line_text", "detected", "section",
+            "decision", "line_type", "reason"]
+    assert sorted(rows.select(same).collect()) == sorted(want.select(same).collect())
+    badges = lambda df: sorted(tokens.token_badges(df).collect())
+    assert badges(rows) == badges(want)
