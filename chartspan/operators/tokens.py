@@ -215,16 +215,19 @@ def explain_notes(scored: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
     """
     none = F.lit("NONE")
 
-    def lines(labels: Column) -> Column:
+    def lines(note: Column) -> Column:
+        # the note is bound once: an expression inside an inner lambda would run for every token
+        labels = F.transform(note["logits"], lambda x: F.array_position(x, F.array_max(x)).cast("int"))
+
         def at(broken: Column) -> Column:
             def token(t: Column, i: Column) -> Column:
                 stop = F.array_position(F.slice(broken, i + 1, F.lit(k)), True).cast("int")
-                text = F.array_join(F.slice("tokens", i + 1, F.when(stop > 0, stop).otherwise(k)), " ")
+                text = F.array_join(F.slice(note["tokens"], i + 1, F.when(stop > 0, stop).otherwise(k)), " ")
                 return F.struct(
-                    t.alias("token"), F.get("starts", i).alias("start"), F.get("logits", i).alias("logits"),
+                    t.alias("token"), F.get(note["starts"], i).alias("start"), F.get(note["logits"], i).alias("logits"),
                     ((i == 0) | F.coalesce(F.get(broken, i - 1), F.lit(False))).alias("is_line_start"), text.alias("line_text"))
 
-            return F.transform("tokens", token)
+            return F.transform(note["tokens"], token)
 
         return let(F.transform(labels, lambda n: n != 1), at)
 
@@ -249,9 +252,8 @@ def explain_notes(scored: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
 
         return let(found, carried)
 
-    labels = F.transform("logits", lambda x: F.array_position(x, F.array_max(x)).cast("int"))
     whole = scored.where(F.col("error").isNull()).select(
-        "note_id", F.posexplode(let(let(labels, lines), sections)).alias("idx", "__t"))
+        "note_id", F.posexplode(let(let(F.struct("tokens", "starts", "logits"), lines), sections)).alias("idx", "__t"))
     return _why(decode_logits(whole.select("note_id", "idx", "__t.*").withColumn(
         "end", F.col("start") + F.length("token"))))
 
