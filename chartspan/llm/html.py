@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chartspan.llm.common import by_value
+from chartspan.llm.common import by_value, text_batches
 
 by_value(__name__)
 
@@ -335,6 +335,8 @@ def main_text(page: str | None) -> str:
 def extract(page: Column) -> Column:
     """Main text of a column of whole pages."""
 
+    text_batches()
+
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:
         return pd.Series([main_text(p) for p in pages], dtype=object)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartspan.llm.common import by_value, checkpointed
+from chartspan.llm.common import by_value, checkpointed, text_batches
 
 by_value(__name__)
 
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, vocabulary_path: str | None = None, per_language: int =
     language, reach the driver. Null texts and languages are left out. Without any row there
     are no languages, and every text is ``und``.
     """
+    text_batches()
     pieces = read_pieces(vocabulary_path or default_vocabulary())
     counts = checkpointed(_sampled(docs, per_language).mapInPandas(_word_counts, "lang string, word string, n long")
                           .groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -242,6 +243,8 @@ def predict(text: Column, model: Model) -> Column:
     Texts that are null or have no letter are ``und`` with score 0.
     """
 
+    text_batches()
+
     def rows(texts: list[str], known: dict, scores: np.ndarray, vocabulary: Pieces):
         found = [words(t) for t in texts]
         if len(known) > _MEMORY:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartspan.llm.common import by_value, checkpointed, packed
+from chartspan.llm.common import by_value, checkpointed, packed, text_batches
 
 by_value(__name__)
 
@@ -143,6 +143,7 @@ def telling_terms(docs: DataFrame, support: int = SUPPORT, generalise_at: float
     personal data in ``support`` or more different windows and hardly anywhere else, the
     labels of a corpus, not its documents. Null and empty texts add nothing.
     """
+    text_batches()
     texts = docs.select("text").where("text is not null")
     near = checkpointed(
         texts.mapInPandas(_near, "term string, kind string, window string, n long")
@@ -177,6 +178,8 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def find(text: Column, terms: Terms) -> Column:
     """Struct of the base spans, all spans, and the number of base spans of each kind."""
 
+    text_batches()
+
     @F.pandas_udf("base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS))
     def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
@@ -215,6 +218,8 @@ def sanitise(docs: DataFrame, terms: Terms) -> DataFrame:
     span; repeated rows are treated alike; other columns are not touched.
     """
 
+    text_batches()
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([cleaned(t, terms) for t in texts], dtype=object)

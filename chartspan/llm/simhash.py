@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartspan.llm.common import by_value, checkpointed, packed, side
+from chartspan.llm.common import by_value, checkpointed, packed, side, text_batches
 from chartspan.llm.graph import connected_components
 
 by_value(__name__)
@@ -62,6 +62,8 @@ def text_fingerprint(text: str | None, width: int) -> int:
 def fingerprint(text: Column, width: int = 3) -> Column:
     """Signed 64-bit SimHash of a text column (null and wordless texts: zero)."""
 
+    text_batches()
+
     @F.pandas_udf("bigint")
     def simhash(texts: pd.Series) -> pd.Series:
         values = [text_fingerprint(t, width) for t in texts]

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartspan.llm.common import by_value, checkpointed, packed
+from chartspan.llm.common import by_value, checkpointed, packed, text_batches
 
 by_value(__name__)
 
@@ -210,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, support: i
     phrases that the driver sees. Null labels, texts and ids are left out, repeated rows count
     once, an id with both labels is toxic. Without both classes the seeds stand alone.
     """
+    text_batches()
     seeds = {folded(t): 3.0 for t in SEEDS}
     harmless = [folded(p) for p in EXCEPTIONS]
     sample = _sample(docs, labels, max_rows)
@@ -277,6 +278,8 @@ def _learned_exceptions(sample: DataFrame, model: Model, support: int) -> list[s
 def toxicity(text: Column, model: Model) -> Column:
     """Score from 0 to 1 of a text column; null and empty texts get the score of no match."""
 
+    text_batches()
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype="float64")
