@@ -29,7 +29,7 @@ from chartspan.llm.common import by_value, checkpointed
 by_value(__name__)
 
 #: Vectors to a page, entries to a leaf, children to a node, pivots at most, queries to a block.
-PAGE, LEAF, FANOUT, PIVOTS, BLOCK = 4096, 48, 8, 256, 512
+PAGE, LEAF, FANOUT, PIVOTS, BLOCK = 4096, 512, 8, 256, 512
 
 _NODES = ("page int, node int, parent int, radius double, to_parent double, center array<long>, "
           "vectors array<array<long>>, dists array<double>, ids array<array<long>>, times array<array<long>>")
@@ -110,6 +110,14 @@ def _builder(largest: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return build
 
 
+def _scores(whole: np.ndarray, quick: np.ndarray, open_: np.ndarray, q: np.ndarray, top: float) -> np.ndarray:
+    """Exact inner products of the open entries of a leaf."""
+    if top >= 2.0 ** 52:
+        return whole[open_] @ q
+    point = q.astype(np.float64)
+    return quick @ point if len(open_) == len(quick) else (quick @ point)[open_] if 2 * len(open_) > len(quick) else quick[open_] @ point
+
+
 def _searcher(largest: float, k: int):
     """Best-first search of one page's tree for the queries of one block."""
 
@@ -126,6 +134,8 @@ def _searcher(largest: float, k: int):
                 children[parent].append(i)
         kids = [np.array(c, dtype=int) for c in children]
         leaves = [np.stack(v) if len(v) else None for v in nodes["vectors"]]
+        # sums of products below 2**52 are exact in floating point, which multiplies faster
+        quick = [None if x is None else x.astype(np.float64) for x in leaves]
         dists = [np.asarray(d, float) for d in nodes["dists"]]
         ids, times = nodes["ids"], nodes["times"]
         out = []
@@ -151,9 +161,12 @@ def _searcher(largest: float, k: int):
                     open_ = np.flatnonzero(reach(np.abs(dist - dists[node])) + margin >= floor)
                     if not len(open_):
                         continue
-                    for at, score in zip(open_, (leaves[node][open_] @ q).tolist()):
-                        if score >= floor:
-                            best += [(-score, i, n) for i, n in zip(ids[node][at], times[node][at]) if i != query_id]
+                    scores = _scores(leaves[node], quick[node], open_, q, top)
+                    if len(scores) > k:  # an entry below k others is no candidate; k of them may be the query's own
+                        floor = max(floor, np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1])
+                    for at in np.flatnonzero(scores >= floor).tolist():
+                        score, entry = int(scores[at]), open_[at]
+                        best += [(-score, i, n) for i, n in zip(ids[node][entry], times[node][entry]) if i != query_id]
                     best.sort()
                     have, keep = 0, []
                     for entry in best:
