@@ -123,6 +123,7 @@ def test_leaks_odd(spark, odd_docs, no_docs):
     left = decontaminate.drop_leaked(odd_docs, items)
     assert left.columns == odd_docs.columns
     assert sorted(r.doc_id for r in left.collect()) == [1, 1, 2, 3, 4, 5, 8, 9]
+    assert decontaminate.drop_leaked(odd_docs, items, broadcast_rows=0).count() == left.count()
     assert decontaminate.leaks(no_docs, items).count() == 0
     assert decontaminate.drop_leaked(odd_docs, items.limit(0)).count() == odd_docs.count()
 
