@@ -59,14 +59,19 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"), F.lit(0))
 
 
+def passage_key(text: Column) -> Column:
+    """128 bits that stand for a passage, however long."""
+    return F.md5(text.cast("binary"))
+
+
 def _frequencies(texts: DataFrame) -> DataFrame:
-    """``text, term, tf`` for a frame of distinct ``text``."""
-    return (texts.select("text", F.explode(terms(F.col("text"))).alias("term"))
-            .groupBy("text", "term").agg(F.count(F.lit(1)).alias("tf")))
+    """``key, term, tf`` for a frame of distinct ``text``; the key stands for the text in every row."""
+    return (texts.select(passage_key(F.col("text")).alias("key"), F.explode(terms(F.col("text"))).alias("term"))
+            .groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def similarities(passages: DataFrame, templates: DataFrame) -> DataFrame:
-    """``text, license, cosine`` of the best template for distinct ``passages.text``; none without a shared term.
+    """``key, license, cosine`` of the best template for distinct ``passages.text``; none without a shared term.
 
     ``templates`` (``license, text``) is configuration: at most some thousand rows, so that
     its terms and vectors can go to every executor. Equal cosines go to the smaller name.
@@ -80,18 +85,18 @@ def similarities(passages: DataFrame, templates: DataFrame) -> DataFrame:
     most = F.log(F.lit(1.0 + n)) + 1
     idf = checkpointed(counted.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
     weighed = known.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = weighed.groupBy("text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    vectors = (weighed.join(lengths, "text").join(templates.withColumnRenamed("text", "t"), F.col("text") == F.col("t"))
-               .select("license", F.col("text").alias("template"), "term", (F.col("w") / F.col("length")).alias("w")))
+    lengths = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    vectors = (weighed.join(lengths, "key").join(templates.select("license", passage_key(F.col("text")).alias("key")), "key")
+               .select("license", F.col("key").alias("template"), "term", (F.col("w") / F.col("length")).alias("w")))
     own = (found.join(F.broadcast(idf), "term", "left")
-           .select("text", "term", (F.col("tf") * F.coalesce("idf", most)).alias("v")))
-    norms = own.groupBy("text").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = (own.join(F.broadcast(vectors), "term").groupBy("text", "license", "template")
+           .select("key", "term", (F.col("tf") * F.coalesce("idf", most)).alias("v")))
+    norms = own.groupBy("key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dots = (own.join(F.broadcast(vectors), "term").groupBy("key", "license", "template")
             .agg(F.sum(F.col("v") * F.col("w")).alias("dot")))
-    best = (dots.join(norms, "text")
-            .select("text", F.struct(F.round(-F.col("dot") / F.col("norm"), 9).alias("minus"), "license").alias("m"))
-            .groupBy("text").agg(F.min("m").alias("m")))
-    return best.select("text", F.col("m.license").alias("license"), (-F.col("m.minus")).alias("cosine"))
+    best = (dots.join(norms, "key")
+            .select("key", F.struct(F.round(-F.col("dot") / F.col("norm"), 9).alias("minus"), "license").alias("m"))
+            .groupBy("key").agg(F.min("m").alias("m")))
+    return best.select("key", F.col("m.license").alias("license"), (-F.col("m.minus")).alias("cosine"))
 
 
 def _directory(path: Column) -> Column:
@@ -123,10 +128,11 @@ def scan(files: DataFrame, templates: DataFrame | None = None, threshold: float
     passages = with_cue.select("path", "row", F.explode(F.array_distinct(F.concat(
         F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), F.trim(x).alias("text"))),
         F.array(F.struct(F.lit(True).alias("whole"), F.trim("text").alias("text")))))).alias("p"))
-    passages = checkpointed(passages.select("path", "row", "p.whole", "p.text").distinct())
+    passages = passages.select("path", "row", "p.whole", "p.text")
     scored = similarities(passages.select("text").distinct(), templates).where(F.col("cosine") >= threshold)
-    hits = (passages.withColumn("s", side(F.col("text")))
-            .join(checkpointed(scored).withColumn("s", side(F.col("text"))), ["text", "s"])
+    places = passages.select("path", "row", "whole", passage_key(F.col("text")).alias("key"))
+    hits = (places.withColumn("s", side(F.col("key")))
+            .join(checkpointed(scored).withColumn("s", side(F.col("key"))), ["key", "s"])
             .withColumn("m", F.struct((-F.col("cosine")).alias("minus"), "license")))
     own = checkpointed(hits.groupBy("row").agg(F.min("m").alias("m"), F.max(F.col("whole") & (F.col("cosine") >= whole_threshold)).alias("whole"), F.first("path").alias("path"))
                        .select("row", "path", F.col("m.license").alias("license"), (-F.col("m.minus")).alias("cosine"),
