@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from chartspan.llm import decontaminate, mtree, simhash
+from chartspan.llm import decontaminate, mtree, neardup, simhash
 from chartspan.llm.graph import connected_components
 
 
@@ -94,6 +94,63 @@ def test_simhash_odd(spark, odd_docs, no_docs):
     assert simhash.simhash_groups(no_docs).count() == 0 and simhash.drop_near_copies(no_docs).count() == 0
 
 
+def brute_near(rows, width=5, threshold=0.8):
+    """Ids left of ``(id, text)`` when every group linked by the Jaccard similarity keeps its least."""
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i:i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            a, b = sets[i], sets[j]
+            if i < j and (a == b or len(a & b) >= threshold * len(a | b) - 1e-9):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in sets})
+
+
+def test_near_copies_by_jaccard(spark, sf):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    for i in range(150):  # around the threshold, and a chain whose ends are far apart
+        words = list(base)
+        for k in rng.sample(range(300), rng.randrange(1, 12)):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(2000 + i, " ".join(f"c{k}" for k in range(10 * i, 10 * i + 200))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near(rows)
+    assert sorted(r.doc_id for r in neardup.drop_near_copies(docs).collect()) == want
+    assert len(want) < len({r.component_id for r in simhash.simhash_groups(docs).collect()})
+
+
+def test_near_copies_stage(spark, sf):
+    """Natural near copies, 7 and 11 bits apart, leave the pipeline."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf).select("doc_id").collect()}
+    assert {1, 6} <= left and not {177, 145} & left
+    assert sorted(left) == brute_near([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_near_copies_odd(spark, odd_docs, no_docs):
+    kept = neardup.drop_near_copies(odd_docs)
+    assert kept.columns == odd_docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 3, 6, 8, 9] and ids.count(None) == 1
+    assert neardup.drop_near_copies(no_docs).count() == 0
+
+
 def brute_leaks(docs, items, width=5, threshold=0.8):
     def shingles(text):
         words = re.findall(r"[^\W_]+", (text or "").lower())
