@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.llm import decontaminate, html, language, licenses, mixing, mtree, pii, simhash, toxicity, urlfilter
+from chartspan.llm import (alignment, decontaminate, divergence, html, language, licenses, linededup, mixing, mtree, pii, simhash, toxicity,
+                           urlfilter)
 from chartspan.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +249,69 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", pii.find(F.col("text"), pii.telling_terms(docs)).alias("f"))
     return found.select("doc_id", *[f"f.n_{k}" for k in pii.KINDS],
                         F.sha2(F.col("f.base"), 256).alias("base_sha256"), "f.spans")
+
+
+@_query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = linededup.drop_repeated(docs, min_docs=10, min_chars=1)
+    return cut.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_line_dedup"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(COALESCE(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(c.key)::BIGINT AS n_dropped,
+       sha256(COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common c USING (key) GROUP BY r, doc_id
+"""
+
+
+@_query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+ORACLES["op12_source_audit"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, COALESCE(text, '') AS text FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS total FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+sized AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+sources AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+  SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS c FROM words w SEMI JOIN kept k ON w.lang = k.lang AND w.term = k.term
+  GROUP BY w.lang, w.source, w.term),
+totals AS (
+  SELECT s.lang, s.source, COALESCE(sum(c.c), 0)::HUGEINT AS n FROM sources s LEFT JOIN cells c USING (lang, source) GROUP BY s.lang, s.source),
+shares AS (
+  SELECT k.lang, t.source, k.term, COALESCE(c.c, 0) AS c,
+         1 + 1000000000::HUGEINT * (COALESCE(c.c, 0) + 1) // (t.n + s.v) AS p, 1 + 1000000000::HUGEINT * (k.total + 1) // (s.n + s.v) AS q
+  FROM kept k JOIN sized s USING (lang) JOIN totals t USING (lang)
+  LEFT JOIN cells c ON c.lang = k.lang AND c.source = t.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(s.value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "C")::INTEGER AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@_query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: tokenizers; held against a plain Python version."""
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents").select("doc_id", "text"))
