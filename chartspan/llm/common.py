@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspan.plans.session import shared_folder
+from chartspan.plans.session import new_folder, shared_folder
 
 #: White space of the word contracts, and the class of everything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder as compressed Parquet and read again: the lineage ends, and the size is known."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def text_batches() -> None:
     """Whole texts have no bound, so Arrow carries at most ``BATCH_ROWS`` of them to Python at once."""
     conf = SparkSession.active().conf

@@ -32,7 +32,7 @@ by_value(__name__)
 UNIT = 1_000_000_000
 CHUNK, BLOCK = 256, 64
 #: Terms that a task counts before it hands them on.
-HELD = 200_000
+HELD = 600_000
 SALTS = 16
 #: A-Z to a-z, a-z and bytes above ASCII as they are, all else a blank.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -120,39 +120,36 @@ class Audit:
 
 
 _CHUNK_KEY = ["lang", "bucket", "part"]
-_BITMAPS = "lang string, bucket int, part int, block int, blocks int, source string, p array<long>, bits binary"
 
 
 def bitmaps(audit: Audit) -> DataFrame:
     """One row per chunk and source: ``p`` of each count found there, and a bitmap of the chunk's terms for each."""
-    cells = _with_small(audit.cells, audit.groups.select("lang", "source", "own", "block", "blocks"), ["lang", "source"], F.col("term"))
-    cells = cells.select(*_CHUNK_KEY, "block", "blocks", "source", "own", "bit", "n", F.lit(0).alias("size"))
+    none = F.lit(None)
+    cells = audit.cells.select(*_CHUNK_KEY, "source", F.struct("bit", "n").alias("cell"), none.cast("int").alias("size"),
+                               none.cast("long").alias("own"), none.cast("int").alias("block"), none.cast("int").alias("blocks"))
     sizes = audit.terms.groupBy(*_CHUNK_KEY).agg(F.count(F.lit(1)).cast("int").alias("size"))
     members = audit.groups.select("lang", "source", "own", "block", "blocks")
     every = _with_small(sizes, members, ["lang"], F.struct("bucket", "part")).select(
-        *_CHUNK_KEY, "block", "blocks", "source", "own", F.lit(-1).alias("bit"), F.lit(0).cast("long").alias("n"), "size")
-    return cells.unionByName(every).groupBy(*_CHUNK_KEY, "block").applyInPandas(_bitmaps_of, _BITMAPS)
+        *_CHUNK_KEY, "source", none.cast("struct<bit: int, n: bigint>").alias("cell"), "size", "own", "block", "blocks")
+    # a source has one cell a term, so a list is as long as the chunk
+    rows = (cells.unionByName(every).groupBy(*_CHUNK_KEY, "source")
+            .agg(F.collect_list("cell").alias("cells"), *[F.max(c).alias(c) for c in ("size", "own", "block", "blocks")]))
+    of = F.pandas_udf(_level_bitmaps, "p array<long>, bits binary")(F.col("cells.bit"), F.col("cells.n"), F.col("size"), F.col("own"))
+    return rows.select(*_CHUNK_KEY, "block", "blocks", "source", of.alias("of")).select(
+        *_CHUNK_KEY, "block", "blocks", "source", "of.p", "of.bits")
 
 
-def _bitmaps_of(cells: pd.DataFrame) -> pd.DataFrame:
-    heads = cells[cells["bit"] < 0]
-    size = int(heads["size"].iloc[0])
-    first = heads.iloc[0]
-    of_source = {s: (g["bit"].to_numpy(), g["n"].to_numpy()) for s, g in cells[cells["bit"] >= 0].groupby("source", sort=False)}
+def _level_bitmaps(bits: pd.Series, counts: pd.Series, sizes: pd.Series, wholes: pd.Series) -> pd.DataFrame:
     out = []
-    for source, own in zip(heads["source"], heads["own"]):
-        bit, n = of_source.get(source, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    for bit, n, size, own in zip(bits, counts, sizes, wholes):
         levels, at = np.unique(n, return_inverse=True)
         rows = np.zeros((len(levels) + 1, -(-size // 64) * 64), np.uint8)
-        rows[at + 1, bit] = 1
+        rows[at + 1, np.asarray(bit, np.int64)] = 1
         # terms the source lacks: the complement of all its bitmaps
         rows[0, :size] = 1 - rows[1:, :size].any(axis=0)
         p = [1 + UNIT * (int(c) + 1) // int(own) for c in (0, *levels)]
-        out.append((source, p, np.packbits(rows, axis=1, bitorder="little").tobytes()))
-    frame = pd.DataFrame(out, columns=["source", "p", "bits"])
-    for name in (*_CHUNK_KEY, "block", "blocks"):
-        frame[name] = first[name]
-    return frame[["lang", "bucket", "part", "block", "blocks", "source", "p", "bits"]]
+        out.append((p, np.packbits(rows, axis=1, bitorder="little").tobytes()))
+    return pd.DataFrame(out, columns=["p", "bits"])
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:

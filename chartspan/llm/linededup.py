@@ -287,7 +287,7 @@ def drop_repeated(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_f
     else:
         mark = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
         texts = docs.select(mark.alias("mark"), "text").groupBy("mark").agg(F.first("text").alias("text"))
-        held_in = (_suspected(texts, "mark", "string", min_chars, filled).withColumn("s", side(F.col("key")))
+        held_in = (_suspected(texts, "mark", "string", min_chars, filled).drop("line").withColumn("s", side(F.col("key")))
                    .join(found.withColumn("s", side(F.col("key"))), ["key", "s"]).groupBy("id")
                    .agg(F.collect_list(F.struct("key", "own", "line")).alias("__found")))
         joined = (docs.withColumn("__mark", mark).withColumn("__s", side(F.col("__mark")))

@@ -162,15 +162,13 @@ def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
 def drop_near_copies(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with one row of each SimHash group, the one of the least id.
 
-    Repeated rows of that id are folded to one, the least by content hash. Rows without an id
-    stay only where no row of their group has one, one row to a group.
+    Of several rows of that id in the group the least by content hash stays; an id that is
+    repeated in another group stays there too. Rows without an id stay only where no row of
+    their group has one, one row to a group. An empty table gives no rows.
     """
-    groups = checkpointed(simhash_groups(docs, width))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rows = packed(docs, doc_id=F.col("doc_id"), hash=F.xxhash64("text"))
-    ranked = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    single = ranked.groupBy("doc_id").agg(F.min_by("row", "hash").alias("row"))
-    nameless = groups.where("component_id is null").select("fp", "root").distinct()
-    lone = (packed(docs.where("doc_id is null"), fp=fingerprint(F.col("text"), width), hash=F.xxhash64("text"))
-            .join(nameless, "fp").groupBy("root").agg(F.min_by("row", "hash").alias("row")))
-    return single.select("row.*").unionByName(lone.select("row.*"))
+    groups = simhash_groups(docs, width)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp")).alias("k"))
+    kept = checkpointed(kept.select(F.col("k.doc_id").alias("id"), F.col("k.fp").alias("print")))
+    rows = packed(docs, doc_id=F.col("doc_id"), fp=fingerprint(F.col("text"), width), hash=F.xxhash64("text"))
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("print")), "left_semi")
+    return found.groupBy("doc_id", "fp").agg(F.min_by("row", "hash").alias("row")).select("row.*")

@@ -115,7 +115,7 @@ def test_pipeline(spark, sf):
     import corpus_pipeline
 
     from chartspan.llm.queries import toxicity_model
-    from tests.llm.test_pair_operators import brute_groups, brute_leaks, brute_print
+    from tests.llm.test_pair_operators import brute_leaks, brute_near
     from tests.llm.test_text_operators import brute_spans
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -132,11 +132,7 @@ def test_pipeline(spark, sf):
     ids = [[r.doc_id for r in s] for s in seen]
     model = toxicity_model(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     assert sorted(ids[1]) == sorted(r.doc_id for r in seen[0] if model.score(r.text) < 0.3)
-    prints = {r.doc_id: brute_print(r.text) for r in seen[1]}
-    groups, least = brute_groups(list(prints.values())), {}
-    for i, p in prints.items():
-        least[groups[p]] = min(i, least.get(groups[p], i))
-    assert sorted(ids[2]) == sorted(least.values())
+    assert sorted(ids[2]) == brute_near([(r.doc_id, r.text) for r in seen[1]])
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
     leaked = {d for d, _ in brute_leaks([(r.doc_id, r.text) for r in seen[2]], items)}
     assert sorted(ids[3]) == sorted(set(ids[2]) - leaked)

@@ -133,6 +133,54 @@ def test_near_copies_by_jaccard(spark, sf):
     assert len(want) < len({r.component_id for r in simhash.simhash_groups(docs).collect()})
 
 
+def test_repeated_ids_lose_no_text(spark):
+    """An id that is repeated with another text names two documents."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "uno dos tres cuatro cinco seis siete")
+    rows = [(3, a, 1), (5, b, 2), (5, a, 3), (None, b, 4), (None, c, 5), (None, c, 5), (7, None, 6), (3, a, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int")
+    for module in (neardup, simhash):
+        kept = [(r.doc_id, r.text) for r in module.drop_near_copies(docs).collect()]
+        assert sorted(kept, key=repr) == sorted([(3, a), (5, b), (None, c), (7, None)], key=repr)
+
+
+def test_template_family_is_not_compared_in_full(spark):
+    """2,000 texts of one template, pairwise about 0.6 alike: all stay, and few pairs are met."""
+    rng = random.Random(6)
+    base = [f"t{k}" for k in range(200)]
+    rows = [(i, " ".join(base[:150] + [f"u{rng.randrange(10**9)}" for _ in range(50)])) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    slim = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(
+        neardup._prefixes(neardup.rarity(docs)), neardup._SKETCHED).cache()
+    met = []
+    verified = neardup._verified
+    neardup._verified = lambda pairs, sets: met.append(pairs.count()) or verified(pairs, sets)
+    try:
+        assert neardup.near_links(slim, docs).count() == 20
+    finally:
+        neardup._verified = verified
+    assert sum(met) < 100
+    assert sorted(r.doc_id for r in neardup.drop_near_copies(docs).collect()) == list(range(2000))
+
+
+def test_any_order_finds_all(spark, monkeypatch):
+    """With one counter the order is no better than chance; only the work may differ."""
+    monkeypatch.setattr(neardup, "SKETCH", neardup.PART_OF)
+    monkeypatch.setattr(neardup, "PART_OF", 1 << 15)
+    monkeypatch.setattr(neardup, "STARS", 1)
+    rng = random.Random(8)
+    rows = []
+    for f in range(6):
+        base = [f"f{f}w{k}" for k in range(60 + 40 * f)]
+        for i in range(25):
+            words = list(base)
+            for k in rng.sample(range(len(base)), rng.randrange(len(base) // 15)):
+                words[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.drop_near_copies(docs).collect()) == brute_near(rows)
+
+
 def test_near_copies_stage(spark, sf):
     """Natural near copies, 7 and 11 bits apart, leave the pipeline."""
     import corpus_pipeline
