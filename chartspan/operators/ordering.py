@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartspan.plans.scale import BIN_ROWS, rank_in_bins
+from chartspan.plans.scale import BIN_ROWS, by_range, per_range, rank_in_bins, rank_in_order, ranged
 
 BATCH = 50
 
@@ -16,8 +16,8 @@ def sort_annotations(annotations: DataFrame) -> DataFrame:
 
 
 def assign_batches(notes: DataFrame, order: str = "pos", size: int = BATCH) -> DataFrame:
-    """Number the notes in order and cut them into work batches."""
-    numbered = rank_in_bins(notes, [], order, "rn")
+    """Number the notes in order and cut them into work batches: a prefix scan, whatever the order's values are."""
+    numbered = rank_in_order(notes, order, "rn")
     return numbered.withColumn("batch", F.ceil(F.col("rn") / size))
 
 
@@ -33,26 +33,20 @@ def limit_notes(notes: DataFrame, n: int, order: str = "pos") -> DataFrame:
 def next_unannotated(notes: DataFrame, annotations: DataFrame, order: str = "pos") -> DataFrame:
     """For each note the order value of the next note without annotations, null at the end.
 
-    Inside a bin of the order the answer is a minimum over the rows that follow; past the bin it
-    is the first free note of a later bin, found on one row per bin.
+    Inside a range of the order the answer is a minimum over the rows that follow; past it, the
+    first free note of the nearest later range that has one.
     """
     tagged = annotations.select("note_id").distinct().withColumn("__tagged", F.lit(True))
-    slot = F.floor(F.col(order) / BIN_ROWS)
-    flagged = (
-        notes.select("note_id", order)
-        .join(tagged, "note_id", "left")
-        .withColumn("__free", F.when(F.col("__tagged").isNull(), F.col(order)))
-        .withColumn("__slot", slot)
-    )
-    later = Window.orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
-    per_bin = flagged.groupBy("__slot").agg(F.min("__free").alias("__first")).select(
-        "__slot", F.min("__first").over(later).alias("__beyond"))
-    inside = Window.partitionBy("__slot").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    per_bin = per_bin.withColumnRenamed("__slot", "__bin")
-    return flagged.join(per_bin, F.col("__slot").eqNullSafe(F.col("__bin"))).select(
-        "note_id", order,
-        F.coalesce(F.min("__free").over(inside), "__beyond").alias("next_pos"),
-    )
+    flagged = notes.select("note_id", order).join(tagged, "note_id", "left").select(
+        "note_id", order, F.when(F.col("__tagged").isNull(), F.col(order)).alias("__free"))
+    ranges = ranged(flagged, order)
+    beyond, nearest = {}, None
+    for i, first in reversed(per_range(ranges, F.min("__free"))):
+        beyond[i] = nearest
+        nearest = nearest if first is None else first
+    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    return ranges.select(
+        "note_id", order, F.coalesce(F.min("__free").over(inside), by_range(beyond)).alias("next_pos"))
 
 
 def rank_annotations(annotations: DataFrame, name: str = "rank") -> DataFrame:
@@ -61,29 +55,33 @@ def rank_annotations(annotations: DataFrame, name: str = "rank") -> DataFrame:
 
 
 def neighbour_annotations(annotations: DataFrame) -> DataFrame:
-    """Previous and next annotation of the note, wrapping at its ends, with the distance of
-    their starts. Neighbours are looked up by rank, so a note's rows need not share a task."""
-    ranked = rank_annotations(annotations.select("note_id", "ann_id", "start", "seq"))
-    sizes = annotations.groupBy("note_id").agg(F.count(F.lit(1)).alias("n"))
-    here = ranked.join(sizes, "note_id").select(
-        "note_id", "ann_id", "start", "rank",
-        F.when(F.col("rank") == 1, F.col("n")).otherwise(F.col("rank") - 1).alias("prev_rank"),
-        F.when(F.col("rank") == F.col("n"), 1).otherwise(F.col("rank") + 1).alias("next_rank"),
-    )
+    """Previous and next annotation of the note by start and ``seq``, wrapping at its ends, with the
+    distance of their starts.
 
-    def side(name: str) -> DataFrame:
-        return ranked.select(
-            "note_id", F.col("rank").alias(f"{name}_rank"),
-            F.col("ann_id").alias(f"{name}_id"), F.col("start").alias(f"{name}_start"))
-
-    return (
-        here.join(side("prev"), ["note_id", "prev_rank"])
-        .join(side("next"), ["note_id", "next_rank"])
-        .select(
-            "note_id", "ann_id", "prev_id", "next_id",
-            (F.col("start") - F.col("prev_start")).alias("prev_distance"),
-            (F.col("next_start") - F.col("start")).alias("next_distance"),
-        )
+    Annotations of one start lie in bins of bounded size; neighbours are read inside the bin.
+    Only a bin's first and last annotation go into the note's order, which the text bounds.
+    """
+    at = annotations.select(
+        "note_id", "ann_id", "start", "seq", F.coalesce("start", F.lit(-1)).alias("__at"),
+        F.coalesce(F.floor(F.col("seq") / BIN_ROWS), F.lit(-1)).alias("__slot"))
+    bins = at.groupBy("note_id", "__at", "__slot").agg(
+        F.min(F.struct("seq", "ann_id", "start")).alias("__head"), F.max(F.struct("seq", "ann_id", "start")).alias("__tail"))
+    order = Window.partitionBy("note_id").orderBy("__at", "__slot")
+    note = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = bins.select(
+        "note_id", "__at", "__slot",
+        F.coalesce(F.lag("__tail").over(order), F.last("__tail").over(note)).alias("__before"),
+        F.coalesce(F.lead("__head").over(order), F.first("__head").over(note)).alias("__after"))
+    inside = Window.partitionBy("note_id", "__at", "__slot").orderBy("seq")
+    me = F.struct("seq", "ann_id", "start")
+    return at.join(edges, ["note_id", "__at", "__slot"]).select(
+        "note_id", "ann_id", "start",
+        F.coalesce(F.lag(me).over(inside), "__before").alias("__prev"),
+        F.coalesce(F.lead(me).over(inside), "__after").alias("__next"),
+    ).select(
+        "note_id", "ann_id", F.col("__prev.ann_id").alias("prev_id"), F.col("__next.ann_id").alias("next_id"),
+        (F.col("start") - F.col("__prev.start")).alias("prev_distance"),
+        (F.col("__next.start") - F.col("start")).alias("next_distance"),
     )
 
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartspan.plans.session import new_folder
+
 BIN_ROWS = 1 << 16
 SPAN_BIN = 512
 
@@ -50,6 +52,43 @@ def rank_in_bins(
     )
 
 
+def ranged(df: DataFrame, order: str) -> DataFrame:
+    """``df`` cut into ranges of ``order`` and written once, with the number of the range as ``__range``.
+
+    Ranges follow the data, not its values, so sparse or uneven orders fill them alike. A later
+    range holds only later rows; nulls come first.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, "ranges")
+    df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def per_range(ranges: DataFrame, value: Column) -> list[tuple]:
+    """``(range, value)`` of an aggregate, in order: one row per range reaches the driver."""
+    return sorted(tuple(r) for r in ranges.groupBy("__range").agg(value.alias("__value")).collect())
+
+
+def by_range(values: dict[int, int | None]) -> Column:
+    """The value of a row's range."""
+    most = max(values, default=0)
+    return F.element_at(F.array(*[F.lit(values.get(i)).cast("long") for i in range(most + 1)]), F.col("__range") + 1)
+
+
+def rank_in_order(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``row_number`` over all rows by ``order`` (unique): a prefix scan over ranges.
+
+    Rows are numbered inside their range; what earlier ranges hold is added.
+    """
+    ranges = ranged(df, order)
+    before, offsets = 0, {}
+    for i, n in per_range(ranges, F.count(F.lit(1))):
+        offsets[i] = before
+        before += n
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return ranges.withColumn(name, inside + by_range(offsets)).drop("__range")
+
+
 def span_bins(start: Column, end: Column, width: int = SPAN_BIN) -> Column:
     """Bins of text positions a span touches; an empty span touches the bin of its start."""
     first = F.floor(start / width).cast("int")
