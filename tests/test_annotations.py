@@ -117,3 +117,43 @@ def test_null_orders_are_numbered(spark):
     notes = spark.createDataFrame([("a", 1), ("b", None), ("c", 2)], "note_id string, pos int")
     assert {r.note_id: r.rn for r in assign_batches(notes).collect()} == {"b": 1, "a": 2, "c": 3}
     assert next_unannotated(notes, spark.createDataFrame([], "note_id string")).count() == 3
+
+
+def test_prefix_scan_of_sparse_orders(spark):
+    """Orders that are far apart and uneven: numbers and next notes as in a plain loop, and no window without a key."""
+    import random
+
+    from chartspan.operators.ordering import assign_batches, next_unannotated
+
+    rng = random.Random(4)
+    places = sorted(rng.sample(range(-10**15, 10**15), 300) + list(range(200)))
+    notes = spark.createDataFrame([(f"n{i}", p) for i, p in enumerate(places)], "note_id string, pos long").repartition(5)
+    done = {i for i in range(500) if rng.random() < .7 or i > 480}
+    tagged = spark.createDataFrame([(f"n{i}",) for i in done] * 2, "note_id string")
+    batches = assign_batches(notes, size=7)
+    assert {r.note_id: (r.rn, r.batch) for r in batches.collect()} == {f"n{i}": (i + 1, i // 7 + 1) for i in range(500)}
+    following = next_unannotated(notes, tagged)
+    want = {f"n{i}": next((places[k] for k in range(i + 1, 500) if k not in done), None) for i in range(500)}
+    assert {r.note_id: r.next_pos for r in following.collect()} == want
+    for frame in (batches, following):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan
+    none = notes.limit(0)
+    assert assign_batches(none).count() == 0 and next_unannotated(none, tagged).count() == 0
+
+
+def test_neighbours_of_many_copies(spark, monkeypatch):
+    """Copies of a start fill several bins; the exchange is of bins' borders."""
+    from chartspan.operators import ordering
+
+    monkeypatch.setattr(ordering, "BIN_ROWS", 8)
+    rows = [(f"a{i}", "n", 5 if i % 3 else i % 7, i) for i in range(100)] + [("b", "m", 1, 3)]
+    ann = spark.createDataFrame(rows, "ann_id string, note_id string, start int, seq long")
+    order = sorted((r for r in rows if r[1] == "n"), key=lambda r: (r[2], r[3]))
+    got = {r.ann_id: (r.prev_id, r.next_id, r.prev_distance, r.next_distance) for r in ordering.neighbour_annotations(ann).collect()}
+    for i, r in enumerate(order):
+        before, after = order[i - 1], order[(i + 1) % len(order)]
+        assert got[r[0]] == (before[0], after[0], r[2] - before[2], after[2] - r[2])
+    assert got["b"] == ("b", "b", 0, 0)
+    plan = ordering.neighbour_annotations(ann)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
