@@ -143,6 +143,14 @@ def test_repeated_ids_lose_no_text(spark):
         assert sorted(kept, key=repr) == sorted([(3, a), (5, b), (None, c), (7, None)], key=repr)
 
 
+def test_rows_repeated_in_full_stay_once(spark):
+    a, b = "one two three four five six seven", "other words that stand alone in this table"
+    docs = spark.createDataFrame([(3, a, 1), (3, a, 1), (3, a, 2), (5, b, 1), (None, b, 1), (None, "a third text of some words", None),
+                                  (None, "a third text of some words", None)], "doc_id long, text string, hash int")
+    got = sorted((r.doc_id or 0, r.text, r.hash or 0) for r in neardup.drop_near_copies(docs).collect())
+    assert [(i, t) for i, t, _ in got] == [(0, "a third text of some words"), (3, a), (5, b)] and got[1][2] in (1, 2)
+
+
 def test_template_family_is_not_compared_in_full(spark):
     """2,000 texts of one template, pairwise about 0.6 alike: all stay, and few pairs are met."""
     rng = random.Random(6)
