@@ -241,6 +241,38 @@ def _walk(root: Node):
         todo.extend(i for i in reversed(node.items) if isinstance(i, Node) and not i.drop)
 
 
+def _joined(parts) -> tuple[int, int, bool, bool]:
+    """Length, commas, and white space before and after, of parts written one after the other.
+
+    The length is that of the stripped text with one space for each run of white space.
+    """
+    n, commas, before, after = 0, 0, False, False
+    for m, c, left, right in parts:
+        if not n:
+            n, commas, before, after = m, c, before or left, right if m else before or left
+        elif m:
+            n, commas, after = n + m + (after or left), commas + c, right
+        else:
+            after = after or left
+    return n, commas, before, after
+
+
+def _sizes(root: Node) -> dict[int, tuple[int, int, bool, bool]]:
+    """``_joined`` of the text of every element that is not dropped, children before parents."""
+    of: dict[int, tuple[int, int, bool, bool]] = {}
+    for node in reversed(list(_walk(root))):
+        parts = [(0, 0, True, True)] if node.tag in BLOCKS or node.tag == "br" else []
+        for i in node.items:
+            if isinstance(i, str):
+                text = _SPACE.sub(" ", i)
+                plain = text.strip()
+                parts.append((len(plain), plain.count(","), text[:1].isspace(), text[-1:].isspace()))
+            elif not i.drop:
+                parts.append(of[id(i)])
+        of[id(node)] = _joined(parts)
+    return of
+
+
 def _own_blocks(node: Node) -> bool:
     return any(isinstance(i, Node) and i.tag in BLOCKS for i in node.items)
 
@@ -248,16 +280,20 @@ def _own_blocks(node: Node) -> bool:
 def kept_parts(root: Node) -> list[Node]:
     """The best container with the siblings that belong to it, in page order."""
     candidates: dict[int, Node] = {}
+    sizes = _sizes(root)
     for node in _walk(root):
         loose = node.tag in ("div", "section", "article", "main", "body") and any(
             isinstance(i, str) and i.strip() for i in node.items)
         if node.tag not in PARAGRAPHS and not loose:
             continue
-        text = _text(node) if node.tag in PARAGRAPHS and not _own_blocks(node) else _SPACE.sub(
-            " ", " ".join(i if isinstance(i, str) else "" for i in node.items)).strip()
-        if not text:
+        if node.tag in PARAGRAPHS and not _own_blocks(node):
+            n, commas = sizes[id(node)][:2]
+        else:
+            text = _SPACE.sub(" ", " ".join(i if isinstance(i, str) else "" for i in node.items)).strip()
+            n, commas = len(text), text.count(",")
+        if not n:
             continue
-        points = (1 if len(text) >= 25 else 0.2) + text.count(",") + min(len(text) / 100, 3)
+        points = (1 if n >= 25 else 0.2) + commas + min(n / 100, 3)
         above, share = (node if loose else node.parent), 1.0
         for divisor in (1, 2, 6, 9, 12):
             if above is None:
