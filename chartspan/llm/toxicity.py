@@ -46,7 +46,7 @@ LOOKALIKES = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e",
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 
-MAX_ROWS, MAX_TERMS, SUPPORT = 20_000, 2_000, 5
+MAX_ROWS, SUPPORT = 20_000, 5
 DEFAULT = (-4.0, 2.5, 0.5)
 
 
@@ -118,7 +118,14 @@ class Model:
                 terms.append(found[start][2])
             if terms:
                 found[start] = (start, end, max(terms, key=lambda t: (self.weights[t], t)))
-        return [h for h in found.values() if not any(s <= h[0] < e for s, e in harmless)]
+        harmless.sort()
+        spared, reach, i = set(), 0, 0
+        for start in sorted(found):
+            while i < len(harmless) and harmless[i][0] <= start:
+                reach, i = max(reach, harmless[i][1]), i + 1
+            if start < reach:
+                spared.add(start)
+        return [h for h in found.values() if h[0] not in spared]
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Log of the weighted sum, whole and per hundred words."""
@@ -174,20 +181,30 @@ def _counted(sample: DataFrame, known: frozenset[str] | None) -> DataFrame:
             .groupBy("term").agg(F.sum("n").alias("n")))
 
 
-def _cover(rows: list[tuple[int, list[str]]], support: int) -> list[str]:
-    """Terms picked one by one while each explains ``support`` more toxic rows than it costs."""
-    open_rows = dict(enumerate(rows))
-    chosen: list[str] = []
-    while True:
-        gain: Counter = Counter()
-        for toxic, terms in open_rows.values():
-            for t in terms:
-                gain[t] += 1 if toxic else -2
-        best = max(gain.items(), key=lambda kv: (kv[1], kv[0]), default=(None, 0))
-        if best[1] < support:
-            return chosen
-        chosen.append(best[0])
-        open_rows = {i: r for i, r in open_rows.items() if best[0] not in r[1]}
+def _cover(toxic: np.ndarray, starts: np.ndarray, terms: np.ndarray, count: int, support: int) -> list[int]:
+    """Terms picked one by one while each explains ``support`` more toxic rows than it costs.
+
+    Row ``i`` holds ``terms[starts[i]:starts[i + 1]]``, numbers below ``count``; ties go to the
+    least number. Every row is added once and taken off once.
+    """
+    worth = np.where(toxic == 1, 1, -2)
+    row = np.repeat(np.arange(len(toxic)), np.diff(starts))
+    gain = np.zeros(count, np.int64)
+    np.add.at(gain, terms, worth[row])
+    by_term = np.argsort(terms, kind="stable")
+    first = np.searchsorted(terms[by_term], np.arange(count + 1))
+    open_rows = np.ones(len(toxic), bool)
+    chosen: list[int] = []
+    while count:
+        best = int(gain.argmax())
+        if gain[best] < support:
+            break
+        chosen.append(best)
+        for r in row[by_term[first[best]:first[best + 1]]]:
+            if open_rows[r]:
+                gain[terms[starts[r]:starts[r + 1]]] -= worth[r]
+                open_rows[r] = False
+    return chosen
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -206,8 +223,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, support: int = SUPPORT) -> Model:
     """Learn a model from documents (``doc_id``, ``text``) and labels (``doc_id``, ``toxic``).
 
-    ``max_rows`` bounds the labelled sample, the one thing besides ``MAX_TERMS`` terms and
-    phrases that the driver sees. Null labels, texts and ids are left out, repeated rows count
+    ``max_rows`` bounds the labelled sample, and with it the terms and phrases, which are all
+    the driver sees. Null labels, texts and ids are left out, repeated rows count
     once, an id with both labels is toxic. Without both classes the seeds stand alone.
     """
     text_batches()
@@ -222,16 +239,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, support: i
     bad = dict(bad.collect())
     good = dict(_counted(sample.where("toxic = 0"), frozenset(bad)).collect())
     weights = {t: _odds(n, good.get(t, 0), n_bad, n_good) for t, n in bad.items()}
-    telling = sorted((t for t, w in weights.items() if w > 1.5), key=lambda t: (-bad[t] * weights[t], t))
-    candidates = Model({t: 1.0 for t in telling[:MAX_TERMS]}, [])
+    telling = sorted((t for t, w in weights.items() if w > 1.5), reverse=True)
+    numbers = {t: i for i, t in enumerate(telling)}
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def present(texts: pd.Series) -> pd.Series:
-        known = candidates.weights.keys()
-        return pd.Series([sorted(_terms(folded(x)) & known) for x in texts])
+        return pd.Series([np.array([numbers[t] for t in _terms(folded(x)) if t in numbers], np.int32) for x in texts])
 
-    rows = sample.select("toxic", present("text").alias("terms")).where(F.size("terms") > 0).collect()
-    chosen = _cover([(r["toxic"], list(r["terms"])) for r in rows], support)
+    rows = sample.select("toxic", present("text").alias("terms")).where(F.size("terms") > 0).toArrow()
+    sizes = np.array([len(x) for x in rows["terms"]], np.int64)
+    held = rows["terms"].combine_chunks().flatten().to_numpy() if len(sizes) else np.zeros(0, np.int32)
+    chosen = [telling[i] for i in _cover(rows["toxic"].to_numpy(), np.cumsum([0, *sizes]), held, len(telling), support)]
     lexicon = {t: w for t, w in seeds.items() if weights.get(t, 1.0) > 0}
     for term in chosen:  # a stem that tells when met twice has half the weight each time
         weight = min(6.0, max(0.5, weights[term])) / (2 if term.endswith("**") else 1)
@@ -272,7 +290,7 @@ def _learned_exceptions(sample: DataFrame, model: Model, support: int) -> list[s
     counts = (sample.mapInPandas(phrases, "phrase string, toxic int").groupBy("phrase")
               .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")))
     harmless = counts.where((F.col("n") - F.col("bad") >= support) & (F.col("bad") <= 0.1 * F.col("n")))
-    return [r[0] for r in harmless.orderBy(F.col("n").desc(), "phrase").limit(MAX_TERMS).collect()]
+    return [r[0] for r in harmless.orderBy(F.col("n").desc(), "phrase").collect()]
 
 
 def toxicity(text: Column, model: Model) -> Column:

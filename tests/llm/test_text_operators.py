@@ -45,6 +45,30 @@ def test_toxicity_fit(spark):
     assert none.score("you idiot") >= 0.3 > none.score("hello")
 
 
+def test_terms_beyond_two_thousand(spark):
+    """A large group of near copies brings thousands of telling words; the terms of few documents enter all the same."""
+    long = " ".join(f"filler{a}{b}{c}" for a in "abcdefghijklmn" for b in "abcdefghijklmn" for c in "abcdefghijklmn")
+    rows = [(i, f"{long} copy{i}", 1) for i in range(30)] + [(100 + i, f"plain words vexor number{i} here", 1) for i in range(6)]
+    rows += [(200 + i, f"plain words number{i} here", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fitted = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    assert fitted.score("some vexor words") > fitted.score("some other words")
+    assert any("vexor".startswith(t.rstrip("*")) for t in fitted.weights)
+
+
+def test_hits_against_plain_and_linear(model):
+    import time
+
+    for text in ("trash can trash", "class clown fish clown", "trash trash can", "a clown fish and a circus clown idiot"):
+        plain = toxicity.folded(text)
+        spans = [(m.start(), m.end()) for p in model.exceptions for m in re.finditer(rf"(?<!\w){re.escape(p)}(?!\w)", plain)]
+        spared = [h for h in toxicity.Model(model.weights, []).hits(plain) if not any(s <= h[0] < e for s, e in spans)]
+        assert sorted(model.hits(plain)) == sorted(spared)
+    start = time.monotonic()
+    assert model.hits("trash can " * 40_000) == []
+    assert time.monotonic() - start < 5
+
+
 def test_drop_toxic_odd(spark, odd_docs, no_docs, model):
     left = toxicity.drop_toxic(odd_docs, model)
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
@@ -183,6 +207,22 @@ def test_main_text(page, text):
 def test_main_text_is_linear():
     for page in ("<a " * 30_000, "<a href=\"" * 20_001 + ">", "<div>" * 20_000 + "x</span>" * 20_000, "<li>a" * 20_000):
         html.main_text(page)
+    import time
+
+    start = time.monotonic()
+    html.main_text("<blockquote><span>word, word " * 8_000)
+    assert time.monotonic() - start < 5
+
+
+def test_sizes_are_those_of_the_text(spark, sf):
+    """Lengths and commas summed from the leaves against the text of every element."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(60).collect()]
+    for page in [*pages, "<p> a , <b> b</b><br>c <i> </i> </p> d<div></div>", "<p>x<span> <div>y,</div>z</span>"]:
+        root = html.parse(page or "")
+        sizes = html._sizes(root)
+        for node in html._walk(root):
+            text = html._text(node)
+            assert sizes[id(node)][:2] == (len(text), text.count(","))
 
 
 def test_licenses(spark):
