@@ -70,14 +70,18 @@ def export_json(notes: DataFrame, annotations: DataFrame, questions: DataFrame,
 
 
 def write_session(
-    notes: DataFrame, annotations: DataFrame, questions: DataFrame, path: str, bundle: bool = False
+    notes: DataFrame, annotations: DataFrame, questions: DataFrame, path: str, bundle: bool = False, parts: int | None = None
 ) -> None:
     """A session as Parquet tables and a manifest.
 
-    ``bundle=True`` writes one JSON document, the form sessions are exchanged in. That form is
-    one value by nature and one task writes it, so a corpus goes into the table form.
+    ``parts`` writes the exchanged JSON records instead, cut into that many ranges of note ids.
+    ``bundle=True`` writes one JSON document, the form single sessions are exchanged in. That
+    form is one value by nature and one task writes it; a corpus goes into tables or parts.
     """
     spark = notes.sparkSession
+    if parts:
+        _write_parts(notes, annotations, questions, path, parts)
+        return
     if bundle:
         _write_bundle(notes, annotations, questions, path)
         return
@@ -89,15 +93,43 @@ def write_session(
     ).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
+def _write_parts(notes: DataFrame, annotations: DataFrame, questions: DataFrame, path: str, parts: int) -> None:
+    """JSON Lines by range of note ids, and a manifest of the ranges.
+
+    Every range has a folder of notes and one of the annotations on them, so that a range can be
+    exchanged by itself. Only the first ids of the ranges, at most ``parts``, reach the driver.
+    """
+    spark = notes.sparkSession
+    root = f"{path}/parts"
+    ranged = _session_notes(notes).repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id())
+    ranged.write.mode("overwrite").partitionBy("part").json(f"{root}/notes")
+    # read from what was written: ranges of a second run could be cut elsewhere
+    ranges = spark.read.schema("id string, part int").json(f"{root}/notes").groupBy("part").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("notes"))
+    cuts = ranges.orderBy("first").select("part", "first").collect()
+    marks = _session_annotations(annotations, notes)
+    below = F.array_max(F.filter(F.array(*[F.struct(F.lit(r["first"]).alias("first"), F.lit(r["part"]).alias("part")) for r in cuts]),
+                                 lambda r: r["first"] <= F.col("noteId")))["part"] if cuts else F.lit(None).cast("int")
+    # annotations on no note of the session go into the first range
+    marks = marks.withColumn("part", F.coalesce(below, F.lit(cuts[0]["part"] if cuts else 0)))
+    marks.write.mode("overwrite").partitionBy("part").json(f"{root}/annotations")
+    _session_questions(questions).write.mode("overwrite").json(f"{root}/questions")
+    head = spark.range(1).select(F.lit(VERSION).alias("version"), F.current_timestamp().alias("exportedAt"))
+    head.join(ranges, F.lit(True), "left").coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+
+
+def _session_questions(questions: DataFrame) -> DataFrame:
+    return questions.select(F.col("question_id").alias("id"), "name", "color", "hotkey", "hint")
+
+
 def _write_bundle(notes: DataFrame, annotations: DataFrame, questions: DataFrame, path: str) -> None:
     def listed(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.collect_list(F.struct("*")).alias(name)).withColumn("__one", F.lit(1))
 
-    ids = questions.select(F.col("question_id").alias("id"), "name", "color", "hotkey", "hint")
     one = (
         listed(_session_notes(notes), "notes")
         .join(listed(_session_annotations(annotations, notes), "annotations"), "__one")
-        .join(listed(ids, "questions"), "__one")
+        .join(listed(_session_questions(questions), "questions"), "__one")
         .select(
             F.lit(VERSION).alias("version"),
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("exportedAt"),

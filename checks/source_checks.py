@@ -140,6 +140,14 @@ def _(spark, sf):
     return _session(readers.read_session(spark, path))
 
 
+@query("session_parts", sql(_SESSION, *NAQ))
+def _(spark, sf):
+    """The exchanged JSON records in sixteen ranges of note ids, written and read by all tasks."""
+    path = new_folder(spark, "session")
+    sinks.write_session(notes(spark, sf), annotations(spark, sf), questions_table(spark), path, parts=16)
+    return _session(readers.read_session(spark, path))
+
+
 @query("export_json", sql(
     """SELECT (SELECT count(*) FROM notes) AS total_notes, (SELECT sum(length(text)) FROM notes)::BIGINT AS note_chars,
        count(*) AS total_annotations, sum("start")::BIGINT AS starts, min(epoch_ms(created_at)) AS first_ms FROM annotations""", *NA))

@@ -97,6 +97,25 @@ def test_session_document(spark, tmp_path):
         readers.read_session(spark, str(document))
 
 
+def test_session_parts_come_back(spark, tmp_path):
+    """Ranges of note ids as JSON parts, wide characters included; nothing goes through one task."""
+    notes, annotations = session(spark)
+    more = spark.range(40).select(F.format_string("n%03d", "id").alias("id"))
+    first = notes.limit(1).drop("note_id")
+    many = notes.unionByName(more.crossJoin(first).withColumnRenamed("id", "note_id").select(*notes.columns))
+    path = str(tmp_path / "s")
+    sinks.write_session(many, annotations, questions_table(spark), path, parts=9)
+    manifest = [r for r in spark.read.json(f"{path}/parts/manifest").orderBy("first").collect()]
+    assert len(manifest) >= 8 and sum(r["notes"] for r in manifest) == 42
+    assert all(a["last"] < b["first"] for a, b in zip(manifest, manifest[1:]))
+    n, a, q = readers.read_session(spark, path)
+    assert plain(n) == plain(many) and plain(a) == plain(annotations) and q.count() == 11
+    sinks.write_session(notes.limit(0), annotations.limit(0), questions_table(spark), path, parts=9)
+    n, a, q = readers.read_session(spark, path)
+    # no annotation adds its own question
+    assert (n.count(), a.count(), q.count()) == (0, 0, 10)
+
+
 def test_streams_equal_batch(spark, tree, tmp_path):
     rules = [Rule("Q1", "term", "not")]
     batch = plain(tag_notes(readers.read_txt_notes(spark, tree), rules, ["Q1"]))
