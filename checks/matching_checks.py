@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -9,8 +12,9 @@ from checks.views import (
     ALL_RULES, CLINICAL_RULES, N, NA, NM, NR, REGEX_SQL, RULES, annotations, notes, sql,
 )
 from chartspan.functions import vocab
-from chartspan.operators import filters, matching, stats
+from chartspan.operators import filters, matching, stats, wordindex
 from chartspan.operators.rules import Rule, questions_table
+from chartspan.plans.session import new_folder
 
 
 @query("match_terms", sql('SELECT note_id, question_id, term, "start", "end" FROM matches', *NM))
@@ -128,6 +132,25 @@ def _(spark, sf):
     return matching.search_word_index(matching.build_word_index(n), n, "Ation, ung").select("note_id")
 
 
+_STORED = ["Ation, ung", "le", "12", "medication", "idx.0000"]
+
+
+@query("stored_word_index", sql(
+    "SELECT q.query, n.note_id FROM notes n, asked q WHERE EXISTS (SELECT 1 FROM posting p WHERE p.note_id = n.note_id AND ("
+    "contains(word, q.a) OR contains(word, q.b)))", N, _INDEX_SQL,
+    "asked AS (SELECT * FROM (VALUES " + ", ".join(
+        f"('{q}', '{matching.query_words(q)[0]}', '{matching.query_words(q)[-1]}')" for q in _STORED) + ") AS q(query, a, b))"))
+def _(spark, sf):
+    """Two parts, the second with notes of the first indexed anew, merged, then a third part and look-ups over both."""
+    n, path = notes(spark, sf), new_folder(spark, "words")
+    wordindex.add_to_word_index(n.where("pos % 3 = 0").withColumn("text", F.lit("medication 12")), path, buckets=8)
+    wordindex.add_to_word_index(n.where("pos % 3 < 2"), path)
+    wordindex.merge_word_index(spark, path)
+    wordindex.add_to_word_index(n.where("pos % 3 = 2"), path)
+    out = [wordindex.search_stored_index(n, path, q).select(F.lit(q).alias("query"), "note_id") for q in _STORED]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("filter_min_length", sql("SELECT note_id FROM notes WHERE length(text) >= 2000", N))
 def _(spark, sf):
     return filters.filter_min_length(notes(spark, sf), 2000).select("note_id")

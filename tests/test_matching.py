@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chartspan.operators import filters, matching, tokens
+from chartspan.operators import filters, matching, tokens, wordindex
 from chartspan.operators.rules import Rule, default_rules, load_rules, overlaps_itself, rules_table
 
 NOTE = "note_id string, text string, type string, date string, source string, raw_text string, pos long"
@@ -182,3 +182,61 @@ def test_breaks_explained_in_the_row(spark):
     assert sorted(rows.select(same).collect()) == sorted(want.select(same).collect())
     badges = lambda df: sorted(tokens.token_badges(df).collect())
     assert badges(rows) == badges(want)
+
+
+def _holding(texts, query):
+    """Ids of texts with a word of three or more characters, or an id part of two, that contains a word of the query."""
+    wanted = matching.query_words(query)
+    out = set()
+    for note, text in texts.items():
+        words = [w for w in re.split(r"[^a-z0-9_]+", note.lower()) if len(w) >= 2]
+        words += [w for w in re.split(r"[^a-z0-9_]+", text.lower()) if len(w) >= 3]
+        if not wanted or any(q in w for q in wanted for w in words):
+            out.add(note)
+    return out
+
+
+def test_stored_index_equals_scan(spark, tmp_path):
+    """Random queries over parts, a note indexed anew, and the merged index."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    texts = {f"n{i}": " ".join(word() for _ in range(rng.randint(0, 12))) for i in range(60)}
+    path, frame_of = str(tmp_path / "index"), lambda d: spark.createDataFrame(list(d.items()), "note_id string, text string")
+    assert wordindex.look_up(spark, path, "abc").count() == 0
+    wordindex.add_to_word_index(frame_of(dict(list(texts.items())[:40])), path, buckets=8)
+    later = dict(list(texts.items())[40:]) | {"n3": "entirely other words", "n4": ""}
+    texts |= later
+    wordindex.add_to_word_index(frame_of(later), path)
+    wordindex.add_to_word_index(frame_of(later).limit(0), path)
+    assert wordindex.index_parts(spark, path) == wordindex.Parts((0, 1), 8)
+    notes = frame_of(texts)
+    queries = ["ab", "abc", "cab, dd", "abcde", "n1", "x", "", "other", "zzz"] + [word() for _ in range(6)]
+
+    def check(some):
+        for q in some:
+            got = [r.note_id for r in wordindex.search_stored_index(notes, path, q).collect()]
+            assert len(got) == len(set(got)) and set(got) == _holding(texts, q), q
+
+    check(queries)
+    wordindex.merge_word_index(spark, path)
+    assert wordindex.index_parts(spark, path).numbers == (2,)
+    check(queries[:5])
+    scan = matching.build_word_index(notes).distinct()
+    assert wordindex.stored_postings(spark, path).exceptAll(scan).count() == 0
+    assert scan.exceptAll(wordindex.stored_postings(spark, path)).count() == 0
+
+
+def test_stored_index_reads_needed_buckets(spark, tmp_path):
+    """A rare word is found in one bucket of postings; null texts and null ids do not fail."""
+    path = str(tmp_path / "index")
+    rows = [(f"k{i}", f"common filler{i} words{i % 7}") for i in range(50)] + [("q1", "zebrafish"), ("q2", None), (None, "lost")]
+    notes = spark.createDataFrame(rows, "note_id string, text string")
+    wordindex.add_to_word_index(notes, path, buckets=16)
+    hits = wordindex.look_up(spark, path, "brafi")
+    assert [r.note_id for r in hits.collect()] == ["q1"]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    pruned = re.findall(r"PartitionFilters: \[([^\]]*bucket[^\]]*)\]", plan)
+    assert len(pruned) >= 2
+    files = {f.split("bucket=")[1].split("/")[0] for f in spark.read.parquet(f"{path}/part=0/postings").inputFiles()}
+    assert len(files) > 4
+    assert [r.note_id for r in wordindex.look_up(spark, path, "q2").collect()] == ["q2"]
