@@ -51,12 +51,12 @@ def _distinct_spans(annotations: DataFrame) -> DataFrame:
     return annotations.groupBy("note_id", "start", "end").agg(F.min("ann_id").alias("ann_id"))
 
 
-def _touching(spans: DataFrame, annotations: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def _touching(spans: DataFrame, annotations: DataFrame) -> DataFrame:
     """Equality on either edge: two equi-joins instead of one condition with OR."""
     s = spans.select("span_id", "note_id", "start", "end")
     a = annotations.select(
-        "note_id", "ann_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), *carry)
-    cols = ["note_id", "span_id", "start", "end", "ann_id", "b_start", "b_end", *carry]
+        "note_id", "ann_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    cols = ["note_id", "span_id", "start", "end", "ann_id", "b_start", "b_end"]
     after = s.join(a.withColumn("start", F.col("b_end")), ["note_id", "start"]).select(cols)
     ahead = s.join(a.withColumn("end", F.col("b_start")), ["note_id", "end"]).select(cols)
     # an empty pair of spans would meet both ways; report it once
@@ -67,55 +67,96 @@ def primary_neighbour(new_spans: DataFrame, annotations: DataFrame) -> DataFrame
     """For each new span the annotation it would be merged with: the earliest inserted one it
     overlaps, else the earliest it touches. Adds ``primary`` (struct) and ``is_adjacent``.
 
-    Annotations are folded to one row per distinct span first (earliest ``seq`` wins, combined
-    map-side), so copies of a span do not multiply the candidates.
+    One pass over candidates serves both: spans meet in the bins of their positions, ends
+    included. Annotations are folded to one row per distinct span first (earliest ``seq`` wins,
+    combined map-side), so copies of a span do not multiply the candidates. A new span without
+    any stays in the join, so it is not fetched again. ``span_id`` is unique; rows that repeat
+    one are taken for the same span.
     """
-    folded = annotations.groupBy("note_id", "start", "end").agg(
-        F.min_by(F.struct("seq", "ann_id", "start", "end", "questions", "source"), "seq").alias("best")
-    ).select("note_id", "start", "end", F.col("best.ann_id").alias("ann_id"), "best")
-    overlaps = find_overlaps(new_spans, folded, ("best",)).select(
-        "span_id", "best", F.lit(0).alias("level"))
-    adjacent = _touching(new_spans, folded, ("best",)).select(
-        "span_id", "best", F.lit(1).alias("level"))
-    best = overlaps.unionByName(adjacent).groupBy("span_id").agg(
-        F.min_by(F.struct("level", "best"), F.struct("level", F.col("best.seq"))).alias("pick")
+    folded = annotations.groupBy("note_id", F.col("start").alias("b_start"), F.col("end").alias("b_end")).agg(
+        F.min_by(F.struct("seq", "ann_id", "start", "end", "questions", "source"), "seq").alias("best"))
+    left = new_spans.withColumn("__bin", F.explode_outer(_bins_with_ends("start", "end")))
+    right = folded.withColumn("__bin", F.explode(_bins_with_ends("b_start", "b_end")))
+    over = (F.col("start") < F.col("b_end")) & (F.col("end") > F.col("b_start"))
+    touch = (F.col("start") == F.col("b_end")) | (F.col("end") == F.col("b_start"))
+    level = F.when(over, 0).when(touch, 1)
+    found = left.join(right, ["note_id", "__bin"], "left").withColumn("__level", level)
+    candidate = F.when(F.col("__level").isNotNull(), F.struct(F.col("__level").alias("level"), "best"))
+    rest = [c for c in new_spans.columns if c not in ("span_id", "note_id")]
+    return found.groupBy("note_id", "span_id").agg(
+        F.first(F.struct(*rest)).alias("__span"),
+        F.min_by(candidate, F.when(F.col("__level").isNotNull(), F.struct("__level", "best.seq"))).alias("__pick"),
     ).select(
-        "span_id",
-        F.col("pick.best").alias("primary"),
-        (F.col("pick.level") == 1).alias("is_adjacent"),
+        "span_id", "note_id", "__span.*",
+        F.col("__pick.best").alias("primary"),
+        (F.col("__pick.level") == 1).alias("is_adjacent"),
     )
-    return new_spans.join(best, "span_id", "left")
 
 
-def _widened(pairs: DataFrame, notes: DataFrame, questions: Column) -> DataFrame:
-    start = F.least("start", "primary.start")
-    end = F.greatest("end", "primary.end")
-    text = notes.select("note_id", F.col("text").alias("note_text"))
-    return pairs.join(text, "note_id").select(
-        F.col("primary.ann_id").alias("ann_id"),
-        "note_id",
-        start.alias("start"),
-        end.alias("end"),
-        slice_text("note_text", start, end).alias("text"),
-        questions.alias("questions"),
-        F.col("primary.source").alias("source"),
-        "span_id",
-    )
+def _bins_with_ends(start: str, end: str) -> Column:
+    return F.sequence(bin_of(F.col(start)), bin_of(F.greatest(start, end)))
 
 
 def overlap_extend(new_spans: DataFrame, annotations: DataFrame, notes: DataFrame) -> DataFrame:
     """The first neighbour grown to cover the new span; questions unchanged."""
-    pairs = primary_neighbour(new_spans, annotations).where(F.col("primary").isNotNull())
-    return _widened(pairs, notes, F.col("primary.questions"))
+    return _grown(new_spans, annotations, notes, "extend")
 
 
 def overlap_merge(new_spans: DataFrame, annotations: DataFrame, notes: DataFrame) -> DataFrame:
     """As ``overlap_extend``, and the new span's question is added when absent."""
+    return _grown(new_spans, annotations, notes, "merge")
+
+
+def _grown(new_spans: DataFrame, annotations: DataFrame, notes: DataFrame, policy: str) -> DataFrame:
     pairs = primary_neighbour(new_spans, annotations).where(F.col("primary").isNotNull())
-    old = F.col("primary.questions")
-    merged = F.when(F.array_contains(old, F.col("question_id")), old).otherwise(
-        F.array_append(old, F.col("question_id")))
-    return _widened(pairs, notes, merged)
+    text = notes.select("note_id", F.col("text").alias("note_text"))
+    return pairs.join(text, "note_id").select("note_id", "span_id", F.inline(F.array(_outcome(policy, True)))).select(
+        "ann_id", "note_id", "start", "end", "text", "questions", "source", "span_id")
+
+
+POLICIES = {"extend": "update", "merge": "update", "keep_both": "create", "cancel": "cancel"}
+
+
+def _outcome(policy: str, met: bool) -> Column:
+    """What a policy makes of a new span that has a neighbour (``met``), or has none."""
+    grow = met and POLICIES[policy] == "update"
+    start = F.least("start", "primary.start") if grow else F.col("start")
+    end = F.greatest("end", "primary.end") if grow else F.col("end")
+    old, mine = F.col("primary.questions"), F.col("question_id")
+    if not grow:
+        questions = F.array(mine)
+    elif policy == "extend":
+        questions = old
+    else:
+        questions = F.when(F.array_contains(old, mine), old).otherwise(F.array_append(old, mine))
+    return F.struct(
+        F.lit(policy).alias("policy"),
+        (F.col("primary.ann_id") if grow else F.lit(None).cast("string")).alias("ann_id"),
+        start.alias("start"),
+        end.alias("end"),
+        slice_text("note_text", start, end).alias("text"),
+        questions.alias("questions"),
+        (F.col("primary.source") if grow else F.lit(None).cast("string")).alias("source"),
+        F.lit(POLICIES[policy] if met else "create").alias("action"),
+    )
+
+
+def overlap_outcomes(
+    new_spans: DataFrame, annotations: DataFrame, notes: DataFrame, policies: tuple[str, ...]
+) -> DataFrame:
+    """``overlap_resolve`` under several policies, a row each (``policy``).
+
+    Neighbours are looked for once; a policy is a projection of the pair.
+    """
+    met = [_outcome(p, True) for p in policies if POLICIES[p] != "cancel"]
+    free = [_outcome(p, False) for p in policies]
+    paired = primary_neighbour(new_spans, annotations)
+    text = notes.select("note_id", F.col("text").alias("note_text"))
+    outcomes = F.when(F.col("primary").isNull(), F.array(*free))
+    outcomes = outcomes.otherwise(F.array(*met)) if met else outcomes
+    return paired.join(text, "note_id").select(
+        "span_id", "note_id", F.coalesce("is_adjacent", F.lit(False)).alias("is_adjacent"), F.inline(outcomes),
+    ).select("policy", "span_id", "note_id", "ann_id", "start", "end", "text", "questions", "action", "is_adjacent")
 
 
 def overlap_resolve(
@@ -123,29 +164,7 @@ def overlap_resolve(
 ) -> DataFrame:
     """Batch form: what becomes of each new span under ``extend``, ``merge``, ``keep_both`` or
     ``cancel``. A span without a neighbour is always created; ``action`` tells which it was."""
-    paired = primary_neighbour(new_spans, annotations)
-    old = F.col("primary.questions")
-    met = F.col("primary").isNotNull()
-    grow = met & F.lit(policy in ("extend", "merge"))
-    start = F.when(grow, F.least("start", "primary.start")).otherwise(F.col("start"))
-    end = F.when(grow, F.greatest("end", "primary.end")).otherwise(F.col("end"))
-    mine = F.array("question_id")
-    merged = F.when(F.array_contains(old, F.col("question_id")), old).otherwise(
-        F.array_append(old, F.col("question_id")))
-    questions = F.when(grow, merged if policy == "merge" else old).otherwise(mine)
-    text = notes.select("note_id", F.col("text").alias("note_text"))
-    out = paired.join(text, "note_id").select(
-        "span_id", "note_id",
-        F.when(grow, F.col("primary.ann_id")).alias("ann_id"),
-        start.alias("start"), end.alias("end"),
-        slice_text("note_text", start, end).alias("text"),
-        questions.alias("questions"),
-        F.when(~met, "create").otherwise(F.lit(
-            {"extend": "update", "merge": "update", "keep_both": "create", "cancel": "cancel"}[policy]
-        )).alias("action"),
-        F.coalesce("is_adjacent", F.lit(False)).alias("is_adjacent"),
-    )
-    return out.where(F.col("action") != "cancel")
+    return overlap_outcomes(new_spans, annotations, notes, (policy,)).drop("policy")
 
 
 def coalesce_annotations(annotations: DataFrame, notes: DataFrame | None = None) -> DataFrame:

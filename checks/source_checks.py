@@ -211,7 +211,8 @@ def _(spark, sf):
     log.repartition(4, (F.col("seq") * 7) % 4).write.parquet(source)
     arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
     state = new_folder(spark, "state")
-    streams.stream_annotation_state(arriving, state, new_folder(spark, "state-checkpoint")).awaitTermination()
+    streams.stream_annotation_state(
+        arriving, state, new_folder(spark, "state-checkpoint"), snapshot_every=3).awaitTermination()
     return streams.read_annotation_state(spark, state).select("ann_id", "seq", "after.comment")
 
 

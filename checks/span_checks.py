@@ -80,13 +80,10 @@ def _(spark, sf):
        UNION ALL SELECT 'cancel', span_id, '-', fs, fe, 'Q9', 'create', false FROM paired WHERE ann_id IS NULL""",
     *NA, _NEW_SQL, _PRIMARY_SQL))
 def _(spark, sf):
-    out = None
-    for policy in ("merge", "keep_both", "cancel"):
-        one = spans.overlap_resolve(fresh(spark, sf), old(spark, sf), notes(spark, sf), policy).select(
-            F.lit(policy).alias("policy"), "span_id", F.coalesce("ann_id", F.lit("-")).alias("ann_id"),
-            "start", "end", joined(), "action", "is_adjacent")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return spans.overlap_outcomes(
+        fresh(spark, sf), old(spark, sf), notes(spark, sf), ("merge", "keep_both", "cancel")).select(
+        "policy", "span_id", F.coalesce("ann_id", F.lit("-")).alias("ann_id"),
+        "start", "end", joined(), "action", "is_adjacent")
 
 
 _ISLES = """

@@ -101,6 +101,37 @@ def test_resolve_policies(spark):
     assert grown == {"s1": ["Q2"], "s2": ["Q2"]}
 
 
+def test_outcomes_equal_brute_force(spark, data):
+    """Every policy from one pass over candidates, with many copies of one span and spans at bin edges."""
+    texts, rows, ann, notes = data
+    rng = random.Random(8)
+    new_rows = [(f"s{i}", f"n{i % 4}", s, s + rng.choice([0, 1, 5, 700]), rng.choice(["Q1", "Q9"]))
+                for i, s in enumerate([511, 512, 513, 600, 620, 580, 1024] + [rng.randint(0, 1700) for _ in range(60)])]
+    new_rows.append(("alone", "empty", 0, 0, "Q9"))
+    new = spark.createDataFrame(new_rows, "span_id string, note_id string, start int, end int, question_id string")
+    want = set()
+    for sid, note, s, e, q in new_rows:
+        near = [a for a in rows if a[1] == note]
+        over = [a for a in near if s < a[3] and e > a[2]]
+        touch = [a for a in near if s == a[3] or e == a[2]]
+        best = min(over or touch, key=lambda a: a[6], default=None)
+        adjacent = best is not None and not over
+        alone = (sid, None, s, e, (q,), "create", adjacent)
+        if best is None:
+            want |= {(p, *alone) for p in spans.POLICIES}
+            continue
+        lo, hi, old = min(s, best[2]), max(e, best[3]), tuple(best[4])
+        want.add(("extend", sid, best[0], lo, hi, old, "update", adjacent))
+        want.add(("merge", sid, best[0], lo, hi, old if q in old else (*old, q), "update", adjacent))
+        want.add(("keep_both", *alone))
+    out = spans.overlap_outcomes(new, ann, notes, tuple(spans.POLICIES))
+    got = out.collect()
+    assert {(r.policy, r.span_id, r.ann_id, r.start, r.end, tuple(r.questions), r.action, r.is_adjacent) for r in got} == want
+    assert len(got) == len(want) and all(r.text == texts[r.note_id][r.start:r.end] for r in got)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") <= 6
+
+
 def tokens(spark, labels):
     rows = [("n", i, 4 * i, 4 * i + 3, x, ["O", "SIZE", "LOC"][x]) for i, x in enumerate(labels)]
     return spark.createDataFrame(rows, "note_id string, idx int, start int, end int, label_no int, label string")
