@@ -120,8 +120,10 @@ def predicted_text(scored: DataFrame) -> DataFrame:
 
 
 def softmax(logits: Column) -> Column:
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, x: a + x))
+    """Shares of the exponentials. The maximum, the exponentials and their sum are bound, so each is computed once."""
+    exps = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(exps, lambda es: let(
+        F.aggregate(es, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(es, lambda e: e / total)))
 
 
 def decode_logits(scored: DataFrame) -> DataFrame:

@@ -137,3 +137,24 @@ def test_annotation_state_over_batches(spark, tmp_path):
     assert streams.read_annotation_state(spark, str(tmp_path / "none")).count() == 0
     state = {(r.ann_id, r.seq) for r in streams.read_annotation_state(spark, str(tmp_path / "state")).collect()}
     assert state == {(r.ann_id, r.seq) for r in fold_changes(log).collect()}
+
+
+def test_annotation_state_snapshots(spark, tmp_path):
+    """Any snapshot distance gives the fold of the log; a read meets one snapshot and the parts after it."""
+    rows = [(i, ["add", "update", "remove"][i % 3], f"a{i % 11}", (str(i),)) for i in range(56)]
+    schema = "seq long, op string, ann_id string, after struct<v:string>"
+    for chunk in range(7):  # an id's changes come late and out of order
+        spark.createDataFrame(rows[(6 - chunk)::7], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    want = {(r.ann_id, r.seq) for r in fold_changes(log).collect()}
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    path = str(tmp_path / "state")
+    streams.stream_annotation_state(arriving, path, str(tmp_path / "mark"), snapshot_every=3).awaitTermination()
+    now = streams.read_annotation_state(spark, path)
+    assert {(r.ann_id, r.seq) for r in now.collect()} == want
+    assert {f.split("state/")[1].rsplit("/", 1)[0] for f in now.inputFiles()} == {"snapshots/upto=5", "parts/batch=6"}
+    (tmp_path / "state" / "snapshots" / "upto=5" / "_SUCCESS").unlink()  # as if its writer had been lost
+    assert {(r.ann_id, r.seq) for r in streams.read_annotation_state(spark, path).collect()} == want
+    streams.compact_annotation_state(spark, path)
+    last = streams.read_annotation_state(spark, path)
+    assert {(r.ann_id, r.seq) for r in last.collect()} == want and all("upto=6" in f for f in last.inputFiles())
