@@ -28,7 +28,8 @@ by_value(__name__)
 
 #: Documents per language that the probabilities are learned from, and passes over their words.
 DOCS_PER_LANGUAGE, ROUNDS = 2_000, 2
-#: Characters of a word that go through one pass; longer words are cut into runs of that length.
+#: Characters up to which words of one length go through a pass together, as plain products; a longer word goes through
+#: one of its own by logarithms, with the same result.
 SPAN = 31
 UNKNOWN, ADDED = 1e-7, 0.1
 _MEMORY, _SLICE = 300_000, 2_000_000
@@ -104,20 +105,37 @@ class Pieces:
                     out.append((start, start + n, found, ids))
         return sorted(out, key=lambda m: (m[0], m[1]))
 
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(starts, ends, pieces)`` of every place of one string, by end; all starts are looked up together."""
+        codes = _codes([text], len(text))[0]
+        h, starts, sizes, pieces = np.zeros_like(codes), [], [], []
+        for n in range(1, min(len(text), self.longest) + 1):
+            h = h[:len(text) - n + 1] * _BASE + codes[n - 1:]
+            keys = h * _SPREAD + np.uint64(n)
+            maybe = np.flatnonzero(self.likely[(keys >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, keys[maybe]), max(0, len(self.keys) - 1))
+            hit = self.keys[at] == keys[maybe] if len(self.keys) else np.zeros(len(maybe), bool)
+            found, ids = maybe[hit], self.ids[at[hit]] if len(self.keys) else maybe[:0]
+            if n == 1:
+                other = np.setdiff1d(np.arange(len(text)), found, assume_unique=True)
+                found, ids = np.concatenate([found, other]), np.concatenate([ids, np.zeros(len(other), int)])
+            starts.append(found)
+            sizes.append(np.full(len(found), n))
+            pieces.append(ids)
+        start, size, piece = map(np.concatenate, (starts, sizes, pieces))
+        order = np.argsort(start + size, kind="stable")
+        return start[order], (start + size)[order], piece[order].astype(int)
+
 
 def _codes(texts: list[str], length: int) -> np.ndarray:
     joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     return joined.reshape(len(texts), length).astype(np.uint64) + np.uint64(1)
 
 
-def _runs(word: str) -> list[str]:
-    marked = START + word
-    return [marked[i:i + SPAN] for i in range(0, len(marked), SPAN)]
-
-
-def _by_length(runs: list[str]) -> Iterator[np.ndarray]:
-    lengths = np.array([len(r) for r in runs])
-    for n in np.unique(lengths):
+def _by_length(marked: list[str]) -> Iterator[np.ndarray]:
+    """Members of one length, up to ``SPAN`` characters."""
+    lengths = np.array([len(r) for r in marked], int)
+    for n in np.unique(lengths[lengths <= SPAN]):
         yield np.flatnonzero(lengths == n)
 
 
@@ -130,42 +148,60 @@ def forward(found: list, chars: int, rows: int, table: np.ndarray) -> np.ndarray
     return alpha
 
 
+def forward_long(places: tuple, chars: int, logs: np.ndarray) -> np.ndarray:
+    """``forward`` of one long string, by logarithms: products of this many pieces leave the range of floats."""
+    starts, ends, ids = places
+    alpha = np.zeros((chars + 1, logs.shape[1]))
+    edges = np.searchsorted(ends, np.arange(1, chars + 2))
+    for end in range(1, chars + 1):
+        mine = slice(edges[end - 1], edges[end])
+        alpha[end] = np.logaddexp.reduce(alpha[starts[mine]] + logs[ids[mine]], axis=0)
+    return alpha
+
+
 def word_scores(texts: list[str], vocabulary: Pieces, table: np.ndarray) -> np.ndarray:
-    """Log probability of each word under each language."""
-    runs, owner = [], []
-    for i, w in enumerate(texts):
-        parts = _runs(w)
-        runs += parts
-        owner += [i] * len(parts)
-    out, owners = np.zeros((len(texts), table.shape[1])), np.array(owner, int)
-    for members in _by_length(runs) if runs else ():
-        group = [runs[i] for i in members]
+    """Log probability of each word under each language, over all segmentations of the whole word."""
+    marked = [START + w for w in texts]
+    out = np.zeros((len(texts), table.shape[1]))
+    for members in _by_length(marked):
+        group = [marked[i] for i in members]
         alpha = forward(vocabulary.matches(group), len(group[0]), len(group), table)
-        np.add.at(out, owners[members], np.log(alpha[-1]))
+        out[members] = np.log(alpha[-1])
+    logs = np.log(table)
+    for i, w in enumerate(marked):
+        if len(w) > SPAN:
+            out[i] = forward_long(vocabulary.places(w), len(w), logs)[-1]
     return out
 
 
 def expected_counts(texts: list[str], weights: np.ndarray, vocabulary: Pieces, column: np.ndarray) -> np.ndarray:
     """Expected uses of every piece over all segmentations of weighted words, for one language."""
-    runs, owner = [], []
-    for i, w in enumerate(texts):
-        parts = _runs(w)
-        runs += parts
-        owner += [i] * len(parts)
-    counts, owners = np.zeros(len(column)), np.array(owner, int)
+    marked = [START + w for w in texts]
+    counts = np.zeros(len(column))
     table = column[:, None]
-    for members in _by_length(runs) if runs else ():
-        group = [runs[i] for i in members]
+    for members in _by_length(marked):
+        group = [marked[i] for i in members]
         found, chars = vocabulary.matches(group), len(group[0])
         alpha = forward(found, chars, len(group), table)
         beta = np.zeros_like(alpha)
         beta[chars] = 1.0
         for start, end, at, ids in reversed(found):
             beta[start][at] += beta[end][at] * table[ids]
-        share = weights[owners[members]] / alpha[chars][:, 0]
+        share = weights[members] / alpha[chars][:, 0]
         for start, end, at, ids in found:
             used = alpha[start][at, 0] * column[ids] * beta[end][at, 0] * share[at]
             counts += np.bincount(ids, used, minlength=len(column))
+    logs = np.log(table)
+    for w, weight in zip(marked, weights):
+        if len(w) > SPAN:
+            starts, ends, ids = vocabulary.places(w)
+            alpha = forward_long((starts, ends, ids), len(w), logs)[:, 0]
+            # the same pass from the end: places mirrored
+            order = np.lexsort((-ends, -starts))
+            mirrored = (len(w) - ends[order], len(w) - starts[order], ids[order])
+            beta = forward_long(mirrored, len(w), logs)[::-1, 0]
+            used = np.exp(alpha[starts] + logs[ids, 0] + beta[ends] - alpha[-1]) * weight
+            counts += np.bincount(ids, used, minlength=len(column))
     return counts
 
 

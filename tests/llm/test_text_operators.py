@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +108,43 @@ def test_segmentations_are_summed():
     assert parts and abs((counts * np.array([1, 1, 2, 1, 2, 1, 3])).sum() - 3) < 1e-9
 
 
+def test_long_words_are_not_cut():
+    """Words beyond one pass give the plain sum over segmentations of the whole word, and its expected counts."""
+    import numpy as np
+
+    rng = random.Random(5)
+    pieces = language.Pieces(["▁", "▁a", "a", "ab", "b", "▁ab", "abba", "bab"])
+    table = np.array([[1e-7, 1e-7], [.2, .1], [.3, .1], [.1, .2], [.15, .3], [.05, .1], [.2, .05], [.1, .1], [.05, .2]])
+    words = ["".join(rng.choice("abz") for _ in range(n)) for n in (29, 30, 31, 32, 200, 3000)]
+    got = language.word_scores(words, pieces, table)
+    for w, scores in zip(words, got):
+        s = "▁" + w
+        for lang in range(2):
+            prob = {p: Fraction(table[i, lang]) for i, p in enumerate(pieces.pieces, 1)}
+            if len(s) < 1000:
+                sums = [Fraction(1)]
+                for end in range(1, len(s) + 1):
+                    sums.append(sum(sums[end - n] * prob.get(s[end - n:end], Fraction(table[0, lang]) if n == 1 else 0)
+                                    for n in range(1, min(4, end) + 1)))
+                log = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+                assert abs(log - scores[lang]) < 1e-8 * abs(log)
+    assert np.isfinite(got).all()
+    sizes = np.array([1, *map(len, pieces.pieces)])
+    for w in words[:5]:  # every segmentation covers the marked word once
+        counts = language.expected_counts([w], np.full(1, 2.0), pieces, table[:, 0])
+        assert abs((counts * sizes).sum() - 2 * (len(w) + 1)) < 1e-6
+    # both ways of the pass agree on a word that either can take
+    w = words[0]
+    logs = np.log(table)
+    assert np.allclose(language.forward_long(pieces.places("▁" + w), len(w) + 1, logs)[-1], got[0])
+    short = language.expected_counts([w], np.ones(1), pieces, table[:, 0])
+    before, language.SPAN = language.SPAN, 5
+    try:
+        assert np.allclose(language.expected_counts([w], np.ones(1), pieces, table[:, 0]), short)
+    finally:
+        language.SPAN = before
+
+
 def test_language_held_out(spark, odd_docs, no_docs):
     from chartspan.llm.queries import op2_language_id
 
