@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers by pattern. The
 method then asks, over the whole corpus, which terms reveal such a value: with ``p(e)`` the
-share of all terms that stand in the window around a value of kind ``e`` and ``p(e|t)`` the
+share of all terms that stand within ``window`` terms of a value of kind ``e`` and ``p(e|t)`` the
 share of term ``t``'s occurrences that do, the pointwise mutual information of term and kind
 over the information of the kind, ``log(p(e|t) / p(e)) / -log p(e)``, is the part of the
 kind's information that the term discloses (1: the term stands nowhere else). Terms at
@@ -14,6 +14,7 @@ one passage do not count as evidence.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,9 @@ from chartspan.llm.common import by_value, checkpointed, packed, text_batches
 by_value(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT = 3, 10
+#: Terms on either side of a value that count as next to it.
+WINDOW = 8
+SUPPORT = 10
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 #: Candidate terms up to which their set goes to the tasks that count them; beyond that all
 #: terms are counted and joined, with the same result.
@@ -83,6 +86,17 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _merged(base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Disjoint stretches that the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((s, e) for _, s, e in base):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 @dataclass
 class Terms:
     """What the corpus says about terms: the kinds each gives away, and the action of each."""
@@ -95,31 +109,52 @@ class Terms:
         if not base or not self.kinds:
             return []
         present = {kind for kind, _, _ in base}
-        taken = sorted((s, e) for _, s, e in base)
+        taken = _merged(base)
         out, i = [], 0
         for m in _TERM.finditer(text):
             kinds = self.kinds.get(m[0].lower())
             if kinds and kinds & present:
                 while i < len(taken) and taken[i][1] <= m.start():
                     i += 1
-                if not any(s < m.end() and m.start() < e for s, e in taken[i:i + 4]):
+                if i == len(taken) or taken[i][0] >= m.end():
                     out.append(("term", *m.span()))
         return out
 
 
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Terms in the windows around base spans, once per batch and window text."""
-    for batch in batches:
-        counts: Counter = Counter()
-        for text in batch["text"]:
-            base = base_spans(text)
-            for kind, start, end in base:
-                left = [m[0] for m in _TERM.finditer(text[max(0, start - 200):start].rpartition("\n")[2].lower())][-WINDOW:]
-                right = [m[0] for m in _TERM.finditer(text[end:end + 200].partition("\n")[0].lower())][:WINDOW]
-                window = " ".join(left + ["*"] + right)
-                counts.update((term, kind, window) for term in left + right)
-        rows = [(*key, n) for key, n in counts.items()]
-        yield pd.DataFrame(rows, columns=["term", "kind", "window", "n"])
+def windows(text: str, base: list[tuple[str, int, int]], width: int) -> Iterator[tuple[str, str, str]]:
+    """``(term, kind, window)`` of the ``width`` terms on either side of every base span, wherever in the text they stand.
+
+    An occurrence counts once for a kind, in the window of the first value it stands next to; terms that
+    reach into the span itself do not count.
+    """
+    places = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [s for s, _ in places], [e for _, e in places]
+    done: dict[str, int] = {}
+    for kind, start, end in base:
+        left, right = bisect_right(ends, start), bisect_left(starts, end)
+        first, last = max(0, left - width), min(len(places), right + width)
+        term = [text[s:e].lower() for s, e in places[first:left]]
+        after = [text[s:e].lower() for s, e in places[right:last]]
+        window = " ".join([*term, "*", *after])
+        counted = done.get(kind, 0)
+        yield from ((t, kind, window) for i, t in enumerate(term, first) if i >= counted)
+        yield from ((t, kind, window) for i, t in enumerate(after, right) if i >= counted)
+        done[kind] = max(counted, last)
+
+
+def _near(width: int):
+    """Terms in the windows around base spans, counted by window text in every batch."""
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch["text"]:
+                base = base_spans(text)
+                if base:
+                    counts.update(windows(text, base, width))
+            rows = [(*key, n) for key, n in counts.items()]
+            yield pd.DataFrame(rows, columns=["term", "kind", "window", "n"])
+
+    return near
 
 
 def _term_counter(known: frozenset[str] | None):
@@ -136,17 +171,18 @@ def _term_counter(known: frozenset[str] | None):
 
 
 def telling_terms(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT,
-                  remove_at: float = REMOVE_AT, sent_terms: int = SENT_TERMS) -> Terms:
+                  remove_at: float = REMOVE_AT, sent_terms: int = SENT_TERMS, window: int = WINDOW) -> Terms:
     """Terms that disclose base spans, from the co-occurrence over all of ``docs.text``.
 
     The terms that pass both thresholds come to the driver; they are words that stand next to
     personal data in ``support`` or more different windows and hardly anywhere else, the
-    labels of a corpus, not its documents. Null and empty texts add nothing.
+    labels of a corpus, not its documents. Null and empty texts add nothing; a repeated row counts
+    again, but is no further window. An empty table has no telling terms.
     """
     text_batches()
     texts = docs.select("text").where("text is not null")
     near = checkpointed(
-        texts.mapInPandas(_near, "term string, kind string, window string, n long")
+        texts.mapInPandas(_near(window), "term string, kind string, window string, n long")
         .groupBy("term", "kind", F.xxhash64("window").alias("w")).agg(F.sum("n").alias("n"))
         .groupBy("term", "kind").agg(F.sum("n").alias("near"), F.count(F.lit(1)).alias("windows")))
     around = {r["kind"]: r["near"] for r in near.groupBy("kind").agg(F.sum("near").alias("near")).collect()}

@@ -208,6 +208,30 @@ def test_telling_terms(spark):
     assert pii.telling_terms(docs.limit(0)).kinds == {}
 
 
+def test_telling_terms_far_from_their_value(spark):
+    """A name eight words, two lines and 300 characters from a value gives it away; nine words off it does not."""
+    common = "the and for with from this that"
+    gap = " " * 300
+
+    def text(i, words):
+        return f"zorvath\n{gap}{common}\n{'again ' * (words - 7)}" + f"u{i}@b.cd end of part x{chr(97 + i % 26)}q " + f"{common} again. " * 9
+
+    for words, told in ((7, {"zorvath"}), (8, set())):
+        docs = spark.createDataFrame([(text(i, words),) for i in range(20)] + [(f"{common} end of part again",)] * 300, "text string")
+        assert set(pii.telling_terms(docs).kinds) == told
+
+
+def test_windows_count_an_occurrence_once():
+    text = "ab cd a@b.cd ef gh c@d.ef ij kl mn +1 555 123 4567 op"
+    got = list(pii.windows(text, pii.base_spans(text), 2))
+    terms = [(t, k) for t, k, _ in got]
+    assert sorted(terms) == sorted([("ab", "email"), ("cd", "email"), ("ef", "email"), ("gh", "email"), ("ij", "email"), ("kl", "email"),
+                                    ("kl", "phone"), ("mn", "phone"), ("op", "phone")])
+    assert got[0][2] == "ab cd * ef gh" and list(pii.windows("", [], 2)) == []
+    terms = pii.Terms({"aa": frozenset({"card"})})
+    assert terms.spans("aa bb aa", [("card", 0, 2), ("ip", 1, 4)]) == [("term", 6, 8)]
+
+
 def test_sanitise_odd(spark, odd_docs, no_docs):
     clean = pii.sanitise(odd_docs, pii.Terms())
     assert clean.columns == odd_docs.columns and clean.dtypes == odd_docs.dtypes
