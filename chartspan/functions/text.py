@@ -13,7 +13,7 @@ WHITESPACE = " \t\n\r\f\x0b\u00a0"
 # Private-use characters that bracket matches while their offsets are computed.
 OPEN, CLOSE, FLAG = "\ue000", "\ue001", "\ue002"
 
-_CHUNK = 256
+_CHUNK, _LEVELS = 32, 3
 
 
 def col(c: Column | str) -> Column:
@@ -109,8 +109,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def running_total(values: Column) -> Column:
     """Inclusive prefix sums of an array of ints.
 
-    Works in chunks so a text with very many matches costs about n*sqrt(n) element copies
-    rather than n squared.
+    Sums inside chunks, then over the chunks' totals in the same way, so the cost is linear in the
+    values. They are bound once: an expression inside a lambda would run again for every chunk.
     """
 
     def scan(xs: Column) -> Column:
@@ -119,21 +119,24 @@ def running_total(values: Column) -> Column:
             F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out")),
             lambda acc, x: F.struct(
                 (acc["sum"] + x).alias("sum"),
-                F.concat(acc["out"], F.array(acc["sum"] + x)).alias("out"),
+                F.array_append(acc["out"], acc["sum"] + x).alias("out"),
             ),
             lambda acc: acc["out"],
         )
 
-    def chunked(xs: Column) -> Column:
+    def total(xs: Column, levels: int) -> Column:
+        if not levels:
+            return scan(xs)
         starts = F.sequence(F.lit(1), F.size(xs), F.lit(_CHUNK))
         chunks = F.transform(starts, lambda s: scan(F.slice(xs, s, F.lit(_CHUNK))))
-        return let(chunks, lambda cs: F.flatten(F.zip_with(
+        chained = let(chunks, lambda cs: F.flatten(F.zip_with(
             cs,
-            scan(F.transform(cs, lambda c: F.element_at(c, -1))),
+            let(F.transform(cs, lambda c: F.element_at(c, -1)), lambda ends: total(ends, levels - 1)),
             lambda c, upto: F.transform(c, lambda x: x + upto - F.element_at(c, -1)),
         )))
+        return F.when(F.size(xs) <= _CHUNK, scan(xs)).otherwise(chained)
 
-    return F.when(F.size(values) <= _CHUNK, scan(values)).otherwise(chunked(values))
+    return let(values, lambda xs: total(xs, _LEVELS))
 
 
 def guard(text: Column | str, cover: str = " ") -> Column:

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartspan.plans.session import new_folder, shared_folder
+from chartspan.plans.session import BATCH_ROWS, by_value, new_folder, shared_folder, text_batches  # noqa: F401
 
 #: White space of the word contracts, and the class of everything else.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Texts in one Arrow batch.
-BATCH_ROWS = 500
-
-
-def by_value(module: str) -> None:
-    """Let tasks get the functions of a module with the plan, so that no executor needs the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -36,14 +26,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def text_batches() -> None:
-    """Whole texts have no bound, so Arrow carries at most ``BATCH_ROWS`` of them to Python at once."""
-    conf = SparkSession.active().conf
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """Remainder of the CRC-32 of the id as text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartspan.functions import vocab
 from chartspan.functions.text import blank
 from chartspan.operators.ordering import rank_annotations, rank_in_bins
 
+SECTIONS = sorted(name for name, _ in vocab.SECTION_PATTERNS)
+
+
 def _suggested():
     return F.col("source").eqNullSafe("suggested")
 
@@ -101,6 +105,11 @@ def export_stats(notes: DataFrame, annotations: DataFrame, questions: DataFrame)
 def token_stats(tokens: DataFrame) -> DataFrame:
     """Per note: break totals, mean confidence, headers, list items, sections found."""
     start = F.col("is_line_start")
+    # a set of section names is a number, so that the totals are summed up before the shuffle
+    known = F.when(F.lit(False), F.lit(0).cast("long"))
+    for i, name in enumerate(SECTIONS):
+        known = known.when(F.col("detected") == name, F.lit(1 << i).cast("long"))
+    known = known.otherwise(F.lit(0).cast("long"))
     return tokens.groupBy("note_id").agg(
         F.count(F.lit(1)).alias("total_tokens"),
         F.count_if(F.col("decision") == "space").alias("spaces"),
@@ -109,9 +118,10 @@ def token_stats(tokens: DataFrame) -> DataFrame:
         F.round(F.avg("raw_confidence"), 3).alias("avg_confidence"),
         F.count_if(start & F.col("line_type").isin("MAJOR_HEADER", "MINOR_HEADER")).alias("headers"),
         F.count_if(start & (F.col("line_type") == "LIST_ITEM")).alias("list_items"),
-        F.array_sort(F.collect_set(F.when(F.col("detected") != "NONE", F.col("detected")))).alias(
-            "sections_found"),
-    )
+        F.bit_or(known).alias("__sections"),
+    ).select("*", F.filter(
+        F.array(*[F.when(F.getbit("__sections", F.lit(i)) == 1, n) for i, n in enumerate(SECTIONS)]),
+        lambda s: s.isNotNull()).alias("sections_found")).drop("__sections")
 
 
 def import_summary(notes: DataFrame, errors: DataFrame) -> DataFrame:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartspan.functions import vocab
-from chartspan.functions.text import CLOSE, OPEN, guard, let, running_total
+from chartspan.functions.text import CLOSE, OPEN, WHITESPACE, guard, let, running_total
 from chartspan.operators.lines import is_bullet_token, line_type_of, section_of
+from chartspan.plans.session import by_value, text_batches
+
+by_value(__name__)
 
 #: Tokens of a line that are looked at.
 LOOKAHEAD = 10
 #: Parts that the occurrences of a token are dealt to.
 SALTS = 16
+#: Token rows after which a batch is handed on.
+_ROWS = 1 << 16
+#: Plain values, so that they travel to the tasks with the functions of this module.
+_PATTERNS = vocab.SECTION_PATTERNS
 
 
 def _token_arrays(notes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -66,31 +74,35 @@ def score_notes(
     the model fails has null logits and the failure's text in ``error``; it costs no other note.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    text_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model()
 
-        def one(tokens) -> tuple[int | None, np.ndarray | None, str | None]:
+        def one(tokens: list[str]) -> tuple[np.ndarray, str | None]:
             try:
-                rows = np.asarray(score(list(tokens)), dtype="float64")
+                rows = np.asarray(score(tokens), dtype="float64")
                 if rows.ndim != 2 or len(rows) != len(tokens):
                     raise ValueError(f"{len(rows)} rows of scores for {len(tokens)} tokens")
-                return rows.shape[1], rows.ravel(), None
+                return rows, None
             except Exception as e:
-                return None, None, f"{type(e).__name__}: {e}"
+                return np.zeros((0, 0)), f"{type(e).__name__}: {e}"
 
         for batch in batches:
-            scored = [one(t) for t in batch["tokens"]]
-            batch["width"] = pd.Series([x[0] for x in scored], index=batch.index, dtype="Int32")
-            batch["flat"] = [x[1] for x in scored]
-            batch["error"] = [x[2] for x in scored]
-            yield batch
+            scored = [one(t) for t in batch.column(1).to_pylist()]
+            rows, errors = [x[0] for x in scored], [x[1] for x in scored]
+            ends = np.cumsum([0, *(len(r) for r in rows)])
+            widths = np.concatenate([[0], *(np.full(len(r), r.shape[1]) for r in rows)])
+            flat = np.concatenate([np.zeros(0), *(r.ravel() for r in rows)])
+            tokens = pa.ListArray.from_arrays(pa.array(np.cumsum(widths), pa.int32()), pa.array(flat))
+            logits = pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), tokens, mask=pa.array([e is not None for e in errors], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, logits, pa.array(errors, pa.string())], ["note_id", "tokens", "starts", "logits", "error"])
 
     bundled = _token_arrays(notes, ("note_id",)).where(F.size("tokens") > 0)
-    scored = bundled.mapInPandas(run, (
-        "note_id string, tokens array<string>, starts array<int>, width int, flat array<double>, error string"))
-    cuts = F.sequence(F.lit(1), F.size("flat"), F.col("width"))
-    logits = F.transform(cuts, lambda s: F.slice("flat", s, F.col("width")))
-    return scored.select("note_id", "tokens", "starts", F.when(F.col("error").isNull(), logits).alias("logits"), "error")
+    return bundled.mapInArrow(
+        run, "note_id string, tokens array<string>, starts array<int>, logits array<array<double>>, error string")
 
 
 def score_tokens(
@@ -208,56 +220,75 @@ def explain_breaks(tokens: DataFrame) -> DataFrame:
         F.lit("NONE"))))
 
 
-def explain_notes(scored: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
-    """``line_lookahead`` and ``explain_breaks`` of ``score_notes`` rows, decoded.
-
-    A note's tokens are one array of its row, so line starts, the text up to the next break and
-    the carried section are array expressions there; the only explode comes last and nothing is
-    shuffled. ``prior_section`` is the section before each token.
-    """
-    none = F.lit("NONE")
-
-    def lines(note: Column) -> Column:
-        # the note is bound once: an expression inside an inner lambda would run for every token
-        labels = F.transform(note["logits"], lambda x: F.array_position(x, F.array_max(x)).cast("int"))
-
-        def at(broken: Column) -> Column:
-            def token(t: Column, i: Column) -> Column:
-                stop = F.array_position(F.slice(broken, i + 1, F.lit(k)), True).cast("int")
-                text = F.array_join(F.slice(note["tokens"], i + 1, F.when(stop > 0, stop).otherwise(k)), " ")
-                return F.struct(
-                    t.alias("token"), F.get(note["starts"], i).alias("start"), F.get(note["logits"], i).alias("logits"),
-                    ((i == 0) | F.coalesce(F.get(broken, i - 1), F.lit(False))).alias("is_line_start"), text.alias("line_text"))
+def _section_names() -> Callable[[str], str]:
+    """``section_of`` for the lines of a task."""
+    named = [(name, re.compile(rf"(?:{pattern})\s*:?", re.ASCII)) for name, pattern in _PATTERNS]
+    anyone = re.compile("(?:" + "|".join(pattern for _, pattern in _PATTERNS) + r")\s*:?", re.ASCII)
 
-            return F.transform(note["tokens"], token)
+    def name_of(line: str) -> str:
+        bare = line.lower().removesuffix(":").strip(WHITESPACE)
+        if not anyone.fullmatch(bare):
+            return "NONE"
+        return next((name for name, pattern in named if pattern.fullmatch(bare)), "NONE")
 
-        return let(F.transform(labels, lambda n: n != 1), at)
+    return name_of
 
-    def sections(rows: Column) -> Column:
-        found = F.transform(rows, lambda r: F.when(r["is_line_start"], section_of(r["line_text"])).otherwise(none))
 
-        def carried(detected: Column) -> Column:
-            seen = F.filter(detected, lambda d: d != "NONE")
-            upto = running_total(F.transform(detected, lambda d: (d != "NONE").cast("int")))
+def _lines(tokens: list[str], broken: np.ndarray, k: int) -> list[str]:
+    """For each token the text up to the next break, ``k`` tokens at most: cuts of the tokens joined by blanks."""
+    places, text = np.arange(len(tokens)), " ".join(tokens)
+    following = np.minimum.accumulate(np.where(broken, places, len(tokens) - 1)[::-1])[::-1]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes) + places
+    last = np.minimum(following, places + k - 1)
+    return [text[i:j] for i, j in zip((ends - sizes).tolist(), ends[last].tolist())]
 
-            def placed(seen: Column, count: Column) -> Column:
-                def of(n: Column) -> Column:
-                    return F.when(n > 0, F.get(seen, n - 1)).otherwise(none)
 
-                return F.transform(rows, lambda r, i: F.struct(
-                    r["token"].alias("token"), r["start"].alias("start"), r["logits"].alias("logits"),
-                    r["is_line_start"].alias("is_line_start"), r["line_text"].alias("line_text"),
-                    F.get(detected, i).alias("detected"), of(F.get(count, i)).alias("section"),
-                    of(F.coalesce(F.get(count, i - 1), F.lit(0))).alias("prior_section")))
 
-            return let(seen, lambda s: let(upto, lambda c: placed(s, c)))
+def explain_notes(scored: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
+    """``line_lookahead`` and ``explain_breaks`` of ``score_notes`` rows, decoded.
 
-        return let(found, carried)
+    A note's tokens are one array of its row, so line starts, the text up to the next break and
+    the carried section come from one pass over it and nothing is shuffled. ``prior_section`` is
+    the section before each token.
+    """
+    text_batches()
+    fields = ("note_id string, idx int, token string, start int, logits array<double>, is_line_start boolean, "
+              "line_text string, detected string, section string, prior_section string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name_of = _section_names()
+
+        def note(tokens: list[str], width: int, flat: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+            n = len(tokens)
+            broken = flat.reshape(n, width).argmax(axis=1) != 0 if width else np.zeros(n, bool)
+            fresh = np.concatenate([[True], broken[:-1]])
+            lines = _lines(tokens, broken, k)
+            detected = np.array([name_of(line) if new else "NONE" for line, new in zip(lines, fresh.tolist())], object)
+            at = np.maximum.accumulate(np.where(detected != "NONE", np.arange(n), -1))
+            return fresh, lines, detected, np.where(at >= 0, detected[at], "NONE")
 
-    whole = scored.where(F.col("error").isNull()).select(
-        "note_id", F.posexplode(let(let(F.struct("tokens", "starts", "logits"), lines), sections)).alias("idx", "__t"))
-    return _why(decode_logits(whole.select("note_id", "idx", "__t.*").withColumn(
-        "end", F.col("start") + F.length("token"))))
+        for batch in batches:
+            logits, starts = batch.column(2).values, batch.column(1)
+            upto, inner, values = (np.asarray(x) for x in (batch.column(2).offsets, logits.offsets, logits.values))
+            ids, rows, held = batch.column(0), [], 0
+            for i in range(batch.num_rows):
+                tokens = batch.column(3)[i].as_py()
+                lo, hi = upto[i], upto[i + 1]
+                fresh, lines, detected, section = note(tokens, int(inner[lo + 1] - inner[lo]), values[inner[lo]:inner[hi]])
+                rows.append([
+                    pa.array([ids[i].as_py()] * len(tokens), pa.string()), pa.array(np.arange(len(tokens)), pa.int32()),
+                    batch.column(3)[i].values, starts[i].values, logits.slice(lo, hi - lo), pa.array(fresh, pa.bool_()),
+                    pa.array(lines, pa.string()), pa.array(detected, pa.string()), pa.array(section, pa.string()),
+                    pa.array(["NONE", *section[:-1]], pa.string())])
+                held += len(tokens)
+                if held >= _ROWS or i == batch.num_rows - 1:
+                    names = [f.split()[0] for f in fields.split(", ")]
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*rows)], names)
+                    rows, held = [], 0
+
+    whole = scored.where(F.col("error").isNull()).select("note_id", "starts", "logits", "tokens").mapInArrow(run, fields)
+    return _why(decode_logits(whole.withColumn("end", F.col("start") + F.length("token"))))
 
 
 def token_badges(tokens: DataFrame) -> DataFrame:

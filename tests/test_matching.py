@@ -240,3 +240,24 @@ def test_stored_index_reads_needed_buckets(spark, tmp_path):
     files = {f.split("bucket=")[1].split("/")[0] for f in spark.read.parquet(f"{path}/part=0/postings").inputFiles()}
     assert len(files) > 4
     assert [r.note_id for r in wordindex.look_up(spark, path, "q2").collect()] == ["q2"]
+
+
+def test_token_work_is_linear_and_in_bounded_batches(spark):
+    """The model meets a few hundred notes at a time, totals of long arrays hold, sections are summed up without sets."""
+    from chartspan.functions.text import running_total
+    from chartspan.operators import stats
+
+    got = spark.range(1).select(running_total(F.sequence(F.lit(1), F.lit(40_000))).alias("x")).first().x
+    assert got == [i * (i + 1) // 2 for i in range(1, 40_001)]
+
+    def model():
+        return lambda words: [[0.0, float(w.endswith(":")), 0.0] for w in words]
+
+    notes = frame(spark, ["Plan: rest ALLERGIES: none", "a b", ""])
+    scored = tokens.score_notes(notes, model)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    per_note = stats.token_stats(tokens.explain_notes(scored))
+    assert "ObjectHash" not in per_note._jdf.queryExecution().executedPlan().toString()
+    assert {r.note_id: r.sections_found for r in per_note.collect()} == {"n0": ["PLAN"], "n1": []}
+    rows = tokens.decode_logits(tokens.score_tokens(notes, model))
+    assert sorted(tokens.predicted_text(scored).select("note_id", "text").collect()) == sorted(tokens.apply_breaks(rows).collect())
