@@ -29,7 +29,7 @@ def _rule_literals(rules: list[Rule]) -> Column:
     def literal(r: Rule) -> Column:
         is_term = r.kind == "term"
         here = f"(?={quote(r.pattern)})" if is_term else f"(?:{ascii_words(r.pattern)})"
-        cues = "(?iu)" + _CUE + here if is_term and r.negation else None
+        cues = "(?iu)" + here + _CUE if is_term and r.negation else None
         return F.struct(
             F.lit(r.question_id).alias("question_id"),
             F.lit(is_term).alias("is_term"),
@@ -154,7 +154,7 @@ def question_predicates(rules: list[Rule]) -> dict[str, Column]:
         if plain:
             parts.append(any_of(plain))
         if negatable:
-            parts.append(_NOT_CUE + any_of(negatable))
+            parts.append(f"(?={any_of(negatable)}){_NOT_CUE}")
         expressions = [f"(?:{ascii_words(r.pattern)})" for r in mine if r.kind == "regex"]
         # a group keeps its number only in an expression of its own
         numbered = [x for x in expressions if _GROUP.search(x)]
