@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chartspan.formatting import lexicon as lex
 from chartspan.formatting.engine import (
-    blocks, if_contains, join_lines, lookup, only_if, per_line, rejoin, rejoin_rules, runs, step,
+    Rule, blocks, if_contains, join_lines, lookup, only_if, per_line, rejoin, rejoin_rules, runs, step,
     sub, subs, swap, trimmed_parts,
 )
 from chartspan.functions.text import alternation, any_of, let, strip
@@ -532,34 +532,35 @@ def orphan_items(t: Column) -> Column:
 
 # --- wrapping ------------------------------------------------------------------------------
 
-def _cut(line: Column, pattern: str) -> Column:
-    """Pieces as lines; all but the last lose their trailing blanks."""
-    pieces = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    return let(pieces, lambda ps: F.array_join(F.filter(
-        F.transform(ps, lambda x, i: F.when(
-            i < F.size(ps) - 1, F.regexp_replace(x, r"\s+\z", "")).otherwise(x)),
-        lambda x: x != ""), "\n"))
+def _cut(line: Column, most: int, cuts: str) -> Column:
+    """Pieces as lines, without the blanks around a cut; what is left in the end stays as it is.
+
+    Every piece but the first starts after blanks; ``cuts`` ends one that is longer than ``most``.
+    """
+    pattern = F.lit(rf"(?s)(?:\A|\p{{Zs}}*+)(?:((?>.{{1,{most}}})\z)|({cuts}))")
+    rest, pieces = F.regexp_extract_all(line, pattern, F.lit(1)), F.regexp_extract_all(line, pattern, F.lit(2))
+    return F.array_join(F.filter(
+        F.zip_with(rest, pieces, lambda r, p: F.when(r != "", r).otherwise(sub(p, r"\p{Zs}+\z", ""))), lambda x: x != ""), "\n")
 
 
-def _long_lines(t: Column, width: int, pattern: str) -> Column:
-    whole = rf"\A{lex.TABLE_LINE}"
+def _long_lines(t: Column, width: int, cuts: str, finish: Rule = lambda x: x) -> Column:
+    whole = rf"(?d)\A[ \t\f\r]*{lex.TABLE_LINE}"
     return only_if(t, lambda x: x.rlike(rf"(?md)^.{{{width + 1}}}"), lambda x: per_line(
         x, lambda line: F.when(
-            (F.length(line) > width) & ~line.rlike(whole), _cut(line, pattern)).otherwise(line)))
+            (F.length(line) > width) & ~line.rlike(whole), finish(_cut(line, width, cuts))).otherwise(line)))
 
 
 @step(WRAP, 23)
 def long_lines(t: Column) -> Column:
     """Lines beyond 1,200 characters end at the last sentence, semicolon or gap before that."""
-    return _long_lines(
-        t, 1200, r"(?s)\s*+((?>.{1,1200})\z|.{0,1200}\.(?= )|.{0,1200};(?= )|.{0,1200} (?= )|.{1201})")
+    return _long_lines(t, 1200, r".{0,1200}\.(?= )|.{0,1200};(?= )|.{0,1200} (?= )|.{1201}",
+                       lambda x: sub(x, r"\A\p{Zs}+", ""))
 
 
 def wrap(t: Column, width: int = 98) -> Column:
     """Wrap at the last blank in reach; a line without one in its second half is cut."""
     least = math.ceil(width / 2)
-    return _long_lines(
-        t, width, rf"(?s)(?:\A|\s*+)((?>.{{1,{width}}})\z|.{{{least},{width}}}(?= )|.{{{width}}})")
+    return _long_lines(t, width, rf".{{{least},{width}}}(?= )|.{{{width}}}")
 
 
 step(WRAP, 137)(wrap)

@@ -210,3 +210,20 @@ def test_no_text_is_lost(spark):
     text = " ".join(f"w{i}" for i in range(5000)) + "😀" * 300
     [row] = format_job(frame(spark, {"a": text}), "format_wrap").collect()
     assert "".join(row.text.split()) == "".join(text.split())
+
+
+def test_wrapping_counts_from_the_start_of_the_line(spark):
+    """A leading blank counts towards 1,200 characters, and only blanks are dropped at a cut."""
+    from pyspark.sql import functions as F
+
+    from chartspan.formatting import repairs
+
+    line = " " + "a" * 1198 + ". " + "b" * 20
+    tabbed = "c" * 90 + "\t \x0b " + "d" * 40
+    row = spark.createDataFrame([(line, tabbed)], "long string, tab string").select(
+        repairs.long_lines(F.col("long")), repairs.wrap(F.col("tab"))).first()
+    assert row[0] == "a" * 1198 + ".\n" + "b" * 20 and row[1] == "c" * 90 + "\t \x0b\n" + "d" * 40
+    # one character more and the sentence ends beyond reach: cut where no end is met
+    far = " " + "a" * 1200 + ". " + "b" * 20
+    cut = spark.createDataFrame([(far,)], "t string").select(repairs.long_lines(F.col("t"))).first()[0]
+    assert cut == "a" * 1200 + "\n. " + "b" * 20
