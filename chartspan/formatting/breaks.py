@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartspan.formatting import lexicon as lex
 from chartspan.formatting.engine import (
-    below, blocks, if_contains, only_if, per_line, per_line_with_gaps, step, sub, subs,
+    below, blocks, if_contains, only_if, per_line, per_line_with_gaps, replaces, step, sub, subs,
 )
 from chartspan.functions.text import alternation, any_of, quote
 
@@ -165,11 +165,11 @@ def dense_lines(t: Column) -> Column:
         x, lambda line: F.when(F.length(line) >= 150, cut(line)).otherwise(line)))
 
 
-@step(SECTION, 10)
+@replaces(SECTION, 10)
 def clinical_sections(t: Column) -> Column:
     t = sub(t, rf"(?=\s)(?:(?<=[.!?)\]])\s+|\s{{2,}})({any_of(CLINICAL_SECTIONS)})\s*[-:]", "\n\n$1:")
     t = gap(t, TABLE_HEADERS, "\n\n")
-    t = if_contains(t, ["~"], lambda x: subs(x, (r"\s+~\s+", "\n- "), (r"(?m)^~\s+", "- ")))
+    t = subs(t, (r"\s+~\s+", "\n- "), (r"(?m)^~\s+", "- "))
     t = gap(t, ["Past Surgical History:", "Past Medical History:"], "\n\n")
     t = sub(t, r"(?i)\s{2,}(No past medical history pertinent negatives\.)", "\n\n$1")
     t = gap(t, ["No results found for:", "Procedure:"], "\n")
@@ -183,14 +183,14 @@ def clinical_sections(t: Column) -> Column:
     return sub(t, r"(?i)\s{2,}(WBC|RBC|HGB|HCT|PLT|NA|K|CL|BUN|CREATBLD|GLUCOSE|CALCIUM)\s+", "\n$1 ")
 
 
-@step(SECTION, 11)
+@replaces(SECTION, 11)
 def soap_sections(t: Column) -> Column:
     soap = "(?i:SUBJECTIVE|OBJECTIVE|ASSESSMENT|PLAN)"
-    t = sub(t, rf"(?:(?<=[.!?;:\]])\s*|(?<=\S)\s{{2,}})({soap})\s*:", "\n\n$1:")
+    t = sub(t, rf"(?=[\sSOAPsoap])(?:(?<=[.!?;:\]])\s*|(?<=\S)\s{{2,}})({soap})\s*:", "\n\n$1:")
     return sub(t, r"(?i)\s{2,}(Plan:)\s*-", "\n\n$1\n-")
 
 
-@step(SECTION, 12)
+@replaces(SECTION, 12)
 def post_op_sections(t: Column) -> Column:
     t = gap(t, POST_OP_MARKERS, "\n\n")
     t = sub(t, r"\s{2,}(\*\s+)", "\n$1")
@@ -198,7 +198,7 @@ def post_op_sections(t: Column) -> Column:
     return sub(t, r"\s{2,}(\d{2}/\d{2}/\d{2}\s+\d{4})", "\n$1")
 
 
-@step(SECTION, 15)
+@replaces(SECTION, 15)
 def emergency_sections(t: Column) -> Column:
     t = gap(t, ["ED Provider Notes", "ED Procedure Notes"], "\n\n", GAP3)
     t = gap(t, ["Chief Complaint", "History of Present Illness", "Patient presents with",
@@ -208,7 +208,7 @@ def emergency_sections(t: Column) -> Column:
     return gap(t, ["Nursing note"], "\n")
 
 
-@step(SECTION, 16)
+@replaces(SECTION, 16)
 def summary_sections(t: Column) -> Column:
     t = gap(t, ["PREADMISSION DIAGNOSIS:", "DISCHARGE DIAGNOSIS:", "ADMITTING DIAGNOSIS:",
                 "FINAL DIAGNOSIS:", "BRIEF HISTORY:", "HOSPITAL COURSE:", "DISCHARGE INSTRUCTIONS:",
@@ -235,7 +235,7 @@ def mental_status(t: Column) -> Column:
             F.length(line) > 100, sub(line, rf"\s{{2,}}({label})\s*:", "\n$1:")).otherwise(line)))
 
 
-@step(SECTION, 20)
+@replaces(SECTION, 20)
 def procedure_notes(t: Column) -> Column:
     t = gap(t, ["Performed by:", "Authorized by:", "Consent obtained:", "Consent given by:",
                 "Risks discussed:", "Alternatives discussed:", "Indication", "Reason for procedure:",
@@ -246,7 +246,7 @@ def procedure_notes(t: Column) -> Column:
 
 # --- dates and signatures ------------------------------------------------------------------
 
-@step(DATES, 21)
+@replaces(DATES, 21)
 def date_patterns(t: Column) -> Column:
     t = gap(t, ["Date of services:", "Date of Admission:", "Date of Discharge:",
                 "Operation/Procedure Date", "Sex:", "Birthdate:", "DOB:", "Age:", "Race:", "PCP:",
@@ -257,20 +257,20 @@ def date_patterns(t: Column) -> Column:
     return gap(t, ["Electronically signed by"], "\n\n")
 
 
-@step(DATES, 22)
+@replaces(DATES, 22)
 def timestamps(t: Column) -> Column:
     t = sub(t, r"\s{2,}(\d{2}/\d{2}/\d{2,4}\s+\d{4})\s+([A-Z])", "\n$1 $2")
     return sub(t, r"(\d{2}/\d{2}/\d{2,4})\s{2,}([A-Z][a-z]+\s+[A-Z][a-z]+)", "$1\n$2")
 
 
-@step(DATES, 48)
+@replaces(DATES, 48)
 def signature_lines(t: Column) -> Column:
     t = sub(t, r"\s{3,}([A-Z][a-z]+\s+[A-Z][a-z]+,?\s*(?:MD|DO|PA-C|NP|APRN|RN|MA))", "\n\n$1")
     t = sub(t, r"(?m)\s{2,}(\d{2}/\d{2}/\d{2,4}\s+\d{4})$", "\n$1")
     return sub(t, r"(?i)\s{2,}(Writt(?:en|) by:?)", "\n\n$1")
 
 
-@step(DATES, 49)
+@replaces(DATES, 49)
 def appointment_stamps(t: Column) -> Column:
     month = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
     t = sub(t, rf"(?i)\s{{2,}}({month}\s+\d{{1,2}},?\s+\d{{4}})", "\n$1")
@@ -301,14 +301,13 @@ def assessment_items(t: Column) -> Column:
             (r"\s{2,}(-\s*[A-Za-z])", "\n$1")))))
 
 
-@step(SECTION, 37)
+@replaces(SECTION, 37)
 def substance_use(t: Column) -> Column:
     t = gap(t, ["Tobacco Use", "Substance Use Topics"], "\n\n")
-    return if_contains(t, ["~"], lambda x: sub(
-        x, r"(?i)\s{2,}(~\s*(?:Smoking status|Smokeless tobacco|Alcohol use|Drug use):)", "\n$1"))
+    return sub(t, r"(?i)\s{2,}(~\s*(?:Smoking status|Smokeless tobacco|Alcohol use|Drug use):)", "\n$1")
 
 
-@step(SECTION, 38)
+@replaces(SECTION, 38)
 def attestations(t: Column) -> Column:
     t = gap(t, ["By signing my name", "Provider Attestation:"], "\n\n")
     t = sub(t, r"(?i)\s{2,}(I, [A-Z][a-z]+)", "\n$1")
@@ -317,7 +316,7 @@ def attestations(t: Column) -> Column:
     return sub(t, r"\s{2,}(\d{2}/\d{2}/\d{2,4}\s+\d{1,2}:\d{2})", "\n$1")
 
 
-@step(SECTION, 39)
+@replaces(SECTION, 39)
 def history_and_physical(t: Column) -> Column:
     t = gap(t, ["History and Physical", "Brief Pre-Operative H&P", "Review of symptoms:",
                 "Patient Active Problem List"], "\n\n")
@@ -326,20 +325,20 @@ def history_and_physical(t: Column) -> Column:
     return sub(t, r"(?i)\s{2,}(\d+\.\s*(?:To OR|R/B/A|Appropriate))", "\n$1")
 
 
-@step(SECTION, 40)
+@replaces(SECTION, 40)
 def history_reviewed(t: Column) -> Column:
     return gap(t, ["History reviewed.", "No past medical history pertinent negatives.",
                    "No pertinent family history."], "\n")
 
 
-@step(SECTION, 41)
+@replaces(SECTION, 41)
 def imaging_results(t: Column) -> Column:
     t = sub(t, r"(?i)\s{2,}(CT\s+(?:abdomen|pelvis|chest|head|brain|spine)"
                r"|MRI\s+(?:brain|spine|knee|shoulder)|X-ray|XR|CXR)", "\n\n$1")
     return sub(t, r"(?i)\s{2,}\(Results Pending\)", "\n(Results Pending)")
 
 
-@step(SECTION, 42)
+@replaces(SECTION, 42)
 def discharge_headings(t: Column) -> Column:
     t = gap(t, ["New Medications", "Modified Medications", "Medications To Continue",
                 "Unreviewed Medications", "Diet Instructions", "Activity Instructions",
@@ -348,7 +347,7 @@ def discharge_headings(t: Column) -> Column:
     return sub(t, r"\s{2,}(·\s+)", "\n$1")
 
 
-@step(SECTION, 45)
+@replaces(SECTION, 45)
 def history_tables(t: Column) -> Column:
     t = sub(t, r"(?i)\s{2,}(Diagnosis\s+Date|Procedure\s+Laterality\s+Date|Problem\s+Relation\s+Age)", "\n\n$1")
     t = sub(t, r"(\d{2}/\d{2}/\d{4})\s{2,}(~\s*[A-Z])", "$1\n$2")
@@ -358,7 +357,7 @@ def history_tables(t: Column) -> Column:
     return sub(t, r"(?i)\s{2,}(~\s*(?:Diabetes|Hypertension|Cancer|Heart|Stroke|Kidney))", "\n$1")
 
 
-@step(SECTION, 50)
+@replaces(SECTION, 50)
 def care_instructions(t: Column) -> Column:
     t = gap(t, ["Discharge instructions -", "Discharge activity", "Discharge diet",
                 "Call Dr/provider"], "\n\n")
@@ -375,21 +374,21 @@ def sentences(t: Column) -> Column:
     return sub(t, rf"(?=\n[A-Za-z])(?<={any_of(lex.ABBREVIATIONS)})\n", " ")
 
 
-@step(SENTENCES, 61)
+@replaces(SENTENCES, 61)
 def sentence_gaps(t: Column) -> Column:
     return sub(t, r"([.!?])\s{2,}([A-Z])", "$1\n\n$2")
 
 
-@step(SENTENCES, 62)
+@replaces(SENTENCES, 62)
 def semicolons(t: Column) -> Column:
     return sub(t, r";\s*([A-Z])", ";\n$1")
 
 
 # --- headers in running text ---------------------------------------------------------------
 
-@step(SECTION, 64)
+@replaces(SECTION, 64)
 def capital_headers(t: Column) -> Column:
-    return sub(t, r"(?<=[a-z.!?])\s*([A-Z][A-Z\s]{3,}:)", "\n\n$1")
+    return sub(t, r"(?=[\sA-Z])(?<=[a-z.!?])\s*([A-Z][A-Z\s]{3,}:)", "\n\n$1")
 
 
 @step(SECTION, 65)
@@ -399,54 +398,54 @@ def large_gaps(t: Column) -> Column:
         line.rlike(r"\A" + lex.TABLE_LINE), line).otherwise(sub(line, r"[ \t]{3,}", "\n")))
 
 
-@step(SECTION, 66)
+@replaces(SECTION, 66)
 def section_breaks(t: Column) -> Column:
     t = sub(t, rf"(?m)([.!?;\])]|^)\s*({any_of(lex.LONG_HEADERS)})(?:\b|:)", "$1\n\n$2")
     return sub(t, rf"(?m)(?:^|\n|  )({any_of(lex.SAFE_WORDS)})\s*:", "\n\n$1:")
 
 
-@step(SECTION, 67)
+@replaces(SECTION, 67)
 def headers_on_new_lines(t: Column) -> Column:
     return sub(t, rf"([.!?;\])\"])[ \t]+({any_of(lex.LONG_HEADERS)})(:?)", "$1\n\n$2$3")
 
 
-@step(SECTION, 68)
+@replaces(SECTION, 68)
 def label_breaks(t: Column) -> Column:
     labels = any_of(lex.ROS_LABELS + lex.INLINE_EXAM_LABELS)
     return sub(t, rf"(?=\s)(?<=[A-Za-z.!?])\s+({labels})\s*:", "\n$1:")
 
 
-@step(SECTION, 69)
+@replaces(SECTION, 69)
 def inline_labels(t: Column) -> Column:
     return sub(t, r"(?:^|\n)\s*(?=[A-Z][A-Za-z]{2,15}:)", "\n")
 
 
-@step(SECTION, 70)
+@replaces(SECTION, 70)
 def header_lines(t: Column) -> Column:
     return sub(t, rf"(?m)^([ \t]*-?[ \t]*)({any_of(lex.SECTION_HEADERS)})(:?)[ \t]+(\S.*)$", "$1$2$3\n$4")
 
 
-@step(SECTION, 71)
+@replaces(SECTION, 71)
 def header_numbers(t: Column) -> Column:
     return sub(t, r"(?m)^([A-Z][A-Z /&'-]{2,40}):\s+(\d+\.)", "$1:\n$2")
 
 
-@step(SECTION, 74)
+@replaces(SECTION, 74)
 def section_colons(t: Column) -> Column:
     return sub(t, r":\s*\n", ":\n")
 
 
-@step(SECTION, 100)
+@replaces(SECTION, 100)
 def after_colon(t: Column) -> Column:
     t = sub(t, rf"(?<!\d):\s+(?={alternation(AFTER_COLON)})", ":\n")
-    return sub(t, rf"(?<=[a-z,])\s+(?={alternation(AFTER_WORD)})", "\n")
+    return sub(t, rf"(?=\s)(?<=[a-z,])\s+(?={alternation(AFTER_WORD)})", "\n")
 
 
-@step(SECTION, 101)
+@replaces(SECTION, 101)
 def inline_phrases(t: Column) -> Column:
     return sub(t, rf"\s+(?={alternation(INLINE_PHRASES)})", "\n")
 
 
-@step(SECTION, 139)
+@replaces(SECTION, 139)
 def section_spacing(t: Column) -> Column:
     return sub(t, rf"\n{{1,2}}({any_of(lex.SECTION_HEADERS)})(:|\b)", "\n\n$1$2")

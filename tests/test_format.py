@@ -2,6 +2,7 @@
 
 import pytest
 
+from chartspan.formatting.engine import STEPS, behind_gap, chained
 from chartspan.formatting.jobs import JOBS, format_diff, format_job, format_notes
 
 # dense notes made up for these tests, and the whole result
@@ -227,3 +228,20 @@ def test_wrapping_counts_from_the_start_of_the_line(spark):
     far = " " + "a" * 1200 + ". " + "b" * 20
     cut = spark.createDataFrame([(far,)], "t string").select(repairs.long_lines(F.col("t"))).first()[0]
     assert cut == "a" * 1200 + "\n. " + "b" * 20
+
+
+def test_prose_is_looked_at_once_for_neighbouring_gap_rules(spark):
+    """Replaces at gaps share one look, and a text that only the last of them changes is still changed."""
+    steps = [s for s in sorted(STEPS, key=lambda s: s.no) if s.job == "format_section_breaks"]
+    listed = [p for s in steps for p, _ in s.pairs if behind_gap(p)]
+    assert len(listed) > len(steps) and len(chained(steps)) < sum(len(s.pairs) or 1 for s in steps) - len(listed) / 2
+    text = "calm prose without marks   Explanatory Comment: none"
+    [row] = format_job(frame(spark, {"a": text}), "format_section_breaks").collect()
+    assert row.text == "calm prose without marks\nExplanatory Comment: none"
+
+
+def test_names_and_words_are_repaired_between_marks(spark):
+    """Many clauses, few of them with something to repair: each is cut by itself, whatever its neighbours hold."""
+    rows = {"a": "prose, more; " * 50 + "with hyper tension, nau sea (re gular). " + "end."}
+    [row] = format_job(frame(spark, rows), "format_word_splits").collect()
+    assert row.text == "prose, more; " * 50 + "with hypertension, nausea (regular). end."
