@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from chartspan.formatting import lexicon as lex
 from chartspan.formatting.breaks import gap, whole_line
 from chartspan.formatting.engine import (
-    GAP, below, blocks, if_contains, join_lines, only_if, per_line, per_line_with_gaps,
-    rejoin, rejoin_rules, runs, step, sub, subs, swap, trimmed_parts,
+    GAP, below, between_marks, blocks, if_contains, join_lines, only_if, per_line, per_line_with_gaps,
+    rejoin, rejoin_rules, replaces, runs, step, sub, subs, swap, trimmed_parts,
 )
 from chartspan.functions.text import alternation, any_of, let, quote, strip
 from chartspan.operators.filters import reads_like_radiology
@@ -83,14 +83,19 @@ MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 CONTINUES_DOSE = r"(?i:by mouth|oral|topical|take|inhale|\d+\s*(?:mg|mL|tablet))"
 
 
+def shortest(words: list[str]) -> list[str]:
+    """The words that hold no other one: a text that contains any of the words contains one of these."""
+    return [w for w in words if not any(v != w and v.lower() in w.lower() for v in words)]
+
+
 def containing(words: list[str]) -> str:
     """Whole-line expression for lines that contain any of the words."""
-    return r".*" + any_of(words) + r".*$"
+    return r".*" + any_of(shortest(words)) + r".*$"
 
 
 def header_without(words: list[str]) -> str:
     """Whole-line expression for header lines that contain none of the words."""
-    return r"(?!.*" + any_of(words) + r")" + lex.HEADER_LINE
+    return "(?=" + lex.HEADER_LINE + r")(?!.*" + any_of(shortest(words)) + r")" + lex.HEADER_LINE
 
 
 def when_long(least: int, fn):
@@ -132,10 +137,10 @@ def stuck_header(t: Column) -> Column:
 
 @step(MEDS, 76)
 def medication_bullets(t: Column) -> Column:
-    line_is_drug = r"(?=.*" + lex.MEDICATION + r")(?![ \t]*[-•])"
+    line_is_drug = r"(?![ \t]*[-•])(?=.*?" + lex.MEDICATION + ")"
     return blocks(
         t, whole_line(MED_LIST_HEADERS), header_without(["medication", "allerg"]),
-        lambda p: sub(p, rf"(?m)(?<=\n){line_is_drug}[ \t]*(\S.*?)[ \t]*$", "- $1"))
+        lambda p: sub(p, rf"(?m)(?<=\n){line_is_drug}[ \t]*(\S(?:.*[^ \t\n])?)[ \t]*$", "- $1"))
 
 
 @step(MEDS, 77)
@@ -183,7 +188,8 @@ def also_known_as(t: Column) -> Column:
             (F.length(strip(line)) > 120) & line.rlike("(?i)also known as"),
             sub(strip(line), r"\s{2,}", "\n")).otherwise(line)))
     dosing = r"(?:daily|twice a day|three times a day|every \d+ hours|as needed|at bedtime)[ \t]+"
-    return sub(t, rf"(?i)({dosing})([a-z][a-zA-Z-]+[ \t]+\d+(?:[.,]\d+)?[ \t]*(?:mg|mcg|mL|g|%))", "$1\n$2")
+    return only_if(t, lambda x: x.rlike(r"(?i)\d[ \t]*(?:m|g|%)"), lambda x: sub(
+        x, rf"(?i)({dosing})([a-z][a-zA-Z-]+[ \t]+\d+(?:[.,]\d+)?[ \t]*(?:mg|mcg|mL|g|%))", "$1\n$2"))
 
 
 @step(MEDS, 82)
@@ -229,9 +235,9 @@ def dense_lab_lines(t: Column) -> Column:
         found = F.regexp_extract_all(line, F.lit(rf"({any_of(COUNTED_LABS)})(?:(?<=Cell)s)?\s+[\d.]+"), F.lit(1))
         return F.size(F.array_distinct(F.transform(found, F.lower)))
 
-    return per_line_with_gaps(t, lambda line: F.when(
-        (F.length(line) > 100) & (kinds(line) >= 2),
-        sub(line, rf"\s{{2,}}({any_of(SPLIT_LABS)})", "\n$1")).otherwise(line))
+    pattern = rf"\s{{2,}}({any_of(SPLIT_LABS)})"
+    return only_if(t, lambda x: x.rlike(pattern), lambda x: per_line_with_gaps(x, lambda line: F.when(
+        (F.length(line) > 100) & line.rlike(pattern) & (kinds(line) >= 2), sub(line, pattern, "\n$1")).otherwise(line)))
 
 
 @step(LABS, 31)
@@ -247,10 +253,11 @@ def lab_tables(t: Column) -> Column:
         )
 
     return only_if(
-        t, lambda x: x.rlike(GAP) | x.rlike(r"(?i)Lab Results\s+Component"), lambda x: per_line(x, cut))
+        t, lambda x: x.rlike(r"\s{2,}[A-Z]+\s+[\d.]+\s+\d{2}/\d{2}/\d{4}") | x.rlike(r"(?i)Lab Results\s+Component"),
+        lambda x: per_line(x, cut))
 
 
-@step(LABS, 32)
+@replaces(LABS, 32)
 def intake_output(t: Column) -> Column:
     t = gap(t, ["Intake/Output Summary"], "\n\n")
     t = gap(t, ["Last data filed at", "Gross per 24 hour"], "\n")
@@ -269,17 +276,17 @@ def result_values(t: Column) -> Column:
         inner = F.regexp_count(line, F.lit("Nucleated RBC Abs|Mean Cell Hemoglobin Concentration"))
         return found + inner
 
-    return per_line_with_gaps(t, lambda line: F.when(
-        (F.length(line) > 80) & (count(line) >= 2),
-        sub(line, rf"\s{{2,}}({names})\s", "\n$1 ")).otherwise(line))
+    pattern = rf"\s{{2,}}({names})\s"
+    return only_if(t, lambda x: x.rlike(pattern), lambda x: per_line_with_gaps(x, lambda line: F.when(
+        (F.length(line) > 80) & line.rlike(pattern) & (count(line) >= 2), sub(line, pattern, "\n$1 ")).otherwise(line)))
 
 
-@step(LABS, 34)
+@replaces(LABS, 34)
 def lab_panels(t: Column) -> Column:
     return sub(t, rf"(?<=[^\n])\s{{2,}}({any_of(LAB_PANELS)})", "\n\n$1")
 
 
-@step(LABS, 35)
+@replaces(LABS, 35)
 def abnormal_flags(t: Column) -> Column:
     return subs(t, (r"(?i)\s+-\s+(Abnormal|Normal)\s{2,}(Result\s+Value)", " - $1\n$2"),
                 (r"(?i)\s{3,}(Result\s+Value)", "\n\n$1"))
@@ -287,13 +294,18 @@ def abnormal_flags(t: Column) -> Column:
 
 @step(LABS, 104)
 def lab_values(t: Column) -> Column:
-    """Names are taken one after the other: a short name met first cuts a longer one."""
+    """Names are taken one after the other: a short name met first cuts a longer one.
+
+    No name holds one of the marks, so each stretch between them is cut by itself.
+    """
     def cut(x: Column) -> Column:
         for name in lex.LAB_NAMES:
             x = sub(x, rf"(?i)\s+({quote(name)})\s", "\n$1 ")
         return x
 
-    return only_if(t, lambda x: x.rlike(rf"\s{any_of(lex.LAB_NAMES)}\s"), cut)
+    named = rf"\s{any_of(lex.LAB_NAMES)}\s"
+    return only_if(t, lambda x: x.rlike(named), lambda x: between_marks(
+        x, ".,;:()", lambda part: only_if(part, lambda y: y.rlike(named), cut)))
 
 
 @step(LABS, 105)
@@ -322,7 +334,7 @@ def lab_blank_lines(t: Column) -> Column:
 VITAL = r"(?:Temp|Pulse|Resp|BP|SpO2)"
 
 
-@step(VITALS, 28)
+@replaces(VITALS, 28)
 def dense_vitals(t: Column) -> Column:
     t = sub(t, r"(\d+(?:\.\d+)?\s*°?[CF]?)\s{2,}(\d+)\s{2,}(\d+)\s{2,}(\d+/\d+)\s{2,}(\d+\s*%?)",
             "Temp: $1\nPulse: $2\nResp: $3\nBP: $4\nSpO2: $5")
@@ -381,9 +393,9 @@ def vitals_on_one_line(t: Column) -> Column:
 @step(SYSTEMS, 43)
 def dense_exam(t: Column) -> Column:
     label = any_of(DENSE_EXAM_LABELS)
-    return per_line_with_gaps(t, lambda line: F.when(
-        F.regexp_count(line, F.lit(rf"\b{label}\s*:")) >= 2,
-        sub(line, rf"\s{{2,}}({label})\s*:", "\n$1:")).otherwise(line))
+    pattern = rf"\s{{2,}}({label})\s*:"
+    return only_if(t, lambda x: x.rlike(pattern), lambda x: per_line_with_gaps(x, lambda line: F.when(
+        line.rlike(pattern) & (F.regexp_count(line, F.lit(rf"\b{label}\s*:")) >= 2), sub(line, pattern, "\n$1:")).otherwise(line)))
 
 
 @step(SYSTEMS, 44)
@@ -406,8 +418,9 @@ def stacked(t: Column, labels: list[str], doubled: str | None = None) -> Column:
         n = F.regexp_count(line, F.lit(rf"\b(?={label}\s*:)"))
         return n + F.regexp_count(line, F.lit(rf"(?i)\b(?:{doubled})\s*:")) if doubled else n
 
-    return only_if(t, lambda x: count(x) > 1, lambda x: per_line(x, lambda line: F.when(
-        line.contains(":") & (count(line) > 1), sub(line, rf"\s+({label})\s*:", "\n$1:")).otherwise(line)))
+    pattern = rf"\s+({label})\s*:"
+    return only_if(t, lambda x: x.rlike(pattern) & (count(x) > 1), lambda x: per_line(x, lambda line: F.when(
+        line.contains(":") & line.rlike(pattern) & (count(line) > 1), sub(line, pattern, "\n$1:")).otherwise(line)))
 
 
 @step(SYSTEMS, 88)
@@ -476,7 +489,8 @@ def exam_semicolons(t: Column) -> Column:
 
 @step(SYSTEMS, 96)
 def label_colons(t: Column) -> Column:
-    return sub(t, rf"\b({alternation(SPACED_EXAM_LABELS)}):(\S)", "$1: $2")
+    return only_if(t, lambda x: x.rlike(r":\S"), lambda x: sub(
+        x, rf"\b({alternation(SPACED_EXAM_LABELS)}):(\S)", "$1: $2"))
 
 
 @step(SYSTEMS, 97)
