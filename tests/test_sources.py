@@ -158,3 +158,14 @@ def test_annotation_state_snapshots(spark, tmp_path):
     streams.compact_annotation_state(spark, path)
     last = streams.read_annotation_state(spark, path)
     assert {(r.ann_id, r.seq) for r in last.collect()} == want and all("upto=6" in f for f in last.inputFiles())
+
+
+def test_batches_of_files_are_bounded(spark, tree, tmp_path, monkeypatch):
+    """Without a number of files a batch is bounded too, and every file is read."""
+    monkeypatch.setattr(streams, "FILES_PER_BATCH", 1)
+    out = str(tmp_path / "notes")
+    run = streams.stream_notes(spark, tree).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert [p.numInputRows for p in run.recentProgress if p.numInputRows] == [1, 1]
+    assert {r.note_id for r in spark.read.parquet(out).collect()} == {"n 1", "a+b%20c"}
