@@ -15,6 +15,8 @@ CSV_COLUMNS = [
     "created_at", "comment", "context_before", "context_after",
 ]
 VERSION = "1.0"
+#: Tasks that format a folder tree, for each core.
+TASKS_PER_CORE = 32
 
 
 def export_csv_rows(notes: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -173,7 +175,9 @@ def write_formatted_corpus(spark, in_dir: str, out_dir: str, limit: int | None =
         F.col("__text").alias("text"),
         F.col("__text").alias("raw_text"))
     folder = F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)
-    done = format_notes(notes).withColumn("folder", F.when(folder == "", ".").otherwise(folder))
+    # a task of few small files would build the expressions of all rules for them, and write files of its own
+    most = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    done = format_notes(notes.coalesce(most)).withColumn("folder", F.when(folder == "", ".").otherwise(folder))
     done.write.mode("overwrite").partitionBy("folder").parquet(out_dir)
     written = spark.read.parquet(out_dir)
     return written.agg(
