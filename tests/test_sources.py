@@ -169,3 +169,23 @@ def test_batches_of_files_are_bounded(spark, tree, tmp_path, monkeypatch):
     run.awaitTermination()
     assert [p.numInputRows for p in run.recentProgress if p.numInputRows] == [1, 1]
     assert {r.note_id for r in spark.read.parquet(out).collect()} == {"n 1", "a+b%20c"}
+
+
+def test_small_files_are_read_as_bytes_and_formatted_by_few_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "in" / "ED").mkdir(parents=True)
+    for i in range(20):
+        (tmp_path / "in" / "ED" / f"n{i}.txt").write_bytes(f"note {i}\r\n".encode())
+    monkeypatch.setattr(sinks, "TASKS_PER_CORE", 1)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        files = readers.whole_files(spark, str(tmp_path / "in"), ".txt")
+        # the reader of whole texts copies the job's settings for each file
+        assert "content" in files._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.note_id: r.text for r in readers.read_txt_notes(spark, str(tmp_path / "in")).collect()}
+        assert len(got) == 20 and got["n7"] == "note 7\r\n"
+        summary = sinks.write_formatted_corpus(spark, str(tmp_path / "in"), str(tmp_path / "out")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (summary.processed, summary.failed, summary.total) == (20, 0, 20)
+    assert len(list((tmp_path / "out" / "folder=ED").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
