@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chartspan.functions import vocab
-from chartspan.functions.text import CLOSE, OPEN, WHITESPACE, guard, let, running_total
+from chartspan.functions.text import WHITESPACE, let
 from chartspan.operators.lines import is_bullet_token, line_type_of, section_of
 from chartspan.plans.session import by_value, text_batches
 
@@ -23,31 +25,84 @@ LOOKAHEAD = 10
 SALTS = 16
 #: Token rows after which a batch is handed on.
 _ROWS = 1 << 16
+#: Bytes of text that are cut into tokens at once.
+_BYTES = 1 << 19
+#: White space beyond ASCII: the leading bytes, and the last bytes that may follow them.
+_WIDE_SPACES = {
+    b"\xc2": b"\x85\xa0", b"\xe1\x9a": b"\x80", b"\xe2\x80": bytes(range(0x80, 0x8B)) + b"\xa8\xa9\xaf",
+    b"\xe2\x81": b"\x9f", b"\xe3\x80": b"\x80"}
 #: Plain values, so that they travel to the tasks with the functions of this module.
 _PATTERNS = vocab.SECTION_PATTERNS
 
 
-def _token_arrays(notes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Tokens of a note and where they start, as two arrays of its row."""
-    cut = notes.withColumn("__pieces", F.split(
-        F.regexp_replace(guard("text", "x"), r"(?U)\S+", f"{OPEN}$0{CLOSE}"), OPEN, -1))
-    # the piece before a token ends where the token starts
-    located = cut.withColumn("__ends", running_total(F.transform(
-        "__pieces", lambda p: F.length(p) - F.contains(p, F.lit(CLOSE)).cast("int"))))
-    count = F.size("__pieces") - 1
-    bare = F.transform(F.slice("__pieces", F.lit(2), count), lambda p: F.substring_index(p, CLOSE, 1))
-    starts = F.slice("__ends", F.lit(1), count)
-    # where markers were covered up the tokens come from the text itself
-    exact = F.transform(F.arrays_zip(bare.alias("b"), starts.alias("s")), lambda x: F.substring("text", x["s"] + 1, F.length(x["b"])))
-    return located.select(*keep, F.when(guard("text", "x") == F.col("text"), bare).otherwise(exact).alias("tokens"), starts.alias("starts"))
+def _spaces(text: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text are white space: the characters of Unicode's ``White_Space``."""
+    found = (text == 0x20) | (text - np.uint8(0x09) < 5)
+    for lead, lasts in _WIDE_SPACES.items():
+        at = np.flatnonzero(text == lead[0])
+        at = at[at + len(lead) < len(text)]
+        for i, byte in enumerate(lead[1:], 1):
+            at = at[text[at + i] == byte]
+        at = at[np.isin(text[at + len(lead)], np.frombuffer(lasts, np.uint8))]
+        for i in range(len(lead) + 1):
+            found[at + i] = True
+    return found
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """White-space tokens of an array of texts: the note of each, the token, its start and its end in characters."""
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    upto = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset:plain.offset + len(plain) + 1]
+    body = plain.buffers()[2]
+    text = np.frombuffer(body, np.uint8)[upto[0]:upto[-1]] if body is not None else np.zeros(0, np.uint8)
+    upto = upto - upto[0]
+    word = ~_spaces(text)
+    # a token ends at a space, or with its note
+    edge = np.zeros(len(text) + 1, bool)
+    edge[upto] = True
+    starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]])))
+    ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    note = np.searchsorted(upto, starts, "right") - 1
+    places = np.concatenate([[0], np.cumsum(ends - starts)])
+    tokens = pa.LargeStringArray.from_buffers(
+        len(starts), pa.py_buffer(places.astype(np.int64)), pa.py_buffer(text[word])).cast(pa.string())
+    if len(text) and text.max() > 0x7F:
+        # characters before each byte
+        chars = np.concatenate([[0], np.cumsum(text & 0xC0 != 0x80)])
+        starts, ends, upto = chars[starts], chars[ends], chars[upto]
+    first = upto[note]
+    return note, tokens, (starts - first).astype(np.int32), (ends - first).astype(np.int32)
+
+
+def _portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with some ``_BYTES`` of text each; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // _BYTES
+    at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]])
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def tokenize_offsets(notes: DataFrame, keep: tuple[str, ...] = ("note_id",)) -> DataFrame:
-    """White-space tokens with offsets, cut inside the note's row."""
-    rows = _token_arrays(notes, keep).select(*keep, F.posexplode(F.arrays_zip("tokens", "starts")).alias("idx", "__t"))
-    return rows.select(
-        *keep, "idx", F.col("__t.tokens").alias("token"), F.col("__t.starts").alias("start"),
-        (F.col("__t.starts") + F.length("__t.tokens")).alias("end"))
+    """White-space tokens with offsets, cut inside the task: no shuffle, linear in the text."""
+    text_batches()
+    given = notes.select(*keep, F.col("text").alias("__text"))
+    fields = [*given.schema.fields[:-1], *StructType.fromDDL("idx int, token string, start int, end int").fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _portions(batch, batch.num_columns - 1):
+                note, tokens, starts, ends = _cut(some.column(some.num_columns - 1))
+                idx = np.arange(len(note)) - np.searchsorted(note, note)
+                for i in range(0, len(note), _ROWS):
+                    rows = slice(i, i + _ROWS)
+                    kept = [c.take(pa.array(note[rows])) for c in some.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept, pa.array(idx[rows], pa.int32()), tokens[rows], pa.array(starts[rows]), pa.array(ends[rows])],
+                        [*some.schema.names[:-1], "idx", "token", "start", "end"])
+
+    return given.mapInArrow(run, StructType(fields))
 
 
 def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, unknown: int, lower: bool = False) -> DataFrame:
@@ -88,8 +143,16 @@ def score_notes(
             except Exception as e:
                 return np.zeros((0, 0)), f"{type(e).__name__}: {e}"
 
-        for batch in batches:
-            scored = [one(t) for t in batch.column(1).to_pylist()]
+        for batch in (some for b in batches for some in _portions(b, 1)):
+            note, words, starts, _ = _cut(batch.column(1))
+            # notes without a token are left out
+            known, sizes = np.unique(note, return_counts=True)
+            if not len(known):
+                continue
+            upto = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            bundles = [batch.column(0).take(pa.array(known)), pa.ListArray.from_arrays(upto, words),
+                       pa.ListArray.from_arrays(upto, pa.array(starts))]
+            scored = [one(t) for t in bundles[1].to_pylist()]
             rows, errors = [x[0] for x in scored], [x[1] for x in scored]
             ends = np.cumsum([0, *(len(r) for r in rows)])
             widths = np.concatenate([[0], *(np.full(len(r), r.shape[1]) for r in rows)])
@@ -98,10 +161,9 @@ def score_notes(
             logits = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), tokens, mask=pa.array([e is not None for e in errors], pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, logits, pa.array(errors, pa.string())], ["note_id", "tokens", "starts", "logits", "error"])
+                [*bundles, logits, pa.array(errors, pa.string())], ["note_id", "tokens", "starts", "logits", "error"])
 
-    bundled = _token_arrays(notes, ("note_id",)).where(F.size("tokens") > 0)
-    return bundled.mapInArrow(
+    return notes.select("note_id", "text").mapInArrow(
         run, "note_id string, tokens array<string>, starts array<int>, logits array<array<double>>, error string")
 
 
