@@ -365,14 +365,14 @@ def chain_merge_spans(
     fresh = (
         prev_idx.isNull()
         | (F.col("idx") - prev_idx > gap_tolerance + 1)
-        | (F.lag("type").over(order) != F.col("type"))
+        | ~F.lag("type").over(order).eqNullSafe(F.col("type"))
     )
+    # a run has one type; as a key it leaves only numbers to aggregate, which takes no sort
     return (
         positive.withColumn("__new", fresh.cast("int"))
         .withColumn("__run", F.sum("__new").over(order))
-        .groupBy("note_id", "__run")
+        .groupBy("note_id", "__run", "type")
         .agg(
-            F.first("type").alias("type"),
             F.min("start").alias("start"),
             F.max("end").alias("end"),
             F.lit(1.0).alias("confidence"),
@@ -394,9 +394,8 @@ def merge_adjacent_spans(spans: DataFrame, max_char_gap: int = 50) -> DataFrame:
         "__turn", F.coalesce((F.lag("type").over(order) != F.col("type")).cast("int"), F.lit(1)))
     typed = typed.withColumn("__block", F.sum("__turn").over(order)).drop("__turn")
     numbered = islands(typed, ["note_id", "__block"], "start", "end", gap=max_char_gap)
-    return numbered.groupBy("note_id", "__block", "island").agg(
-        F.first("type").alias("type"), F.min("start").alias("start"), F.max("end").alias("end")
-    ).drop("__block", "island")
+    return numbered.groupBy("note_id", "__block", "island", "type").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")).drop("__block", "island")
 
 
 def _tail_of(text: Column) -> Column:

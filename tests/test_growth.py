@@ -22,3 +22,13 @@ def test_tokens_are_cut_by_every_white_space(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
     scored = tokens.score_tokens(notes, lambda: lambda words: [[float(len(w))] for w in words])
     assert sorted((r.note_id, r.idx, r.token, r.start, r.end) for r in scored.collect()) == sorted((n, k, t, a, b) for n, _, k, t, a, b in want)
+
+
+def test_runs_are_aggregated_without_a_sort_of_their_own(spark):
+    rows = [("n", i, 10 * i, 10 * i + 5, 1 + i % 2, "AB"[i % 2]) for i in range(6)]
+    marked = spark.createDataFrame(rows, "note_id string, idx int, start int, end int, label_no int, label string")
+    merged = spans.merge_adjacent_spans(spans.chain_merge_spans(marked, collapse_all=False), 30)
+    assert "SortAggregate" not in plan_of(merged)
+    assert sorted((r.type, r.start, r.end) for r in merged.collect()) == sorted(("AB"[i % 2], 10 * i, 10 * i + 5) for i in range(6))
+    assert spans.chain_merge_spans(marked).collect()[0].asDict() == {
+        "note_id": "n", "type": "RADIOLOGY", "start": 0, "end": 55, "confidence": 1.0, "mean_prob": 1.0}
