@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartspan.functions.text import let, slice_strides, slice_text, strides
-from chartspan.plans.scale import bin_of, islands, span_bins
+from chartspan.plans.scale import bin_of, islands, span_bins, written
 
 _WORD_TAIL = r"(?U)\A\S*"
+#: Characters beside a span that are looked at before the whole text is.
+_NEAR = 512
 
 
 # --- overlap joins -------------------------------------------------------------------------
@@ -398,44 +400,47 @@ def merge_adjacent_spans(spans: DataFrame, max_char_gap: int = 50) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end")).drop("__block", "island")
 
 
-def _tail_of(text: Column) -> Column:
-    """Length of the run of non-space characters a text ends with."""
-    return F.length(F.regexp_extract(F.reverse(text), _WORD_TAIL, 0))
+def _run_before(text: str, at: str, run: str) -> Column:
+    """Length of the run of characters that ends at ``at``; ``run`` is matched on the reversed text.
+
+    The characters next to ``at`` settle nearly every span; the whole text is read only when the run fills them.
+    """
+    end = F.least(F.col(at), F.length(text))
+    size = lambda t: F.length(F.regexp_extract(F.reverse(t), run, 0))
+    near = size(F.substring(F.col(text), F.greatest(end - _NEAR, F.lit(0)) + 1, F.least(end, F.lit(_NEAR))))
+    return let(near, lambda n: F.when(n < _NEAR, n).otherwise(size(F.substring(F.col(text), F.lit(1), end))))
 
 
-def _head_of(text: Column) -> Column:
-    return F.length(F.regexp_extract(text, _WORD_TAIL, 0))
+def _run_after(text: str, at: str, run: str) -> Column:
+    """Length of the run of characters that begins at ``at``."""
+    size = lambda t: F.length(F.regexp_extract(t, run, 0))
+    near = size(F.substring(F.col(text), F.col(at) + 1, F.lit(_NEAR)))
+    return let(near, lambda n: F.when(n < _NEAR, n).otherwise(size(F.substring(F.col(text), F.col(at) + 1, F.length(text)))))
 
 
-def _to_word(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    left = F.substring(text, F.lit(1), start)
-    right = F.substring(text, end + 1, F.length(text))
-    return start - _tail_of(left), end + _head_of(right)
+def _to_word(df: DataFrame, start: str, end: str) -> DataFrame:
+    return df.withColumns({
+        "__s": F.col(start) - _run_before("note_text", start, _WORD_TAIL),
+        "__e": F.col(end) + _run_after("note_text", end, _WORD_TAIL)})
 
 
 def expand_to_word(spans: DataFrame, notes: DataFrame) -> DataFrame:
     """Grow spans to the white space around them."""
     text = notes.select("note_id", F.col("text").alias("note_text"))
-    lo, hi = _to_word(F.col("note_text"), F.col("start"), F.col("end"))
-    out = spans.join(text, "note_id").withColumn("__s", lo).withColumn("__e", hi)
-    return _recut(out)
+    return _recut(_to_word(spans.join(text, "note_id"), "start", "end"))
 
 
 def expand_to_sentence(spans: DataFrame, notes: DataFrame) -> DataFrame:
     """Grow spans to line or sentence bounds (the closing mark included), then to words."""
     text = notes.select("note_id", F.col("text").alias("note_text"))
-    left = F.substring(F.col("note_text"), F.lit(1), F.col("start"))
-    right = F.substring(F.col("note_text"), F.col("end") + 1, F.length("note_text"))
-    back = F.reverse(F.regexp_extract(F.reverse(left), r"\A[^\n.!?]*", 0))
-    indent = F.length(F.regexp_extract(back, r"(?U)\A\s*", 0))
-    fore = F.length(F.regexp_extract(right, r"(?s)\A[^\n.!?]*[\n.!?]?", 0))
     opened = (
         spans.join(text, "note_id")
-        .withColumn("__a", F.col("start") - F.length(back) + indent)
-        .withColumn("__b", F.col("end") + fore)
+        .withColumn("__open", F.col("start") - _run_before("note_text", "start", r"\A[^\n.!?]*"))
+        .withColumn("__b", F.col("end") + _run_after("note_text", "end", r"(?s)\A[^\n.!?]*[\n.!?]?"))
     )
-    lo, hi = _to_word(F.col("note_text"), F.col("__a"), F.col("__b"))
-    return _recut(opened.withColumn("__s", lo).withColumn("__e", hi).drop("__a", "__b"))
+    indent = F.least(_run_after("note_text", "__open", r"(?U)\A\s*"), F.col("start") - F.col("__open"))
+    opened = opened.withColumn("__a", F.col("__open") + indent)
+    return _recut(_to_word(opened, "__a", "__b").drop("__open", "__a", "__b"))
 
 
 def _recut(df: DataFrame) -> DataFrame:
@@ -453,11 +458,12 @@ def extract_radiology_entities(
     """Radiology notes' labelled tokens as entities: chain, merge, grow to sentences, merge.
 
     Chained spans begin and end with tokens, and sentence growth ends on words, so words never
-    have to be completed in between: the note text is met twice, to grow and to cut.
+    have to be completed in between: the note text is met twice, to grow and to cut. The radiology
+    notes are told apart once and written.
     """
     from chartspan.operators.filters import filter_radiology_notes
 
-    radiology = filter_radiology_notes(notes).select("note_id", "text")
+    radiology = written(filter_radiology_notes(notes).select("note_id", "text"), "radiology")
     tokens = labelled_tokens.join(radiology.select("note_id"), "note_id", "left_semi")
     merged = merge_adjacent_spans(
         chain_merge_spans(tokens, collapse_all=collapse_all), 120 if collapse_all else 30)

@@ -64,6 +64,13 @@ def ranged(df: DataFrame, order: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder, for plans that read it in several places."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def per_range(ranges: DataFrame, value: Column) -> list[tuple]:
     """``(range, value)`` of an aggregate, in order: one row per range reaches the driver."""
     return sorted(tuple(r) for r in ranges.groupBy("__range").agg(value.alias("__value")).collect())

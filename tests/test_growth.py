@@ -32,3 +32,22 @@ def test_runs_are_aggregated_without_a_sort_of_their_own(spark):
     assert sorted((r.type, r.start, r.end) for r in merged.collect()) == sorted(("AB"[i % 2], 10 * i, 10 * i + 5) for i in range(6))
     assert spans.chain_merge_spans(marked).collect()[0].asDict() == {
         "note_id": "n", "type": "RADIOLOGY", "start": 0, "end": 55, "confidence": 1.0, "mean_prob": 1.0}
+
+
+def test_sentences_of_any_length(spark):
+    long, most = "word " * 400, spans._NEAR
+    texts = [f"A. {long}x {long}. B", f"{'y' * 2000} z {'w' * 2000}", f"Q.{'a' * (most - 1)}b c", f"Q.{'a' * most}b c", " " * 900 + "k m"]
+    at = [texts[0].index("x"), texts[1].index("z"), texts[2].index("b"), texts[3].index("b"), texts[4].index("m")]
+    notes = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(texts)], "note_id string, text string")
+    marks = spark.createDataFrame([(f"n{i}", a, a + 1) for i, a in enumerate(at)], "note_id string, start int, end int")
+    grown = {r.note_id: r.text for r in spans.expand_to_sentence(marks, notes).collect()}
+    assert grown == {"n0": f"{long}x {long}.".strip(), "n1": texts[1], "n2": texts[2], "n3": texts[3], "n4": "k m"}
+    worded = {r.note_id: r.text for r in spans.expand_to_word(marks, notes).collect()}
+    assert worded == {"n0": "x", "n1": "z", "n2": texts[2][:-2], "n3": texts[3][:-2], "n4": "m"}
+
+
+def test_radiology_notes_are_told_apart_once(spark):
+    notes = spark.createDataFrame([("RAD.1", "One stone. Two", None, None)], "note_id string, text string, type string, raw_text string")
+    marked = spark.createDataFrame([("RAD.1", 1, 4, 9, 1, "A")], "note_id string, idx int, start int, end int, label_no int, label string")
+    found = spans.extract_radiology_entities(notes, marked)
+    assert "rlike" not in plan_of(found).lower() and [r.text for r in found.collect()] == ["One stone."]
