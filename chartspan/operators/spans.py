@@ -253,68 +253,56 @@ def segment_annotations(annotations: DataFrame) -> DataFrame:
 def build_segments(annotations: DataFrame, notes: DataFrame) -> DataFrame:
     """Cut each note at every span edge; each piece tells what covers it.
 
-    Coverage is worked out on distinct spans (counts, question sets and flags are combined
-    map-side) and edges alone. It reaches the notes as one sorted list per note, bounded by the
-    text, so the text is joined once and cut inside its row. ``annotation_ids`` lists all covering
-    annotations; the lists join last, one to a piece, and never meet in a note's row.
+    Annotations are folded to distinct spans once, which are written; coverage is worked out on these and on edges.
+    The edges reach the notes as one sorted list per note, bounded by the text, so the text is joined once and cut
+    inside its row. What covers a piece joins last, one row to a piece, and never meets in a note's row.
     ``segment_annotations`` gives the ids as rows where a list would be too long to handle.
     """
-    inside = _inside(annotations)
-    spans = inside.select(
-        "note_id", "start", "end", "ann_id", "source", F.explode_outer("questions").alias("q")
-    ).groupBy("note_id", "start", "end").agg(
-        F.count_distinct("ann_id").alias("n"),
-        F.collect_set("q").alias("questions"),
+    folded = written(_inside(annotations).groupBy("note_id", "start", "end").agg(
+        F.array_sort(F.collect_list(F.struct("ann_id"))).alias("ids"),
+        F.array_distinct(F.flatten(F.collect_list("questions"))).alias("questions"),
         F.bool_or(F.col("source") == "suggested").alias("is_suggested"),
-    )
-    pieces = _edge_pieces(spans)
-    cover = _covering(pieces, spans)
-    facts = cover.groupBy("note_id", "p").agg(
-        F.sum("n").alias("n"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("questions")))).alias("questions"),
+    ), "spans")
+    per_note = folded.select("note_id", F.explode(F.array("start", "end")).alias("p")).groupBy("note_id").agg(
+        F.array_sort(F.collect_set("p")).alias("edges"))
+    pieces = per_note.select("note_id", F.posexplode("edges").alias("__i", "p"), "edges").select(
+        "note_id", "p", F.try_element_at("edges", F.col("__i") + 2).alias("p_end"))
+    facts = _covering(pieces, folded).groupBy("note_id", F.col("p").alias("start")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "ids"))).alias("covers"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter("questions", lambda q: q.isNotNull()))))).alias("questions"),
         F.bool_or("is_suggested").alias("is_suggested"),
+    ).select(
+        "note_id", "start", "questions", "is_suggested",
+        F.transform(F.flatten(F.transform("covers", lambda c: c["ids"])), lambda i: i["ann_id"]).alias("annotation_ids"),
+        F.aggregate("covers", F.lit(0).cast("long"), lambda n, c: n + F.size(F.array_distinct(
+            F.filter(c["ids"], lambda i: i["ann_id"].isNotNull())))).alias("n"),
     )
-    named = cover.select("note_id", "p", "start", "end").join(
-        inside.select("note_id", "start", "end", "ann_id"), ["note_id", "start", "end"])
-    ids = named.groupBy("note_id", "p").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("start", "end", "ann_id"))), lambda x: x["ann_id"]).alias("ids"))
-    edge = F.struct("p", "n", "questions", "is_suggested")
-    per_note = (
-        pieces.select("note_id", "p")
-        .join(facts, ["note_id", "p"], "left")
-        .groupBy("note_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    )
-    origin = F.array(F.struct(
-        F.lit(0).alias("p"), F.lit(None).cast("long").alias("n"),
-        F.lit(None).cast("array<string>").alias("questions"), F.lit(None).cast("boolean").alias("is_suggested")))
     size = F.length("text")
+    origin = F.array(F.lit(0))
     starts = (
         F.when(F.col("edges").isNull(), origin)
-        .when(F.element_at("edges", 1)["p"] == 0, F.col("edges"))
+        .when(F.element_at("edges", 1) == 0, F.col("edges"))
         .otherwise(F.concat(origin, F.col("edges")))
     )
-    end = lambda i: F.coalesce(F.try_element_at("__starts", i + 2)["p"], size)
-    none = F.array().cast("array<string>")
+    end = lambda i: F.coalesce(F.try_element_at("__starts", i + 2), size)
     # everything a piece needs is put into its element, so no long column rides along the explode
-    piece = lambda e, i: F.struct(
-        e["p"].alias("start"), end(i).alias("end"),
-        slice_strides("__text", e["p"], end(i)).alias("text"),
-        F.when(e["n"].isNull(), "plain").otherwise("highlight").alias("kind"),
-        F.coalesce(e["questions"], none).alias("questions"),
-        F.coalesce(e["n"], F.lit(0).cast("long")).alias("n_annotations"),
-        F.coalesce(e["is_suggested"], F.lit(False)).alias("is_suggested"),
-    )
+    piece = lambda p, i: F.struct(
+        p.alias("start"), end(i).alias("end"), slice_strides("__text", p, end(i)).alias("text"))
     segments = (
         notes.select("note_id", "text").join(per_note, "note_id", "left")
-        .withColumn("__starts", let(size, lambda n: F.filter(
-            starts, lambda e: (e["p"] < n) | (e["p"] == 0))))
+        .withColumn("__starts", let(size, lambda n: F.filter(starts, lambda p: (p < n) | (p == 0))))
         .withColumn("__text", strides("text"))
         .select("note_id", F.posexplode(F.transform("__starts", piece)).alias("seg_no", "__s"))
         .select("note_id", "seg_no", "__s.*")
     )
-    return segments.join(ids.withColumnRenamed("p", "start"), ["note_id", "start"], "left").select(
-        "note_id", "seg_no", "start", "end", "text", "kind", "questions", "n_annotations",
-        F.coalesce("ids", none).alias("annotation_ids"), "is_suggested")
+    none = F.array().cast("array<string>")
+    return segments.join(facts, ["note_id", "start"], "left").select(
+        "note_id", "seg_no", "start", "end", "text",
+        F.when(F.col("n").isNull(), "plain").otherwise("highlight").alias("kind"),
+        F.coalesce("questions", none).alias("questions"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n_annotations"),
+        F.coalesce("annotation_ids", none).alias("annotation_ids"),
+        F.coalesce("is_suggested", F.lit(False)).alias("is_suggested"))
 
 
 def badges_in_segments(badges: DataFrame, segments: DataFrame) -> DataFrame:

@@ -51,3 +51,23 @@ def test_radiology_notes_are_told_apart_once(spark):
     marked = spark.createDataFrame([("RAD.1", 1, 4, 9, 1, "A")], "note_id string, idx int, start int, end int, label_no int, label string")
     found = spans.extract_radiology_entities(notes, marked)
     assert "rlike" not in plan_of(found).lower() and [r.text for r in found.collect()] == ["One stone."]
+
+
+def test_segments_read_annotations_once(spark):
+    notes = spark.createDataFrame([("n", "abcdef"), ("m", ""), ("o", "xyz")], "note_id string, text string")
+    rows = [("b", "n", 1, 3, ["Q2", None], "manual"), ("a", "n", 1, 3, None, "suggested"), ("a", "n", 1, 3, ["Q1"], None),
+            ("c", "n", 2, 9, ["Q2"], "manual"), ("d", "n", 4, 4, [], "manual"), (None, "o", -2, 2, ["Q3"], "manual")]
+    ann = spark.createDataFrame(rows, "ann_id string, note_id string, start int, end int, questions array<string>, source string")
+    found = spans.build_segments(ann, notes)
+    assert plan_of(found).split("Initial Plan")[-1].count("ExistingRDD") == 1
+    got = [(r.note_id, r.seg_no, r.text, r.kind, r.questions, r.n_annotations, r.annotation_ids, r.is_suggested)
+           for r in found.orderBy("note_id", "seg_no").collect()]
+    assert got == [
+        ("m", 0, "", "plain", [], 0, [], False),
+        ("n", 0, "a", "plain", [], 0, [], False),
+        ("n", 1, "b", "highlight", ["Q1", "Q2"], 2, ["a", "a", "b"], True),
+        ("n", 2, "c", "highlight", ["Q1", "Q2"], 3, ["a", "a", "b", "c"], True),
+        ("n", 3, "d", "highlight", ["Q2"], 1, ["c"], False),
+        ("n", 4, "ef", "highlight", ["Q2"], 1, ["c"], False),
+        ("o", 0, "xy", "highlight", ["Q3"], 0, [None], False),
+        ("o", 1, "z", "plain", [], 0, [], False)]
