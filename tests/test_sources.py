@@ -189,3 +189,30 @@ def test_small_files_are_read_as_bytes_and_formatted_by_few_tasks(spark, tmp_pat
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert (summary.processed, summary.failed, summary.total) == (20, 0, 20)
     assert len(list((tmp_path / "out" / "folder=ED").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
+
+
+def test_empty_files_are_notes(spark, tmp_path):
+    """Spark's listing drops empty files; a note without text is a note all the same."""
+    for path, text in (("ED/a+b %20.txt", ""), ("ED/n2.txt", "two"), ("RAD/n3.txt", ""), ("RAD/cut.json", ""), ("RAD/readme.md", "")):
+        (tmp_path / "in" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / path).write_text(text)
+    tree = str(tmp_path / "in")
+    got = {(r.note_id, r.text, r.type, r.source, r.raw_text) for r in readers.read_txt_notes(spark, tree).collect()}
+    assert got == {("a+b %20", "", "ED", "a+b %20.txt", ""), ("n2", "two", "ED", "n2.txt", "two"), ("n3", "", "RAD", "n3.txt", "")}
+    notes, errors = readers.read_notes_dir(spark, tree)
+    assert notes.count() == 3 and [r.file.rsplit("/", 1)[1] for r in errors.collect()] == ["cut.json"]
+    summary = sinks.write_formatted_corpus(spark, tree, str(tmp_path / "out")).first()
+    assert (summary.processed, summary.failed, summary.total) == (3, 0, 3)
+
+
+def test_files_of_the_queries_are_whole(spark, tmp_path):
+    """A task that fails leaves no part of a text, and a folder may be named with its scheme."""
+    from checks.source_checks import write_files
+
+    base = str(tmp_path / "txt")
+    rows = spark.createDataFrame([("en/1 n+1.txt", "one"), ("en/2 n+1.txt", None)], "path string, content string")
+    with pytest.raises(Exception):
+        write_files(rows.coalesce(1), base)
+    assert [p.name for p in (tmp_path / "txt" / "en").glob("*.txt")] == ["1 n+1.txt"]
+    named = write_files(rows.where("content is not null"), f"file://{tmp_path}/named")
+    assert [r.note_id for r in readers.read_txt_notes(spark, named).collect()] == ["1 n+1"]
