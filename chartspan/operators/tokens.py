@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from chartspan.functions import vocab
 from chartspan.functions.text import WHITESPACE, let
-from chartspan.operators.lines import is_bullet_token, line_type_of, section_of
+from chartspan.operators.lines import _low, is_bullet_token, line_type_of, section_of
 from chartspan.plans.session import by_value, text_batches
 
 by_value(__name__)
@@ -119,18 +119,8 @@ def encode_tokens(tokens: DataFrame, vocabulary: DataFrame, unknown: int, lower:
         "token_id", F.coalesce("token_id", F.lit(unknown))).drop("__key", "__salt")
 
 
-def score_notes(
-    notes: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]]
-) -> DataFrame:
-    """Run a token classifier over whole notes: (note_id, tokens, starts, logits, error).
-
-    ``model`` is called once per worker task and returns a function from a note's tokens to one
-    row of logits per token. Notes flow through in Arrow batches, one row each. A note on which
-    the model fails has null logits and the failure's text in ``error``; it costs no other note.
-    """
-
-    text_batches()
-
+def _scoring(model: Callable[[], Callable[[list[str]], list[list[float]]]]):
+    """Batches of notes to batches of their tokens, starts, logits and error."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model()
 
@@ -163,8 +153,21 @@ def score_notes(
             yield pa.RecordBatch.from_arrays(
                 [*bundles, logits, pa.array(errors, pa.string())], ["note_id", "tokens", "starts", "logits", "error"])
 
+    return run
+
+
+def score_notes(
+    notes: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]]
+) -> DataFrame:
+    """Run a token classifier over whole notes: (note_id, tokens, starts, logits, error).
+
+    ``model`` is called once per worker task and returns a function from a note's tokens to one
+    row of logits per token. Notes flow through in Arrow batches, one row each. A note on which
+    the model fails has null logits and the failure's text in ``error``; it costs no other note.
+    """
+    text_batches()
     return notes.select("note_id", "text").mapInArrow(
-        run, "note_id string, tokens array<string>, starts array<int>, logits array<array<double>>, error string")
+        _scoring(model), "note_id string, tokens array<string>, starts array<int>, logits array<array<double>>, error string")
 
 
 def score_tokens(
@@ -252,11 +255,11 @@ def line_lookahead(tokens: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
 def _why(found: DataFrame) -> DataFrame:
     """Decision name, line type and the reason of each break, from the row alone."""
     at_start = F.col("is_line_start")
-    low = F.regexp_replace(F.lower("token"), r":\z", "")
+    low = F.col("__low")
     bullet = at_start & is_bullet_token(F.col("token"))
-    known = low.isin(vocab.MAJOR_HEADERS) | low.isin(vocab.MINOR_HEADERS)
+    known = low.isin([*vocab.MAJOR_HEADERS, *vocab.MINOR_HEADERS])
     names = F.array(*[F.lit(n) for n in vocab.BREAK_NAMES])
-    return found.withColumns({
+    return found.withColumn("__low", _low(F.col("token"))).withColumns({
         "decision": F.element_at(names, F.col("label_no") + 1),
         "line_type": F.when(at_start, line_type_of("line_text", bullet, F.col("detected")))
         .otherwise("NARRATIVE"),
@@ -265,7 +268,7 @@ def _why(found: DataFrame) -> DataFrame:
         .when(bullet, "list_item")
         .when(low.isin(vocab.SIGNATURE_TOKENS), "signature")
         .otherwise("learned_pattern"),
-    })
+    }).drop("__low")
 
 
 def explain_breaks(tokens: DataFrame) -> DataFrame:
@@ -282,30 +285,94 @@ def explain_breaks(tokens: DataFrame) -> DataFrame:
         F.lit("NONE"))))
 
 
-def _section_names() -> Callable[[str], str]:
-    """``section_of`` for the lines of a task."""
-    named = [(name, re.compile(rf"(?:{pattern})\s*:?", re.ASCII)) for name, pattern in _PATTERNS]
+#: Lines of a task whose section is remembered; short lines come again and again.
+_REMEMBERED = 1 << 16
+
+
+def _section_names() -> tuple[list[str], Callable[[list[str]], list[int]]]:
+    """``section_of`` for the lines of a task: the names, ``NONE`` first, and the place among them of each line's name."""
+    named = [re.compile(rf"(?:{pattern})\s*:?", re.ASCII) for _, pattern in _PATTERNS]
     anyone = re.compile("(?:" + "|".join(pattern for _, pattern in _PATTERNS) + r")\s*:?", re.ASCII)
+    known: dict[str, int] = {}
 
-    def name_of(line: str) -> str:
+    def place(line: str) -> int:
         bare = line.lower().removesuffix(":").strip(WHITESPACE)
-        if not anyone.fullmatch(bare):
-            return "NONE"
-        return next((name for name, pattern in named if pattern.fullmatch(bare)), "NONE")
+        found = 0
+        if anyone.fullmatch(bare):
+            found = next((i for i, pattern in enumerate(named, 1) if pattern.fullmatch(bare)), 0)
+        if len(known) >= _REMEMBERED:
+            known.clear()
+        known[line] = found
+        return found
+
+    def places(lines: list[str]) -> list[int]:
+        get = known.get
+        return [place(x) if (found := get(x)) is None else found for x in lines]
 
-    return name_of
+    return ["NONE", *(name for name, _ in _PATTERNS)], places
 
 
-def _lines(tokens: list[str], broken: np.ndarray, k: int) -> list[str]:
+def _lines(text: str, sizes: np.ndarray, broken: np.ndarray, k: int) -> list[str]:
     """For each token the text up to the next break, ``k`` tokens at most: cuts of the tokens joined by blanks."""
-    places, text = np.arange(len(tokens)), " ".join(tokens)
-    following = np.minimum.accumulate(np.where(broken, places, len(tokens) - 1)[::-1])[::-1]
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    places = np.arange(len(sizes))
+    following = np.minimum.accumulate(np.where(broken, places, len(sizes) - 1)[::-1])[::-1]
     ends = np.cumsum(sizes) + places
     last = np.minimum(following, places + k - 1)
     return [text[i:j] for i, j in zip((ends - sizes).tolist(), ends[last].tolist())]
 
 
+_EXPLAINED = ("note_id string, idx int, token string, start int, logits array<double>, __label int, is_line_start boolean, "
+              "line_text string, detected string, section string, prior_section string")
+
+
+def _explaining(k: int):
+    """Batches of ``note_id, tokens, starts, logits`` to token rows with line starts, the text up to the next break and sections."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, places = _section_names()
+        names = pa.array(names, pa.string())
+        columns = [f.split()[0] for f in _EXPLAINED.split(", ")]
+
+        def note(text: str, sizes: np.ndarray, width: int, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+            n = len(sizes)
+            label = flat.reshape(n, width).argmax(axis=1) if width else np.zeros(n, np.int64)
+            fresh = np.concatenate([[True], label[:-1] != 0])
+            lines = _lines(text, sizes, label != 0, k)
+            detected = np.zeros(n, np.int64)
+            at = np.flatnonzero(fresh)
+            detected[at] = places([lines[i] for i in at.tolist()])
+            at = np.maximum.accumulate(np.where(detected != 0, np.arange(n), -1))
+            return label, fresh, lines, detected, np.where(at >= 0, detected[at], 0)
+
+        for batch in batches:
+            words, starts, logits = (batch.column(i).values for i in (1, 2, 3))
+            cuts, begins, upto = (np.asarray(batch.column(i).offsets) for i in (1, 2, 3))
+            inner, values = np.asarray(logits.offsets), np.asarray(logits.values)
+            sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+            texts = pc.binary_join(batch.column(1), " ").to_pylist()
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                lo, hi = upto[i], upto[i + 1]
+                n = hi - lo
+                label, fresh, lines, detected, section = note(
+                    texts[i], sizes[cuts[i]:cuts[i + 1]], int(inner[lo + 1] - inner[lo]), values[inner[lo]:inner[hi]])
+                rows.append([
+                    batch.column(0).take(pa.array(np.full(n, i))), pa.array(np.arange(n), pa.int32()),
+                    words.slice(cuts[i], n), starts.slice(begins[i], n), logits.slice(lo, n), pa.array(label, pa.int32()),
+                    pa.array(fresh, pa.bool_()), pa.array(lines, pa.string()), names.take(pa.array(detected)), names.take(pa.array(section)),
+                    names.take(pa.array(np.concatenate([[0], section[:-1]])))])
+                held += n
+                if held >= _ROWS or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*rows)], columns)
+                    rows, held = [], 0
+
+    return run
+
+
+def _decoded(whole: DataFrame) -> DataFrame:
+    decoded = decode_logits(whole.withColumn("end", F.col("start") + F.length("token")))
+    # the first maximum again, already known
+    return _why(decoded.withColumn("label_no", F.col("__label")).drop("__label"))
+
 
 def explain_notes(scored: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
     """``line_lookahead`` and ``explain_breaks`` of ``score_notes`` rows, decoded.
@@ -315,42 +382,21 @@ def explain_notes(scored: DataFrame, k: int = LOOKAHEAD) -> DataFrame:
     the section before each token.
     """
     text_batches()
-    fields = ("note_id string, idx int, token string, start int, logits array<double>, is_line_start boolean, "
-              "line_text string, detected string, section string, prior_section string")
+    return _decoded(scored.where(F.col("error").isNull()).select("note_id", "tokens", "starts", "logits").mapInArrow(_explaining(k), _EXPLAINED))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name_of = _section_names()
 
-        def note(tokens: list[str], width: int, flat: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-            n = len(tokens)
-            broken = flat.reshape(n, width).argmax(axis=1) != 0 if width else np.zeros(n, bool)
-            fresh = np.concatenate([[True], broken[:-1]])
-            lines = _lines(tokens, broken, k)
-            detected = np.array([name_of(line) if new else "NONE" for line, new in zip(lines, fresh.tolist())], object)
-            at = np.maximum.accumulate(np.where(detected != "NONE", np.arange(n), -1))
-            return fresh, lines, detected, np.where(at >= 0, detected[at], "NONE")
+def score_and_explain(
+    notes: DataFrame, model: Callable[[], Callable[[list[str]], list[list[float]]]], k: int = LOOKAHEAD
+) -> DataFrame:
+    """``explain_notes`` of ``score_notes`` in one pass: tokens and scores stay with the task's Python between the two."""
+    text_batches()
+    score, explain = _scoring(model), _explaining(k)
 
-        for batch in batches:
-            logits, starts = batch.column(2).values, batch.column(1)
-            upto, inner, values = (np.asarray(x) for x in (batch.column(2).offsets, logits.offsets, logits.values))
-            ids, rows, held = batch.column(0), [], 0
-            for i in range(batch.num_rows):
-                tokens = batch.column(3)[i].as_py()
-                lo, hi = upto[i], upto[i + 1]
-                fresh, lines, detected, section = note(tokens, int(inner[lo + 1] - inner[lo]), values[inner[lo]:inner[hi]])
-                rows.append([
-                    pa.array([ids[i].as_py()] * len(tokens), pa.string()), pa.array(np.arange(len(tokens)), pa.int32()),
-                    batch.column(3)[i].values, starts[i].values, logits.slice(lo, hi - lo), pa.array(fresh, pa.bool_()),
-                    pa.array(lines, pa.string()), pa.array(detected, pa.string()), pa.array(section, pa.string()),
-                    pa.array(["NONE", *section[:-1]], pa.string())])
-                held += len(tokens)
-                if held >= _ROWS or i == batch.num_rows - 1:
-                    names = [f.split()[0] for f in fields.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*rows)], names)
-                    rows, held = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sound = (b if not b.num_rows - b.column(4).null_count else b.filter(pc.is_null(b.column(4))) for b in score(batches))
+        yield from explain(b for b in sound if b.num_rows)
 
-    whole = scored.where(F.col("error").isNull()).select("note_id", "starts", "logits", "tokens").mapInArrow(run, fields)
-    return _why(decode_logits(whole.withColumn("end", F.col("start") + F.length("token"))))
+    return _decoded(notes.select("note_id", "text").mapInArrow(run, _EXPLAINED))
 
 
 def token_badges(tokens: DataFrame) -> DataFrame:

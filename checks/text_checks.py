@@ -212,7 +212,7 @@ ahead AS (SELECT *, string_agg(token, ' ') OVER (PARTITION BY note_id, isle ORDE
 
 @query("line_lookahead", sql("SELECT note_id, idx, is_line_start, line_text FROM ahead", N, TOKENS_SQL, _LOGITS, _AHEAD))
 def _(spark, sf):
-    rows = tokens.explain_notes(tokens.score_notes(notes(spark, sf), stub_model()))
+    rows = tokens.score_and_explain(notes(spark, sf), stub_model())
     return rows.select("note_id", "idx", "is_line_start", "line_text")
 
 
@@ -229,7 +229,7 @@ explained AS (SELECT *, ['space', 'newline', 'blank_line'][label_no + 1] AS deci
 
 
 def explained(spark, sf):
-    return tokens.explain_notes(tokens.score_notes(notes(spark, sf), stub_model()))
+    return tokens.score_and_explain(notes(spark, sf), stub_model())
 
 
 @query("explain_breaks", sql("SELECT note_id, idx, decision, line_type, section, reason FROM explained",

@@ -270,3 +270,24 @@ def test_units_end_before_any_letter_beyond_ascii(spark):
     rows = spark.createDataFrame([("n", 0, "10 gâteaux"), ("n", 1, "\x0b2) x"), ("n", 2, "10 grams")], "note_id string, line_no int, line string")
     got = {r.line_no: (r.is_medication, r.is_numbered) for r in lines.classify_lines(rows).collect()}
     assert got == {0: (True, False), 1: (False, False), 2: (False, False)}
+
+
+def test_scores_are_explained_in_one_pass(spark):
+    """The rows of both steps, a note that fails and notes without tokens included, by one Python step."""
+    texts = ["HPI: flank pain\nPLAN: drink  water", "", "fail here", "a:b PLAN:: ~ - x y \U0001f600z 1 2 3", None, "ALLERGIES: none " * 40]
+    notes = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(texts)], "note_id string, text string")
+
+    def model():
+        def score(toks):
+            if toks[0] == "fail":
+                raise ValueError("no")
+            return [[float((len(t) * (j + 2) + i) % 5) for j in range(3)] for i, t in enumerate(toks)]
+
+        return score
+
+    apart = tokens.explain_notes(tokens.score_notes(notes, model))
+    at_once = tokens.score_and_explain(notes, model)
+    assert at_once.schema == apart.schema
+    rows = sorted(map(str, at_once.collect()))
+    assert rows == sorted(map(str, apart.collect())) and len(rows) == 96
+    assert at_once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
