@@ -216,3 +216,23 @@ def test_files_of_the_queries_are_whole(spark, tmp_path):
     assert [p.name for p in (tmp_path / "txt" / "en").glob("*.txt")] == ["1 n+1.txt"]
     named = write_files(rows.where("content is not null"), f"file://{tmp_path}/named")
     assert [r.note_id for r in readers.read_txt_notes(spark, named).collect()] == ["1 n+1"]
+
+
+def test_batches_take_one_job_and_the_log_is_rewritten_seldom(spark, tmp_path):
+    (tmp_path / "in" / "ED").mkdir(parents=True)
+    for i in range(44):
+        (tmp_path / "in" / "ED" / f"n{i}.txt").write_text(f"note {i}")
+
+    def drained(files_per_batch):
+        label = f"{tmp_path}/{files_per_batch}"
+        run = streams.stream_notes(spark, str(tmp_path / "in"), files_per_batch).writeStream.format("parquet").option(
+            "path", f"{label}/out").option("checkpointLocation", f"{label}/mark").trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert {r.text for r in spark.read.parquet(f"{label}/out").collect()} == {f"note {i}" for i in range(44)}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(run.runId))), label
+
+    # 40 files and 4: no job of its own to look at the files of a batch
+    assert drained(40)[0] == 2
+    jobs, label = drained(4)
+    assert jobs == 11
+    assert not [p.name for p in (tmp_path / "4" / "mark" / "sources" / "0").iterdir() if p.name.endswith(".compact")]
