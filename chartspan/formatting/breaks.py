@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chartspan.formatting import lexicon as lex
 from chartspan.formatting.engine import (
-    below, blocks, if_contains, only_if, per_line, per_line_with_gaps, replaces, step, sub, subs,
+    below, blocks, if_contains, only_if, per_line, per_line_with_gaps, replaces, step, sub, subs, where_found,
 )
 from chartspan.functions.text import alternation, any_of, quote
 
@@ -151,15 +151,15 @@ def dense_lines(t: Column) -> Column:
     marker = any_of(DENSE_MARKERS)
 
     def cut(line: Column) -> Column:
-        return subs(
-            line,
-            (rf"(?=\s)(?:(?<=[.!?;)\]>])\s+|\s{{2,}})({marker})(?=\s|:|\z)", "\n\n$1"),
-            (r"\s{2,}([A-Z][a-z]+(?:\s++[A-Z][a-z]++)*+)\s*:", "\n\n$1:"),
-            (r"\s{2,}([A-Z][A-Z\s/&]{3,})\s*:", "\n\n$1:"),
-            (r"\s+(\*\s+[A-Z][a-z])", "\n$1"),
-            (r"(\d{2}/\d{2}/\d{4})\s{2,}([A-Z][a-z]+)", "$1\n\n$2"),
-            (r"(?i)\s{2,}(RBC|FFP|Cryo|Whole Blood|Platelets|Cell Saver)\s*\(", "\n$1 ("),
-        )
+        line = sub(line, rf"(?=\s)(?:(?<=[.!?;)\]>])\s+|\s{{2,}})({marker})(?=\s|:|\z)", "\n\n$1")
+        with_gap = lambda x: x.rlike(r"\s\s")
+        line = only_if(line, with_gap, lambda x: subs(
+            x, (r"\s{2,}([A-Z][a-z]+(?:\s++[A-Z][a-z]++)*+)\s*:", "\n\n$1:"),
+            (r"\s{2,}([A-Z][A-Z\s/&]{3,})\s*:", "\n\n$1:")))
+        line = where_found(line, ["*"], (r"\s+(\*\s+[A-Z][a-z])", "\n$1"))
+        return only_if(line, with_gap, lambda x: subs(
+            x, (r"(\d{2}/\d{2}/\d{4})\s{2,}([A-Z][a-z]+)", "$1\n\n$2"),
+            (r"(?i)\s{2,}(RBC|FFP|Cryo|Whole Blood|Platelets|Cell Saver)\s*\(", "\n$1 (")))
 
     return only_if(t, lambda x: x.rlike(r"(?md)^.{150}"), lambda x: per_line(
         x, lambda line: F.when(F.length(line) >= 150, cut(line)).otherwise(line)))

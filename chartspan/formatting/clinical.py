@@ -214,12 +214,12 @@ def one_drug_per_line(t: Column) -> Column:
 
 @step(MEDS, 84)
 def missing_words(t: Column) -> Column:
-    return subs(
-        t,
+    return only_if(t, lambda x: x.rlike("(?i)on file prior to encounter"), lambda x: subs(
+        x,
         (r"(?i)No current facility-administered on file prior to encounter\.",
          "No current facility-administered medications on file prior to encounter."),
         (r"(?i)Current Outpatient\s*\n-?\s*on File Prior to Encounter",
-         "Current Outpatient Medications on File Prior to Encounter"))
+         "Current Outpatient Medications on File Prior to Encounter")))
 
 
 @step(MEDS, 85)
@@ -368,7 +368,7 @@ def vitals_rows(t: Column) -> Column:
 
 @step(VITALS, 110)
 def split_vitals(t: Column) -> Column:
-    return sub(t, r"(?m)^[ \t]*(.*(?:BP|HR|RR|Temp|TEMP|SpO2|O2|Pulse|Resp))[ \t]*\n[ \t]*((?:\d|and).*)$", "$1 $2")
+    return sub(t, r"(?m)^(?=.*+\n[ \t]*+(?:\d|and))[ \t]*(.*(?:BP|HR|RR|Temp|TEMP|SpO2|O2|Pulse|Resp))[ \t]*\n[ \t]*((?:\d|and).*)$", "$1 $2")
 
 
 @step(VITALS, 111)

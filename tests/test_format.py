@@ -245,3 +245,33 @@ def test_names_and_words_are_repaired_between_marks(spark):
     rows = {"a": "prose, more; " * 50 + "with hyper tension, nau sea (re gular). " + "end."}
     [row] = format_job(frame(spark, rows), "format_word_splits").collect()
     assert row.text == "prose, more; " * 50 + "with hypertension, nausea (regular). end."
+
+
+def test_plain_searches_change_no_text(spark):
+    """Rules behind a plain search give what their expressions give by themselves, and are behind one."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from chartspan.formatting import engine, repairs
+    from chartspan.functions.text import strip
+
+    rng = random.Random(4)
+    rows = [("".join(rng.choice(" \t\n\n\r \x0b-*~•aB.1") for _ in range(rng.randrange(14))),) for _ in range(4000)]
+    texts = spark.createDataFrame(rows, "t string")
+    plain = {
+        repairs.plain_characters: lambda t: engine.sub(F.translate(t, " ", " "), r"\r\n?", "\n"),
+        repairs.blank_runs: lambda t: engine.sub(t, r"[ \t]{2,}", " "),
+        repairs.blank_line_runs: lambda t: engine.sub(t, r"\n{4,}", "\n\n\n"),
+        repairs.collapse_white_space: lambda t: strip(engine.subs(
+            F.translate(t, " \r", " "), (r"[ \t]*\n[ \t]*", "\n"), (r"\n{3,}", "\n\n"), (r" {2,}", " "))),
+        repairs.inner_blanks: lambda t: engine.subs(t, (r"(?m)(?<=\S)[ \t]+$", ""), (r"(?<=\S) {2,}", " ")),
+        repairs.trim_lines: lambda t: engine.subs(t, (r"(?m)^[ \t]+|[ \t]+$", ""), (r"\n{3,}", "\n\n")),
+        repairs.plain_bullets: lambda t: engine.subs(
+            t, (r"\s+[~•]\s+", "\n- "), (r"\s{2,}-\s+", "\n- "), (r"(?<=\n)\s*-\s+", "- "), (r"\s+\*\s+", "\n- ")),
+    }
+    t = F.col("t")
+    differ = [F.count_if(~rule(t).eqNullSafe(body(t))) for rule, body in plain.items()]
+    assert list(texts.agg(*differ).first()) == [0] * len(plain)
+    for rule in plain:
+        assert "contains(" in texts.select(rule(t))._jdf.queryExecution().optimizedPlan().toString().lower()
